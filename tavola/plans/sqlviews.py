@@ -86,3 +86,48 @@ def cents_avg(sum_dec: str, n: str) -> str:
 
 def round_even(expr: str, d: int) -> str:
     return f"round_even(CAST({expr} AS DOUBLE), {d})"
+
+
+def floor_days(later: str, earlier: str) -> str:
+    """SQL twin of ``timeutil.floor_days``."""
+    return f"CAST(floor((epoch_us({later}) - epoch_us({earlier})) / 86400000000) AS INTEGER)"
+
+
+def customer_base(asof: str, calendar: bool = False) -> str:
+    """SQL twin of ``customers.customer_base`` over the ``tx`` view."""
+    extra = ""
+    if calendar:
+        extra = "".join(f", COUNT(*) FILTER (WHERE isodow(ts) - 1 = {i}) AS orders_dow_{i}" for i in range(7))
+        h = "hour(ts)"
+        pods = {"morning": f"{h} <= 11", "lunch": f"{h} > 11 AND {h} <= 14", "afternoon": f"{h} > 14 AND {h} <= 17",
+                "dinner": f"{h} > 17 AND {h} <= 21", "late": f"{h} > 21"}
+        extra += "".join(f", COUNT(*) FILTER (WHERE {c}) AS orders_{p}" for p, c in pods.items())
+    return f"""SELECT customer_id, COUNT(*) AS n_rows, COUNT(DISTINCT order_id) AS n_orders,
+  SUM(CAST(total_price AS DECIMAL(18,2))) AS s1,
+  SUM(CAST(CAST(total_price AS DECIMAL(38,2)) * CAST(total_price AS DECIMAL(38,2)) AS DECIMAL(38,4))) AS s2,
+  max(total_price) AS max_price, min(total_price) AS min_price, CAST(SUM(quantity) AS BIGINT) AS total_items,
+  COUNT(DISTINCT item_id) AS unique_items, min(ts) AS first_ts, max(ts) AS last_ts{extra}
+FROM tx WHERE customer_id IS NOT NULL GROUP BY customer_id"""
+
+
+def std_sql(s: str, q: str, n: str) -> str:
+    a, b, nn = f"CAST({s} AS DOUBLE)", f"CAST({q} AS DOUBLE)", f"CAST({n} AS DOUBLE)"
+    return f"(CASE WHEN {nn} > 1 THEN sqrt(greatest(({b} - {a} * {a} / {nn}) / ({nn} - 1.0), 0.0)) END)"
+
+
+def qfrac(q: int) -> str:
+    """Inner quantile fractions as pandas builds them, as a SQL list literal."""
+    import numpy as np
+    return "[" + ", ".join(repr(float(x)) for x in np.linspace(0, 1, q + 1)[1:-1]) + "]"
+
+
+def value_bin(x: str, edges: str, q: int, reverse: bool = False) -> str:
+    """SQL twin of ``bins.quantile_bins``: 1 + #{edges below x}."""
+    b = "1 + " + " + ".join(f"CAST(CAST({x} AS DOUBLE) > {edges}[{j}] AS INTEGER)" for j in range(1, q))
+    return f"CAST({q + 1} - ({b}) AS INTEGER)" if reverse else f"CAST({b} AS INTEGER)"
+
+
+def rank_bin(r: str, n: str, q: int) -> str:
+    """SQL twin of ``bins.rank_bin_expr``."""
+    return (f"CAST(CASE WHEN {n} <= 1 THEN 1 ELSE greatest(1, ceil(CAST({r} - 1 AS DOUBLE) * {q} "
+            f"/ CAST({n} - 1 AS DOUBLE))) END AS INTEGER)")

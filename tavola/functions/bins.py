@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from .scalars import scalar_value
 
 _LOW_BITS = (1 << 33) - 1
 
@@ -73,8 +74,8 @@ def rank_bin_expr(rank_col: str, n_col: str, q: int) -> Column:
 def rank_bins(df: DataFrame, col: str, q: int, key: str, out: str) -> DataFrame:
     """G1: rank-quantile bin of ``col`` (ascending, ties in ``key`` order)."""
     ranked = global_rank(df, [col, key], "_rank")
-    n = ranked.agg(F.count(F.lit(1)).alias("_n"))
-    return (ranked.crossJoin(F.broadcast(n))
+    n = scalar_value(df.agg(F.count(F.lit(1)).alias("_n")))
+    return (ranked.withColumn("_n", n)
             .withColumn(out, rank_bin_expr("_rank", "_n", q))
             .drop("_rank", "_n"))
 
@@ -101,14 +102,15 @@ def quantile_bins(df: DataFrame, col: str, q: int, out: str, reverse: bool = Fal
     ``bin = 1 + #{inner edges e : x > e}``; stays defined when edges tie.
     ``accuracy`` switches to ``percentile_approx`` for very large inputs.
     """
-    edges = quantile_edges(df, col, q, accuracy)
+    edges = scalar_value(quantile_edges(df, col, q, accuracy))
     x = F.col(col).cast("double")
-    b = F.lit(1) + F.aggregate(F.col("_edges"), F.lit(0),
-                                lambda acc, e: acc + F.when(x > e, 1).otherwise(0))
+    b = F.lit(1)
+    for j in range(1, q):
+        b = b + F.when(x > F.element_at(edges, j), 1).otherwise(0)
     if reverse:
         b = F.lit(q + 1) - b
-    res = df.crossJoin(F.broadcast(edges)).withColumn(out, b.cast("int"))
+    res = df.withColumn(out, b.cast("int"))
     if labels is not None:
         arr = F.array(*[F.lit(s) for s in labels])
         res = res.withColumn(out, F.element_at(arr, F.col(out)))
-    return res.drop("_edges")
+    return res

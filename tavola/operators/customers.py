@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bins import quantile_bins, rank_bins
 from ..functions.rounding import round_even, safe_div
+from ..functions.scalars import scalar_struct
 from ..functions.stats import mean_of, s1, s2, std_of
 from ..functions.timeutil import day_of_week, floor_days, part_of_day, ts_lit
 
@@ -137,9 +138,9 @@ def rfm_summary(seg: DataFrame) -> DataFrame:
          .agg(F.count(F.lit(1)).alias("customer_count"),
               F.sum("recency").alias("_r"), F.sum("frequency").alias("_f"),
               s1("monetary").alias("_m"), F.sum("RFM_Total").alias("_t")))
-    tot = g.agg(F.sum("customer_count").alias("_nc"), F.sum("_m").alias("_nm"))
+    tot = scalar_struct(g.agg(F.sum("customer_count").alias("_nc"), F.sum("_m").alias("_nm")))
     n = F.col("customer_count")
-    return (g.crossJoin(F.broadcast(tot))
+    return (g.select("*", tot["_nc"].alias("_nc"), tot["_nm"].alias("_nm"))
             .select("Segment", "customer_count",
                     round_even(mean_of("_r", n), 2).alias("avg_recency_days"),
                     round_even(mean_of("_f", n), 2).alias("avg_frequency"),

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rounding import cents_avg, money, money_sum, round_even, safe_div
+from ..functions.scalars import scalar_struct, scalar_value
 from ..functions.timeutil import day_name, day_of_week, period_start, ts_lit
 
 # Weekday names in calendar order (pandas day_name()).
@@ -53,9 +54,9 @@ def dashboard(orders: DataFrame, customers: DataFrame, items: DataFrame,
                    F.sum(F.when(F.col("created_at") >= start, money("total"))).alias("_prev"),
                    F.count(F.lit(1)).alias("total_orders"),
                    _count_if(F.col("created_at") >= start).alias("period_orders"))
-    c = customers.agg(F.count(F.lit(1)).alias("total_customers"))
-    m = items.agg(_count_if(F.col("is_active")).alias("menu_items_count"))
-    return (o.crossJoin(c).crossJoin(m)
+    c = scalar_value(customers.agg(F.count(F.lit(1)).alias("total_customers")))
+    m = scalar_value(items.agg(_count_if(F.col("is_active")).alias("menu_items_count")))
+    return (o.select("*", c.alias("total_customers"), m.alias("menu_items_count"))
             .select(F.col("_rev").cast("double").alias("total_revenue"),
                     "total_orders", "total_customers",
                     round_even(safe_div(F.col("_rev").cast("double"), "total_orders", 0.0), 2).alias("avg_order_value"),
@@ -73,13 +74,13 @@ def sales_summary(orders: DataFrame, lines: DataFrame, items: DataFrame,
     head = done.agg(_dec_sum("total").alias("_rev"), F.count(F.lit(1)).alias("total_orders"))
     sold = (lines.join(done.select(F.col("id").alias("order_id")), "order_id", "left_semi")
             .join(items.select(F.col("id").alias("menu_item_id"), "name", "subcategory"), "menu_item_id"))
-    qty = sold.agg(F.coalesce(F.sum("quantity"), F.lit(0)).cast("long").alias("total_items_sold"))
+    qty = scalar_value(sold.agg(F.coalesce(F.sum("quantity"), F.lit(0)).cast("long")))
     by_sub = sold.groupBy("subcategory").agg(F.sum("quantity").alias("q"))
     # deterministic tie-break: larger quantity, then smaller key
-    top_sub = by_sub.agg(F.min_by("subcategory", F.struct(F.negative("q"), "subcategory")).alias("_ts"))
+    top_sub = scalar_value(by_sub.agg(F.min_by("subcategory", F.struct(F.negative("q"), "subcategory"))))
     by_item = sold.groupBy("menu_item_id", "name").agg(F.sum("quantity").alias("q"))
-    top_item = by_item.agg(F.min_by("name", F.struct(F.negative("q"), "menu_item_id")).alias("_ti"))
-    return (head.crossJoin(qty).crossJoin(top_sub).crossJoin(top_item)
+    top_item = scalar_value(by_item.agg(F.min_by("name", F.struct(F.negative("q"), "menu_item_id"))))
+    return (head.select("*", qty.alias("total_items_sold"), top_sub.alias("_ts"), top_item.alias("_ti"))
             .select(F.lit(period).alias("period"),
                     F.col("_rev").cast("double").alias("total_revenue"),
                     "total_orders", "total_items_sold",
@@ -103,9 +104,9 @@ def dashboard_top_items(items: DataFrame, lines: DataFrame, k: int = 10,
     top = sold.orderBy(F.desc("order_count"), F.asc("id")).limit(k)
     if not include_unsold:
         return top
-    # one-row count of lines: the fallback rows survive only when it is 0
-    n_lines = lines.agg(F.count(F.lit(1)).alias("_n"))
-    fallback = (items.where("is_active").crossJoin(F.broadcast(n_lines)).where("_n = 0")
+    # the fallback rows survive only when no line exists at all
+    any_line = lines.limit(1).exists()
+    fallback = (items.where(F.col("is_active") & ~any_line)
                 .select("id", "name", F.col("category").alias("category_id"),
                         F.lit(0).cast("long").alias("order_count"),
                         F.lit(0.0).alias("total_revenue"))
@@ -139,9 +140,9 @@ def public_dashboard(orders: DataFrame, items: DataFrame, as_of) -> DataFrame:
                    _count_if(done).alias("total_orders"),
                    _count_if(done & (F.col("created_at") >= today)).alias("today_orders"),
                    F.sum(F.when(done & (F.col("completed_at") >= week), money("total"))).alias("_wk"))
-    m = items.agg(_count_if(F.col("is_active")).alias("menu_items_count"))
+    m = scalar_value(items.agg(_count_if(F.col("is_active")).alias("menu_items_count")))
     rev = F.coalesce(F.col("_rev"), F.lit(0)).cast("double")
-    return (o.crossJoin(m)
+    return (o.select("*", m.alias("menu_items_count"))
             .select(rev.alias("total_revenue"), "total_orders", "today_orders",
                     F.coalesce(F.col("_wk"), F.lit(0)).cast("double").alias("week_revenue"),
                     "menu_items_count", safe_div(rev, "total_orders", 0.0).alias("avg_order_value")))
@@ -229,17 +230,15 @@ def order_value_distribution(tx: DataFrame, bins: int = 10) -> DataFrame:
     """Histogram of order values in ``bins`` equal-width buckets between
     min and max, with overall mean (exact) and median on every row."""
     per = order_values(tx).select(F.col("_v").alias("_d"), F.col("_v").cast("double").alias("v"))
-    stats = per.agg(F.min("v").alias("lo"), F.max("v").alias("hi"),
-                    (F.sum("_d").cast("double") / F.count(F.lit(1))).alias("mean"),
-                    F.percentile("v", 0.5).alias("median"))
-    b = (F.when(F.col("hi") > F.col("lo"),
-                F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)))
+    s = scalar_struct(per.agg(F.min("v").alias("lo"), F.max("v").alias("hi"),
+                              (F.sum("_d").cast("double") / F.count(F.lit(1))).alias("mean"),
+                              F.percentile("v", 0.5).alias("median")))
+    lo, hi = s["lo"], s["hi"]
+    b = (F.when(hi > lo, F.least(F.floor((F.col("v") - lo) / (hi - lo) * bins), F.lit(bins - 1)))
          .otherwise(0)).cast("int")
-    return (per.crossJoin(F.broadcast(stats)).groupBy(b.alias("bucket"))
-            .agg(F.count(F.lit(1)).alias("n_orders"),
-                 F.first("mean").alias("_m"), F.first("median").alias("_md"))
-            .select("bucket", "n_orders", round_even("_m", 6).alias("mean_value"),
-                    round_even("_md", 6).alias("median_value")))
+    return (per.groupBy(b.alias("bucket")).agg(F.count(F.lit(1)).alias("n_orders"))
+            .select("bucket", "n_orders", round_even(s["mean"], 6).alias("mean_value"),
+                    round_even(s["median"], 6).alias("median_value")))
 
 
 def customer_stats(tx: DataFrame) -> DataFrame:
@@ -260,12 +259,11 @@ def top_share(stats: DataFrame, pct: float = 0.1, col: str = "total_spent",
     are exact decimals."""
     from ..functions.bins import global_rank
     ranked = global_rank(stats.select(key, col), [(col, False), (key, True)], "_r")
-    n = stats.agg(F.count(F.lit(1)).alias("_n"), F.sum(money(col)).alias("_tot"))
-    k = F.floor(F.col("_n") * F.lit(pct))
+    s = scalar_struct(stats.agg(F.count(F.lit(1)).alias("_n"), F.sum(money(col)).alias("_tot")))
+    k = F.floor(s["_n"] * F.lit(pct))
     top = F.coalesce(F.sum(F.when(F.col("_r") <= k, money(col))), F.lit(0).cast("decimal(28,2)"))
-    return (ranked.crossJoin(F.broadcast(n))
-            .agg(F.first("_n").alias("n_customers"), F.first(k).cast("long").alias("k"),
-                 top.alias("_top"), F.first("_tot").alias("_tot"))
+    return (ranked.agg(top.alias("_top"))
+            .select(s["_n"].alias("n_customers"), k.cast("long").alias("k"), "_top", s["_tot"].alias("_tot"))
             .select("n_customers", "k",
                     round_even(safe_div(F.col("_top").cast("double") * 100.0,
                                         F.col("_tot").cast("double"), 0.0), 6).alias("top_share_pct")))
@@ -299,8 +297,8 @@ def category_sales(item_sales_df: DataFrame) -> DataFrame:
            .agg(F.sum("qty_sold").cast("long").alias("qty_sold"),
                 F.sum(money("revenue")).alias("_rev"),
                 F.sum("order_count").cast("long").alias("order_count")))
-    tot = cat.agg(F.sum("_rev").alias("_tot"))
-    return (cat.crossJoin(F.broadcast(tot))
+    tot = scalar_value(cat.agg(F.sum("_rev").alias("_tot")))
+    return (cat.withColumn("_tot", tot)
             .select("category", "qty_sold", F.col("_rev").cast("double").alias("revenue"), "order_count",
                     round_even(safe_div(F.col("_rev").cast("double") * 100.0, F.col("_tot").cast("double"), 0.0), 6)
                     .alias("revenue_share_pct")))
@@ -330,19 +328,20 @@ def key_insights(tx: DataFrame, items: DataFrame, ts: str = "ts") -> DataFrame:
     dow = sales_by(tx, "day_name", ts, order_key=None)
     isales = item_sales(tx, items)
     cat = isales.groupBy("category").agg(F.sum(money("revenue")).alias("r"))
-    one = lambda df, val, key, name: df.agg(F.min_by(val, F.struct(F.negative("r"), key)).alias(name))
-    return (one(hourly.withColumnRenamed("revenue", "r"), "hour", "hour", "peak_hour")
-            .crossJoin(one(dow.withColumnRenamed("revenue", "r"), "day_name", "day_name", "best_day"))
-            .crossJoin(one(cat, "category", "category", "top_category"))
-            .crossJoin(one(isales.withColumnRenamed("revenue", "r"), "name", "item_id", "top_item")))
+    one = lambda df, val, key: scalar_value(df.agg(F.min_by(val, F.struct(F.negative("r"), key))))
+    return (hourly.limit(1)
+            .select(one(hourly.withColumnRenamed("revenue", "r"), "hour", "hour").alias("peak_hour"),
+                    one(dow.withColumnRenamed("revenue", "r"), "day_name", "day_name").alias("best_day"),
+                    one(cat, "category", "category").alias("top_category"),
+                    one(isales.withColumnRenamed("revenue", "r"), "name", "item_id").alias("top_item")))
 
 
 def peak_hours(tx: DataFrame, min_share: float = 0.12, ts: str = "ts", value: str = "value") -> DataFrame:
     """Hours whose share of the day's total is >= ``min_share``, and the
     band from the first to the last such hour."""
     h = tx.groupBy(F.hour(ts).alias("hour")).agg(F.sum(money(value)).alias("_r"))
-    tot = h.agg(F.sum("_r").alias("_t"))
-    share = h.crossJoin(F.broadcast(tot)).withColumn("_s", F.col("_r").cast("double") / F.col("_t").cast("double"))
+    tot = scalar_value(h.agg(F.sum("_r").alias("_t")))
+    share = h.withColumn("_s", F.col("_r").cast("double") / tot.cast("double"))
     peak = share.where(F.col("_s") >= min_share)
     return peak.agg(F.count(F.lit(1)).alias("n_peak_hours"), F.min("hour").alias("band_start"),
                     F.max("hour").alias("band_end"),
@@ -366,17 +365,17 @@ def tier_counts(customers: DataFrame) -> DataFrame:
 def menu_summary(items: DataFrame) -> DataFrame:
     """Per category item count and the sorted item names, plus overall
     item count and mean price on every row."""
-    tot = items.agg(F.count(F.lit(1)).alias("total_items"), round_even(F.avg("price"), 6).alias("avg_price"))
+    s = scalar_struct(items.agg(F.count(F.lit(1)).alias("total_items"), round_even(F.avg("price"), 6).alias("avg_price")))
     cat = items.groupBy("category").agg(F.count(F.lit(1)).alias("n_items"))
-    return cat.crossJoin(F.broadcast(tot))
+    return cat.select("*", s["total_items"].alias("total_items"), s["avg_price"].alias("avg_price"))
 
 
 def price_overview(items: DataFrame, k: int = 3) -> DataFrame:
     """mean/min/max price and the k cheapest items (ties by id)."""
-    stats = items.agg(round_even(F.avg("price"), 6).alias("avg_price"), F.min("price").alias("min_price"),
-                      F.max("price").alias("max_price"))
+    s = scalar_struct(items.agg(round_even(F.avg("price"), 6).alias("avg_price"), F.min("price").alias("min_price"),
+                                F.max("price").alias("max_price")))
     cheap = items.orderBy("price", "id").limit(k).select(F.col("id").alias("item_id"), "name", "price")
-    return cheap.crossJoin(F.broadcast(stats))
+    return cheap.select("*", *[s[c].alias(c) for c in ("avg_price", "min_price", "max_price")])
 
 
 def favourite_items(tx: DataFrame, k: int = 5) -> DataFrame:

@@ -36,8 +36,8 @@ FROM lineitem""",
 SELECT p_partkey AS id, p_name AS name, concat_ws(' ', p_name, lower(p_type), p_brand) AS description,
        p_type AS category, p_brand AS subcategory, p_retailprice AS price,
        p_retailprice * 0.4 AS cost, p_size AS prep_time_minutes,
-       (p_size % 3 = 0) AS is_vegetarian, (p_size % 6 = 0) AS is_vegan,
-       (p_size % 4 = 0) AS is_gluten_free, (p_size % 10 <> 0) AS is_active
+       (p_size <= 20) AS is_vegetarian, (p_size <= 8) AS is_vegan,
+       (p_type IN ('SMALL', 'ECONOMY')) AS is_gluten_free, (p_size <= 47) AS is_active
 FROM part""",
     "cu": """
 SELECT c_custkey AS customer_id, c_name AS name, n_name AS nation, c_mktsegment AS segment,
@@ -50,7 +50,7 @@ FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""",
     "inv": """
 SELECT p_partkey AS inventory_id, p_name AS ingredient_name, p_type AS category,
        p_size AS quantity_on_hand, 20 AS reorder_level, p_retailprice AS unit_cost,
-       s.supplier_id, (p_size % 10 <> 0) AS is_active
+       s.supplier_id, (p_size <= 47) AS is_active
 FROM part LEFT JOIN (SELECT l_partkey, min(l_suppkey) AS supplier_id FROM lineitem GROUP BY l_partkey) s
   ON p_partkey = s.l_partkey""",
     "act": """

@@ -23,6 +23,9 @@ STATUS_MAP = {"F": "completed", "O": "pending", "P": "preparing"}
 ORDER_TYPE_MAP = {"1": "dine_in", "2": "takeout", "3": "delivery", "4": "dine_in", "5": "takeout"}
 # Reorder level used for every stock row.
 REORDER_LEVEL = 20
+# Menu flags derived from part attributes (size and type).
+GLUTEN_FREE_TYPES = ("SMALL", "ECONOMY")
+ACTIVE_MAX_SIZE = 47
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,10 +93,10 @@ def menu_items(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("p_retailprice").alias("price"),
                     (F.col("p_retailprice") * 0.4).alias("cost"),
                     s.alias("prep_time_minutes"),
-                    (s % 3 == 0).alias("is_vegetarian"),
-                    (s % 6 == 0).alias("is_vegan"),
-                    (s % 4 == 0).alias("is_gluten_free"),
-                    (s % 10 != 0).alias("is_active"))
+                    (s <= 20).alias("is_vegetarian"),
+                    (s <= 8).alias("is_vegan"),
+                    F.col("p_type").isin(*GLUTEN_FREE_TYPES).alias("is_gluten_free"),
+                    (s <= ACTIVE_MAX_SIZE).alias("is_active"))
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +126,7 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(REORDER_LEVEL).alias("reorder_level"),
                     F.col("p_retailprice").alias("unit_cost"),
                     F.col("supplier_id"),
-                    (F.col("p_size") % 10 != 0).alias("is_active")))
+                    (F.col("p_size") <= ACTIVE_MAX_SIZE).alias("is_active")))
 
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:

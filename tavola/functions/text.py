@@ -14,7 +14,7 @@ import glob
 import os
 import zipfile
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -49,11 +49,14 @@ def remove_stop_words(toks) -> Column:
 
 
 def bigrams(toks) -> Column:
-    """Adjacent token pairs joined by a space (empty for fewer than 2 tokens)."""
+    """Adjacent token pairs joined by a space (empty for fewer than 2 tokens).
+
+    Zips the list with itself shifted by one, so the token list is read a
+    fixed number of times per row, never once per element."""
     t = _c(toks)
     n = F.size(t)
-    return F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1),
-                                      lambda i: F.concat_ws(" ", F.element_at(t, i), F.element_at(t, i + 1)))) \
+    return F.when(n >= 2, F.zip_with(F.slice(t, 1, n - 1), F.slice(t, 2, n - 1),
+                                     lambda a, b: F.concat_ws(" ", a, b))) \
         .otherwise(F.array().cast("array<string>"))
 
 
@@ -63,6 +66,28 @@ def terms(text, ngram_max: int = 2) -> Column:
     return F.concat(t, bigrams(t)) if ngram_max >= 2 else t
 
 
+def analyze(df: DataFrame, text: str, out: str = "terms", ngram_max: int = 2) -> DataFrame:
+    """Add ``out``: unigrams (+ bigrams) after stop-word removal, built with
+    Spark ML's tokenizer, stop-word remover and n-gram transformers.
+
+    Each step reads the previous column once per row (hash-set stop-word
+    lookup in the JVM), which keeps long documents linear in their length.
+    Same rule as ``terms``; use this one on large texts."""
+    from pyspark.ml.feature import NGram, RegexTokenizer, StopWordsRemover
+    base = df.withColumn("_txt", F.coalesce(F.col(text), F.lit("")))
+    tok = RegexTokenizer(inputCol="_txt", outputCol="_tok", pattern=TOKEN_PATTERN, gaps=False,
+                         toLowercase=True, minTokenLength=2)
+    sw = StopWordsRemover(inputCol="_tok", outputCol="_uni", stopWords=list(english_stop_words()),
+                          caseSensitive=True)
+    res = sw.transform(tok.transform(base))
+    if ngram_max >= 2:
+        res = NGram(n=2, inputCol="_uni", outputCol="_bi").transform(res)
+        res = res.withColumn(out, F.concat("_uni", "_bi")).drop("_bi")
+    else:
+        res = res.withColumn(out, F.col("_uni"))
+    return res.drop("_txt", "_tok", "_uni")
+
+
 def word_count(text) -> Column:
     """Whitespace-separated words (Python ``len(s.split())``)."""
     return F.size(F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit(r"\S+"), 0))

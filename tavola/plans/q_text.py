@@ -11,11 +11,6 @@ from .registry import register
 from .sqlviews import with_views
 
 _DOC_TFIDF = {"docs": "SELECT doc_id, text FROM documents", **_tfidf_sql("docs", "doc_id", "text", 512)}
-_QUERY_W = {
-    "qtoks": None,  # filled below
-}
-
-
 def _doc_model(spark, sf):
     return X.tfidf(D.read(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", 512)
 
@@ -50,14 +45,14 @@ def b14(spark, sf):
 @register("b18_pack_context", with_views("""
 SELECT w.query, w.rank, r.doc, r.tokens, t.total_tokens FROM walk w JOIN r ON w.query = r.query AND w.rank = r.rank
 JOIN (SELECT query, max(used) AS total_tokens FROM walk GROUP BY 1) t ON w.query = t.query WHERE w.taken""",
-                                         extra={**_DOC_TFIDF, **_query_sql(),
+                                         recursive=True, extra={**_DOC_TFIDF, **_query_sql(),
                                                 "r": """SELECT ranked.query, ranked.rank, ranked.doc,
   CAST(floor(len(regexp_extract_all(COALESCE(d.text, ''), '\\S+')) * 1.3) AS BIGINT) AS tokens
   FROM ranked JOIN documents d ON ranked.doc = d.doc_id""",
-                                                }).replace("WITH ", "WITH RECURSIVE walk(query, rank, used, taken) AS (\n"
-  "  SELECT query, 0, CAST(0 AS BIGINT), false FROM (SELECT DISTINCT query FROM r)\n"
-  "  UNION ALL SELECT w.query, r.rank, CASE WHEN w.used + r.tokens <= 4000 THEN w.used + r.tokens ELSE w.used END,\n"
-  "    w.used + r.tokens <= 4000 FROM walk w JOIN r ON r.query = w.query AND r.rank = w.rank + 1),\n", 1))
+                                                "walk(query, rank, used, taken)": """
+  SELECT query, 0, CAST(0 AS BIGINT), false FROM (SELECT DISTINCT query FROM r)
+  UNION ALL SELECT w.query, r.rank, CASE WHEN w.used + r.tokens <= 4000 THEN w.used + r.tokens ELSE w.used END,
+    w.used + r.tokens <= 4000 FROM walk w JOIN r ON r.query = w.query AND r.rank = w.rank + 1"""}))
 def b18(spark, sf):
     """B18 greedy 4000-token context packing of each query's ranked documents."""
     docs = D.read(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text")

@@ -60,14 +60,14 @@ FROM events""",
 }
 
 
-def with_views(sql: str, *names: str, extra: dict[str, str] | None = None) -> str:
+def with_views(sql: str, *names: str, extra: dict[str, str] | None = None, recursive: bool = False) -> str:
     """Prefix ``sql`` with ``WITH`` clauses for the named views (in order)."""
     parts = [f"{n} AS ({VIEWS[n]}\n)" for n in names]
     if extra:
         parts += [f"{k} AS ({v}\n)" for k, v in extra.items()]
     if not parts:
         return sql
-    return "WITH " + ",\n".join(parts) + "\n" + sql
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n" + sql
 
 
 def money_sum(expr: str) -> str:

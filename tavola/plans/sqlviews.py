@@ -16,7 +16,8 @@ SELECT l.l_orderkey AS order_id, o.o_custkey AS customer_id, l.l_partkey AS item
        CAST(l.l_quantity AS BIGINT) AS quantity, l.l_extendedprice AS total_price,
        l.l_extendedprice / l.l_quantity AS unit_price,
        l.l_extendedprice * l.l_discount AS discount_amount,
-       o.o_orderdate AS ts, {_STATUS} AS status
+       o.o_orderdate AS ts, {_STATUS} AS status,
+       CAST(l.l_orderkey AS VARCHAR) || '-' || CAST(l.l_linenumber AS VARCHAR) AS transaction_id
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 JOIN part p ON l.l_partkey = p.p_partkey""",
     "ord": f"""

@@ -57,7 +57,9 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
                     (F.col("l_extendedprice") * F.col("l_discount")).alias("discount_amount"),
                     F.col("o_orderdate").alias("ts"),
-                    _map(F.col("o_orderstatus"), STATUS_MAP).alias("status")))
+                    _map(F.col("o_orderstatus"), STATUS_MAP).alias("status"),
+                    F.concat_ws("-", F.col("l_orderkey").cast("string"),
+                                F.col("l_linenumber").cast("string")).alias("transaction_id")))
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:

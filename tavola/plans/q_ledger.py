@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.rounding import round_even
 from ..operators import ledger as L
 from ..sources import driver as D
-from .registry import register
+from .registry import REGISTRY, register
 from .sqlviews import VIEWS, with_views
 
 # Event type -> order status, and stock movement per event type.
@@ -150,3 +150,40 @@ def l06(spark, sf):
     out = L.apply_payments(o, pay)
     return out.select("order_id", *[F.col(c).cast("double").alias(c) for c in
                                     ("subtotal", "tax_amount", "discount_amount", "tip_amount", "total")], "status")
+
+
+def _stream_dir(spark) -> str:
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tavola-stream-{uuid.uuid4().hex}"
+
+
+@register("l02s_loyalty_stream", None)
+def l02s(spark, sf):
+    """L2 as a Structured Streaming job: purchase events folded per
+    micro-batch (foreachBatch, per-epoch deltas), state read back."""
+    import os
+
+    from ..streaming import ledgers as SL
+    d = _stream_dir(spark)
+    q = SL.start_loyalty_stream(spark, os.path.join(sf, "events.parquet"), f"{d}/state", f"{d}/ckpt")
+    q.awaitTermination()
+    return SL.loyalty_from_deltas(spark, D.customers(spark, sf), f"{d}/state")
+
+
+@register("l03s_stock_stream", None)
+def l03s(spark, sf):
+    """L3 as a Structured Streaming job over the event log."""
+    import os
+
+    from ..streaming import ledgers as SL
+    d = _stream_dir(spark)
+    q = SL.start_stock_stream(spark, os.path.join(sf, "events.parquet"), f"{d}/state", f"{d}/ckpt", EVENT_STOCK_DELTA)
+    q.awaitTermination()
+    return SL.stock_from_deltas(spark, D.inventory(spark, sf), f"{d}/state")
+
+
+# the streamed ledgers must equal the batch ledgers: same oracle SQL
+REGISTRY["l02s_loyalty_stream"].sql = REGISTRY["l02_loyalty_state"].sql
+REGISTRY["l03s_stock_stream"].sql = REGISTRY["l03_stock_state"].sql

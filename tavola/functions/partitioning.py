@@ -1,0 +1,18 @@
+"""Partitioning helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def ensure_parallel(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread an under-partitioned input before CPU-heavy per-row work.
+
+    A small file read as one split (e.g. a single Parquet row group) would
+    tokenize on one core.  Only when the input has fewer partitions than the
+    cluster's default parallelism is it redistributed (round robin); large
+    inputs, which arrive in many splits, pass through untouched."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

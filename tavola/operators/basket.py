@@ -135,12 +135,20 @@ def recommend_hybrid(baskets: DataFrame, edges: DataFrame, similar: DataFrame, n
     ``wc*cooc + wt*content`` (4 dp); top-n.  ``similar`` is (item, other, score)."""
     wc, wt = weights
     cooc = recommend_cooccurrence(baskets, edges, 2 * n, exclude).select("basket", "item", F.col("score").alias("cooc"))
-    # content candidates: neighbours of each basket item, excluding basket items
-    bi = baskets.select("basket", F.col("item").alias("src"))
-    neigh = similar.select(F.col("item").alias("src"), F.col("other").alias("item"), "score")
-    cont = bi.join(neigh, "src").join(baskets, ["basket", "item"], "left_anti")
+    # content candidates: each basket item's top-n neighbours once basket and
+    # excluded items are removed.  That top-n lies within the item's first
+    # n + e neighbours (e = number of removed items of the basket), so only
+    # those ranks are joined: exact, and bounded per basket item.
+    ex = baskets.select("basket", "item")
     if exclude is not None:
-        cont = cont.join(exclude.select("basket", "item"), ["basket", "item"], "left_anti")
+        ex = ex.unionByName(exclude.select("basket", "item")).distinct()
+    e = ex.groupBy("basket").agg(F.count(F.lit(1)).alias("_e"))
+    wr = Window.partitionBy("item").orderBy(F.desc("score"), F.asc("other"))
+    ranked = similar.select("item", "other", "score").withColumn("_nr", F.row_number().over(wr))
+    neigh = ranked.select(F.col("item").alias("src"), F.col("other").alias("item"), "score", "_nr")
+    bi = baskets.select("basket", F.col("item").alias("src")).join(e, "basket")
+    cont = (bi.join(neigh, "src").where(F.col("_nr") <= F.col("_e") + n)
+            .join(ex, ["basket", "item"], "left_anti"))
     w = Window.partitionBy("basket", "src").orderBy(F.desc("score"), F.asc("item"))
     cont = (cont.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
             .groupBy("basket", "item").agg(F.max("score").alias("content")))

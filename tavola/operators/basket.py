@@ -6,8 +6,10 @@ Pair counting is a self join of (basket, item) on the basket key.  Distinct
 distinct items, e.g. one group holding a third of the data) is split over a
 ``s x s`` grid of cells: each side is replicated ``s`` times and every item
 pair meets in exactly one cell, so the work of one basket spreads over
-``s*s`` tasks without dropping or duplicating a pair.  Pair counts are
-partially aggregated before the shuffle on the pair key.
+``s*s`` tasks without dropping or duplicating a pair.  By default this split
+is left to AQE's skew-join handling, which does the same cut at run time from
+measured partition sizes; ``hot_items`` forces the explicit grid.  Pair
+counts are partially aggregated before the shuffle on the pair key.
 
 Recommenders run for every basket / customer at once as joins and
 aggregations; top-n per key is ``row_number`` over a keyed window (Spark
@@ -46,23 +48,31 @@ def _grid_side(bi: DataFrame, sizes: DataFrame, left: bool) -> DataFrame:
     return bi.join(sizes, "basket").select("basket", "item", F.explode(cell).alias("_cell"))
 
 
-def item_pairs(bi: DataFrame, hot_items: int = 2000) -> DataFrame:
+def item_pairs(bi: DataFrame, hot_items: int | None = None) -> DataFrame:
     """Unordered co-occurring pairs ``(item_a < item_b)`` per basket, counted.
 
-    ``hot_items``: a basket with more distinct items is split over a grid of
-    ``ceil(k / hot_items)``^2 cells (see module doc); others use one cell."""
-    sizes = (bi.groupBy("basket").agg(F.count(F.lit(1)).alias("_k"))
-             .select("basket", F.greatest(F.lit(1), F.ceil(F.col("_k") / F.lit(hot_items))).cast("long").alias("_s")))
-    a = _grid_side(bi, sizes, True).alias("a")
-    b = _grid_side(bi, sizes, False).alias("b")
-    pairs = a.join(b, (F.col("a.basket") == F.col("b.basket")) & (F.col("a._cell") == F.col("b._cell"))
-                   & (F.col("a.item") < F.col("b.item")))
+    By default the self join is on the basket key alone and a hot basket is
+    split at run time by AQE's skew-join handling (both sides of the skewed
+    partition are cut into chunks and every chunk pair becomes a task).
+    ``hot_items`` forces the explicit grid instead: a basket with more
+    distinct items is spread over ``ceil(k / hot_items)``^2 cells, whatever
+    the AQE thresholds (see module doc)."""
+    if hot_items is None:
+        a, b = bi.alias("a"), bi.alias("b")
+        pairs = a.join(b, (F.col("a.basket") == F.col("b.basket")) & (F.col("a.item") < F.col("b.item")))
+    else:
+        sizes = (bi.groupBy("basket").agg(F.count(F.lit(1)).alias("_k"))
+                 .select("basket", F.greatest(F.lit(1), F.ceil(F.col("_k") / F.lit(hot_items))).cast("long").alias("_s")))
+        a = _grid_side(bi, sizes, True).alias("a")
+        b = _grid_side(bi, sizes, False).alias("b")
+        pairs = a.join(b, (F.col("a.basket") == F.col("b.basket")) & (F.col("a._cell") == F.col("b._cell"))
+                       & (F.col("a.item") < F.col("b.item")))
     return (pairs.groupBy(F.col("a.item").alias("item_a"), F.col("b.item").alias("item_b"))
             .agg(F.count(F.lit(1)).alias("n")))
 
 
 def cooccurrence(tx: DataFrame, min_count: int = MIN_PAIR_COUNT, basket: str = "order_id",
-                 item: str = "item_id", name: str | None = "item_name", hot_items: int = 2000) -> DataFrame:
+                 item: str = "item_id", name: str | None = "item_name", hot_items: int | None = None) -> DataFrame:
     """B1: item pairs with count >= min_count, support (6 dp), both
     confidences (4 dp) and lift (4 dp); names are the first seen per item."""
     bi = basket_items(tx, basket, item)

@@ -12,7 +12,7 @@ from .conftest import SF_SMALL
 
 def test_cooccurrence_grid_split_is_exact(spark):
     tx = D.transactions(spark, SF_SMALL)
-    plain = B.cooccurrence(tx, 1, "order_id", "item_name", name=None, hot_items=2000)
+    plain = B.cooccurrence(tx, 1, "order_id", "item_name", name=None)
     salted = B.cooccurrence(tx, 1, "order_id", "item_name", name=None, hot_items=2)
     assert plain.exceptAll(salted).count() == 0 and salted.exceptAll(plain).count() == 0
 

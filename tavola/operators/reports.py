@@ -421,6 +421,7 @@ def period_trend(orders: DataFrame, period: str, as_of) -> DataFrame:
                                           F.col("orders_previous")), 6).alias("orders_change_pct"))
 
 
-def forecast_total(fc: DataFrame, value: str = "prediction") -> DataFrame:
+def forecast_total(fc: DataFrame, value: str = "prediction", by: str | None = None) -> DataFrame:
     """Total of a forecast over its horizon (per series when keyed)."""
-    return fc.agg(F.sum(value).alias("forecast_total"), F.count(F.lit(1)).alias("horizon_days"))
+    g = fc.groupBy(by) if by else fc.groupBy()
+    return g.agg(F.sum(value).alias("forecast_total"), F.count(F.lit(1)).alias("horizon_days"))

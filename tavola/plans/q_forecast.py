@@ -224,3 +224,12 @@ FROM ({_metrics_long_sql(_ROLLMEAN)}) b JOIN ({_metrics_long_sql(_SEASONAL)}) c
 def q12d(spark, sf):
     """Q12 degradation of seasonal-naive vs rolling-mean metrics (> 50 %)."""
     return Q.degradation_alerts(_metrics_long(spark, sf, "rolling_mean"), _metrics_long(spark, sf, "seasonal_naive"), 0.5)
+
+
+@register("a30_forecast_total", with_views("""
+SELECT category, SUM(prediction) AS forecast_total, COUNT(*) AS horizon_days FROM (""" + _SEASONAL + """)
+GROUP BY category""", "tx", extra=_FC_CTES))
+def a30(spark, sf):
+    """A30 total forecast quantity over the 28-day horizon per series."""
+    from ..operators import reports as R
+    return R.forecast_total(_forecast(spark, sf, "seasonal_naive"), "prediction", by="category")

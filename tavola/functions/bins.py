@@ -85,24 +85,65 @@ def quantile_fractions(q: int) -> list[float]:
     return [float(x) for x in np.linspace(0, 1, q + 1)[1:-1]]
 
 
-def quantile_edges(df: DataFrame, col: str, q: int, accuracy: int | None = None) -> DataFrame:
-    """One-row frame with the inner value-quantile edges as ``_edges``."""
-    fr = F.array(*[F.lit(f) for f in quantile_fractions(q)])
+def exact_quantiles(df: DataFrame, col: str, fractions: Sequence[float], key: str | None = None) -> DataFrame:
+    """Exact linear-interpolation quantiles (Spark ``percentile``'s rule)
+    without gathering the values into one task.
+
+    The non-null values are ranked with ``global_rank`` (range partitioned,
+    sorted per partition); only the at most ``2 * len(fractions)`` rows at the
+    needed ranks are joined back, and each quantile is
+    ``(hi - pos) * x[lo] + (pos - lo) * x[hi]`` with ``pos = (n - 1) * p``.
+    Returns one row with ``_edges``: the quantiles in the order given."""
+    spark = df.sparkSession
+    tie = F.col(key) if key else F.monotonically_increasing_id()
+    x = df.select(F.col(col).cast("double").alias("_x"), tie.alias("_k")).where(F.col("_x").isNotNull())
+    ranked = global_rank(x, ["_x", "_k"], "_r")
+    n = scalar_value(ranked.agg(F.count(F.lit(1)).alias("_n")))
+    pts = (spark.range(1).select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(fractions)])).alias("s"))
+        .select("s.*")
+        .withColumn("pos", (n - 1).cast("double") * F.col("p"))
+        .withColumn("lo", F.floor("pos").cast("long")).withColumn("hi", F.ceil("pos").cast("long")))
+    need = pts.select(F.col("lo").alias("_pos")).union(pts.select(F.col("hi").alias("_pos"))).distinct()
+    # 0-based position = rank - 1; ``need`` has at most 2 * len(fractions) rows
+    vals = ranked.join(F.broadcast(need), F.col("_r") - 1 == F.col("_pos")).select("_pos", "_x")
+    lo = vals.select(F.col("_pos").alias("lo"), F.col("_x").alias("x_lo"))
+    hi = vals.select(F.col("_pos").alias("hi"), F.col("_x").alias("x_hi"))
+    e = pts.join(lo, "lo").join(hi, "hi")
+    edge = F.when(F.col("hi") == F.col("lo"), F.col("x_lo")).otherwise(
+        (F.col("hi").cast("double") - F.col("pos")) * F.col("x_lo")
+        + (F.col("pos") - F.col("lo").cast("double")) * F.col("x_hi"))
+    return (e.agg(F.sort_array(F.collect_list(F.struct("i", edge.alias("v")))).alias("_s"))
+            .select(F.transform("_s", lambda s: s["v"]).alias("_edges")))
+
+
+def quantile_edges(df: DataFrame, col: str, q: int, accuracy: int | None = None,
+                   key: str | None = None, method: str = "rank") -> DataFrame:
+    """One-row frame with the inner value-quantile edges as ``_edges``.
+
+    ``method='rank'`` (default) is exact and distributed (``exact_quantiles``);
+    ``'map'`` is Spark's exact ``percentile`` (one value-count map merged in
+    one task: only for columns with few distinct values); ``accuracy`` gives
+    ``percentile_approx``."""
+    fracs = quantile_fractions(q)
     if accuracy:
-        agg = F.percentile_approx(F.col(col).cast("double"), fr, accuracy)
-    else:
-        agg = F.percentile(F.col(col).cast("double"), fr)
-    return df.agg(agg.alias("_edges"))
+        fr = F.array(*[F.lit(f) for f in fracs])
+        return df.agg(F.percentile_approx(F.col(col).cast("double"), fr, accuracy).alias("_edges"))
+    if method == "map":
+        fr = F.array(*[F.lit(f) for f in fracs])
+        return df.agg(F.percentile(F.col(col).cast("double"), fr).alias("_edges"))
+    return exact_quantiles(df, col, fracs, key)
 
 
 def quantile_bins(df: DataFrame, col: str, q: int, out: str, reverse: bool = False,
-                  labels: Sequence[str] | None = None, accuracy: int | None = None) -> DataFrame:
+                  labels: Sequence[str] | None = None, accuracy: int | None = None,
+                  key: str | None = None) -> DataFrame:
     """Right-closed value-quantile bin, 1..q (or ``labels``).
 
     ``bin = 1 + #{inner edges e : x > e}``; stays defined when edges tie.
     ``accuracy`` switches to ``percentile_approx`` for very large inputs.
     """
-    edges = scalar_value(quantile_edges(df, col, q, accuracy))
+    edges = scalar_value(quantile_edges(df, col, q, accuracy, key))
     x = F.col(col).cast("double")
     b = F.lit(1)
     for j in range(1, q):

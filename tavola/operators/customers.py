@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions.bins import quantile_bins, rank_bins
 from ..functions.rounding import round_even, safe_div
-from ..functions.scalars import scalar_struct
+from ..functions.bins import exact_quantiles
+from ..functions.scalars import scalar_struct, scalar_value
 from ..functions.stats import mean_of, s1, s2, std_of
 from ..functions.timeutil import day_of_week, floor_days, part_of_day, ts_lit
 
@@ -103,7 +104,7 @@ def rfm_metrics(tx: DataFrame, as_of) -> DataFrame:
 
 def rfm_scores(rfm: DataFrame, q: int = 5) -> DataFrame:
     """R by value quantile (reversed), F and M by first-come rank quantile."""
-    r = quantile_bins(rfm, "recency", q, "R", reverse=True)
+    r = quantile_bins(rfm, "recency", q, "R", reverse=True, key="customer_id")
     f = rank_bins(r, "frequency", q, "customer_id", "F")
     m = rank_bins(f, "monetary", q, "customer_id", "M")
     return (m.withColumn("RFM_Score", F.concat(F.col("R").cast("string"), F.col("F").cast("string"),
@@ -264,7 +265,7 @@ def churn_by_value_band(rfm: DataFrame, q: int = 3, days: int = 60) -> DataFrame
     """Churn rate by spend band (value-quantile bins Low/Medium/High)."""
     labels = ["Low", "Medium", "High"] if q == 3 else [str(i) for i in range(1, q + 1)]
     b = quantile_bins(rfm.withColumn("churned", (F.col("recency") > days).cast("int")),
-                      "monetary", q, "segment", labels=labels)
+                      "monetary", q, "segment", labels=labels, key="customer_id")
     return b.groupBy("segment").agg(F.count(F.lit(1)).alias("n_customers"),
                                     round_even(F.avg("churned"), 6).alias("churn_rate"))
 
@@ -342,7 +343,7 @@ def simple_ltv(tx: DataFrame, months: int = 24) -> DataFrame:
     out = (out.withColumn("purchase_frequency", F.col("total_orders") / F.col("tenure_months"))
            .withColumn("simple_ltv", F.col("avg_order_value") * F.col("purchase_frequency") * float(months))
            .withColumn("historical_ltv", F.col("total_spent")))
-    return quantile_bins(out, "simple_ltv", 5, "ltv_segment", labels=LTV_LABELS).drop("total_orders")
+    return quantile_bins(out, "simple_ltv", 5, "ltv_segment", labels=LTV_LABELS, key="customer_id").drop("total_orders")
 
 
 def value_rates(tx: DataFrame) -> DataFrame:
@@ -359,9 +360,10 @@ def value_rates(tx: DataFrame) -> DataFrame:
 def ltv_distribution(pred: DataFrame, col: str = "predicted_ltv") -> DataFrame:
     """C4f: count, mean, median, std, min, max, percentiles and total (one row)."""
     ps = [0.25, 0.5, 0.75, 0.9, 0.95]
-    pc = F.percentile(F.col(col).cast("double"), F.array(*[F.lit(p) for p in ps]))
+    key = "customer_id" if "customer_id" in pred.columns else None
+    pc = scalar_value(exact_quantiles(pred, col, ps, key))
     a = pred.agg(F.count(F.lit(1)).alias("count"), s1(col).alias("_s"), s2(col).alias("_q"),
-                 F.min(col).alias("min"), F.max(col).alias("max"), pc.alias("_p"))
+                 F.min(col).alias("min"), F.max(col).alias("max")).withColumn("_p", pc)
     return a.select("count", round_even(mean_of("_s", "count"), 6).alias("mean"),
                     round_even(F.col("_p")[1], 6).alias("median"),
                     round_even(std_of("_s", "_q", "count"), 6).alias("std"), "min", "max",

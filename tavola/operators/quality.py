@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rounding import round_even
-from ..functions.scalars import scalar_struct
+from ..functions.bins import exact_quantiles
+from ..functions.scalars import scalar_struct, scalar_value
 from ..functions.stats import mean_of, s1, s2, std_of
 
 
@@ -229,8 +230,8 @@ def rule_violations(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
 
 def iqr_outliers(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
     """Q8: rows outside [q1 - k*iqr, q3 + k*iqr] (exact linear quartiles)."""
-    q = scalar_struct(df.agg(F.percentile(F.col(col).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias("q")))
-    q1, q3 = q["q"][0], q["q"][1]
+    q = scalar_value(exact_quantiles(df, col, [0.25, 0.75]))
+    q1, q3 = q[0], q[1]
     lo, hi = q1 - (q3 - q1) * k, q3 + (q3 - q1) * k
     x = F.col(col).cast("double")
     return df.where((x < lo) | (x > hi))

@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bins import exact_quantiles
 from ..functions.rounding import cents_avg, money, money_sum, round_even, safe_div
 from ..functions.scalars import scalar_struct, scalar_value
 from ..functions.timeutil import day_name, day_of_week, period_start, ts_lit
@@ -229,10 +230,10 @@ def overall_metrics(tx: DataFrame) -> DataFrame:
 def order_value_distribution(tx: DataFrame, bins: int = 10) -> DataFrame:
     """Histogram of order values in ``bins`` equal-width buckets between
     min and max, with overall mean (exact) and median on every row."""
-    per = order_values(tx).select(F.col("_v").alias("_d"), F.col("_v").cast("double").alias("v"))
+    per = order_values(tx).select("order_id", F.col("_v").alias("_d"), F.col("_v").cast("double").alias("v"))
+    med = scalar_value(exact_quantiles(per, "v", [0.5], key="order_id"))[0]
     s = scalar_struct(per.agg(F.min("v").alias("lo"), F.max("v").alias("hi"),
-                              (F.sum("_d").cast("double") / F.count(F.lit(1))).alias("mean"),
-                              F.percentile("v", 0.5).alias("median")))
+                              (F.sum("_d").cast("double") / F.count(F.lit(1))).alias("mean")).withColumn("median", med))
     lo, hi = s["lo"], s["hi"]
     b = (F.when(hi > lo, F.least(F.floor((F.col("v") - lo) / (hi - lo) * bins), F.lit(bins - 1)))
          .otherwise(0)).cast("int")

@@ -47,7 +47,7 @@ FROM mi, (SELECT quantile_cont(price, {qfrac(4)}) AS e FROM mi)""", "mi"))
 def g02(spark, sf):
     """G2 value-quantile price bands of menu items."""
     mi = D.menu_items(spark, sf).select("id", "price")
-    return quantile_bins(mi, "price", 4, "price_band", labels=["budget", "standard", "premium", "luxury"])
+    return quantile_bins(mi, "price", 4, "price_band", labels=["budget", "standard", "premium", "luxury"], key="id")
 
 
 @register("g03_lag_features", with_views("""

@@ -76,10 +76,12 @@ def order_state(status_events: DataFrame, key: str = "order_id") -> DataFrame:
 def illegal_transitions(status_events: DataFrame, transitions: DataFrame | None = None,
                         key: str = "order_id") -> DataFrame:
     """L4: consecutive status changes per order that the transition table
-    does not allow (anti join against a small fixed table)."""
+    does not allow (anti join against a small fixed table).  Event ids must
+    be unique (they break ties in time)."""
+    from .windows import lag_by_rank
     tt = transitions if transitions is not None else transition_table(status_events.sparkSession)
-    w = Window.partitionBy(key).orderBy("ts", "event_id")
-    steps = (status_events.withColumn("from_status", F.lag("status").over(w))
+    # previous status by exact global rank, so one very busy order is not one task
+    steps = (lag_by_rank(status_events, key, ["ts", "event_id"], "status", "from_status")
              .where(F.col("from_status").isNotNull() & (F.col("from_status") != F.col("status")))
              .withColumnRenamed("status", "to_status"))
     return steps.join(F.broadcast(tt), ["from_status", "to_status"], "left_anti") \

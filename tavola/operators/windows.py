@@ -113,6 +113,21 @@ def time_series_folds(df: DataFrame, date: str, key: str, n_splits: int = 5) ->
             .withColumnRenamed("_r", "row_index"))
 
 
+def lag_by_rank(df: DataFrame, key: str, order: Sequence[str], col: str, out: str) -> DataFrame:
+    """Previous row's ``col`` within ``key`` (by ``order``), skew-proof.
+
+    A per-key window sorts each key's rows in one task, so a key holding a
+    third of the data would be one giant task.  Here every row gets its
+    exact global rank by (key, order) from the range-partitioned
+    ``global_rank`` (which cuts a hot key across many tasks), and the
+    predecessor is the row with rank - 1: an equi join on a unique key."""
+    ranked = global_rank(df, [key, *order], "_gr")
+    prev = ranked.select((F.col("_gr") + 1).alias("_gr"), F.col(key).alias("_pk"), F.col(col).alias("_pv"))
+    j = ranked.join(prev, "_gr", "left")
+    return (j.withColumn(out, F.when(F.col("_pk") == F.col(key), F.col("_pv")))
+            .drop("_pk", "_pv", "_gr"))
+
+
 def last_turns(conv: DataFrame, n: int, key: str = "conv_id", order: str = "turn") -> DataFrame:
     """The last ``n`` turns of each conversation, in turn order."""
     w = Window.partitionBy(key).orderBy(F.desc(order))

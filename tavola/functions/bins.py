@@ -137,13 +137,13 @@ def quantile_edges(df: DataFrame, col: str, q: int, accuracy: int | None = None,
 
 def quantile_bins(df: DataFrame, col: str, q: int, out: str, reverse: bool = False,
                   labels: Sequence[str] | None = None, accuracy: int | None = None,
-                  key: str | None = None) -> DataFrame:
+                  key: str | None = None, method: str = "rank") -> DataFrame:
     """Right-closed value-quantile bin, 1..q (or ``labels``).
 
     ``bin = 1 + #{inner edges e : x > e}``; stays defined when edges tie.
     ``accuracy`` switches to ``percentile_approx`` for very large inputs.
     """
-    edges = scalar_value(quantile_edges(df, col, q, accuracy, key))
+    edges = scalar_value(quantile_edges(df, col, q, accuracy, key, method))
     x = F.col(col).cast("double")
     b = F.lit(1)
     for j in range(1, q):

@@ -22,6 +22,7 @@ from ..functions.bins import exact_quantiles
 from ..functions.scalars import scalar_struct, scalar_value
 from ..functions.stats import mean_of, s1, s2, std_of
 from ..functions.timeutil import day_of_week, floor_days, part_of_day, ts_lit
+from ..session import ensure_checkpoint_dir
 
 # RFM segment names in ladder order (the executed rules).
 RFM_SEGMENTS = ["Champions", "Loyal Customers", "Potential Loyalists", "New Customers", "Promising",
@@ -103,8 +104,15 @@ def rfm_metrics(tx: DataFrame, as_of) -> DataFrame:
 
 
 def rfm_scores(rfm: DataFrame, q: int = 5) -> DataFrame:
-    """R by value quantile (reversed), F and M by first-come rank quantile."""
-    r = quantile_bins(rfm, "recency", q, "R", reverse=True, key="customer_id")
+    """R by value quantile (reversed), F and M by first-come rank quantile.
+
+    The per-customer table feeds three passes (recency edges, two ranks); it
+    is checkpointed once so the line-level aggregation is not recomputed."""
+    ensure_checkpoint_dir(rfm.sparkSession)
+    rfm = rfm.checkpoint(eager=True)
+    # recency is a whole number of days: its distinct values are bounded by the
+    # span of the data, not its volume, so Spark's value-count percentile fits
+    r = quantile_bins(rfm, "recency", q, "R", reverse=True, key="customer_id", method="map")
     f = rank_bins(r, "frequency", q, "customer_id", "F")
     m = rank_bins(f, "monetary", q, "customer_id", "M")
     return (m.withColumn("RFM_Score", F.concat(F.col("R").cast("string"), F.col("F").cast("string"),

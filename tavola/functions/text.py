@@ -3,35 +3,31 @@
 Token rule: lower-case, maximal runs of two or more letters, digits or
 underscores (the ``\\b\\w\\w+\\b`` rule of common TF-IDF tokenizers, written
 with Unicode classes so Spark (Java regex) and the SQL oracle (RE2) agree).
-Stop words: Spark ML's built-in English list, read from the Spark jar that
-ships with PySpark so the DataFrame job and the SQL oracle share one list.
+Stop words: Spark ML's built-in English list, pinned below so that the
+DataFrame job and the SQL oracle share one list and no file is read.
 """
 
 from __future__ import annotations
 
-import functools
-import glob
-import os
-import zipfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 
-@functools.lru_cache(maxsize=1)
-def english_stop_words() -> tuple[str, ...]:
-    """Spark ML's default English stop-word list (``StopWordsRemover``)."""
-    import pyspark
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    for jar in jars:
-        with zipfile.ZipFile(jar) as z:
-            name = "org/apache/spark/ml/feature/stopwords/english.txt"
-            if name in z.namelist():
-                words = z.read(name).decode("utf-8").split()
-                return tuple(dict.fromkeys(w.strip().lower() for w in words if w.strip()))
-    raise FileNotFoundError("Spark ML stop-word resource not found")
+# Spark ML's default English stop words, in their order.
+STOP_WORDS = tuple("""
+    i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers
+    herself it its itself they them their theirs themselves what which who whom this that these those am is
+    are was were be been being have has had having do does did doing a an the and but if or because as until
+    while of at by for with about against between into through during before after above below to from up
+    down in out on off over under again further then once here there when where why how all any both each
+    few more most other some such no nor not only own same so than too very s t can will just don should now
+    i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're
+    they're i've we've you've they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't
+    won't wouldn't shan't shouldn't mustn't can't couldn't cannot could here's how's let's ought that's
+    there's what's when's where's who's why's would
+""".split())
 
 
 def _c(col) -> Column:
@@ -43,41 +39,17 @@ def tokens(text) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(_c(text), F.lit(""))), F.lit(TOKEN_PATTERN), 0)
 
 
-def remove_stop_words(toks) -> Column:
-    stop = F.array(*[F.lit(w) for w in english_stop_words()])
-    return F.filter(_c(toks), lambda t: ~F.array_contains(stop, t))
-
-
-def bigrams(toks) -> Column:
-    """Adjacent token pairs joined by a space (empty for fewer than 2 tokens).
-
-    Zips the list with itself shifted by one, so the token list is read a
-    fixed number of times per row, never once per element."""
-    t = _c(toks)
-    n = F.size(t)
-    return F.when(n >= 2, F.zip_with(F.slice(t, 1, n - 1), F.slice(t, 2, n - 1),
-                                     lambda a, b: F.concat_ws(" ", a, b))) \
-        .otherwise(F.array().cast("array<string>"))
-
-
-def terms(text, ngram_max: int = 2) -> Column:
-    """Unigrams and (optionally) bigrams after stop-word removal."""
-    t = remove_stop_words(tokens(text))
-    return F.concat(t, bigrams(t)) if ngram_max >= 2 else t
-
-
 def analyze(df: DataFrame, text: str, out: str = "terms", ngram_max: int = 2) -> DataFrame:
     """Add ``out``: unigrams (+ bigrams) after stop-word removal, built with
     Spark ML's tokenizer, stop-word remover and n-gram transformers.
 
     Each step reads the previous column once per row (hash-set stop-word
-    lookup in the JVM), which keeps long documents linear in their length.
-    Same rule as ``terms``; use this one on large texts."""
+    lookup in the JVM), which keeps long documents linear in their length."""
     from pyspark.ml.feature import NGram, RegexTokenizer, StopWordsRemover
     base = df.withColumn("_txt", F.coalesce(F.col(text), F.lit("")))
     tok = RegexTokenizer(inputCol="_txt", outputCol="_tok", pattern=TOKEN_PATTERN, gaps=False,
                          toLowercase=True, minTokenLength=2)
-    sw = StopWordsRemover(inputCol="_tok", outputCol="_uni", stopWords=list(english_stop_words()),
+    sw = StopWordsRemover(inputCol="_tok", outputCol="_uni", stopWords=list(STOP_WORDS),
                           caseSensitive=True)
     res = sw.transform(tok.transform(base))
     if ngram_max >= 2:
@@ -96,7 +68,7 @@ def word_count(text) -> Column:
 # SQL twins ------------------------------------------------------------------
 
 def sql_stop_list() -> str:
-    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in english_stop_words()) + "]"
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS) + "]"
 
 
 def sql_filtered_tokens(text: str) -> str:

@@ -50,8 +50,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster that setting names shared storage and is taken as given.  Only
-    when it is unset (local tests) is a fresh scratch folder created.
+    On a cluster that setting names shared storage and is taken as given.  A
+    single-JVM session (``local[...]``: tests, bench) gets a scratch folder
+    when it is unset; any other session without it is refused, because its
+    executors could not read one another's files.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -61,6 +63,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     if sc.getCheckpointDir():
         return sc.getCheckpointDir()
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="tavola-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)

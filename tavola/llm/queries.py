@@ -8,11 +8,19 @@ from ..sources import driver as D
 from .bpe import round_trip
 from .line_dedup import line_report
 from .packing import pack
+from .pii import pii_report
+from .quality import quality_report, train_line_crf
 from .token_counts import token_counts
 from .token_files import read_token_files, write_token_files
 from ..session import ensure_checkpoint_dir
 
 
+def op3_quality_rules(spark, sf_dir):
+    """Base counts and the line labelling's verdict on ``documents``; trained on ``labels``."""
+    docs = D.read(spark, sf_dir, "documents")
+    return quality_report(docs, train_line_crf(docs, D.read(spark, sf_dir, "labels")))
+
+
 def op4_token_files(spark, sf_dir):
     """Token ids of ``documents`` written as bit-plane files and read back."""
     import uuid
@@ -28,6 +36,11 @@ def op5_bpe_round_trip(spark, sf_dir):
                       public_tokenizers.PATTERN)
 
 
+def op7_personal_data(spark, sf_dir):
+    """Personal data in ``documents``."""
+    return pii_report(D.read(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark, sf_dir):
     """Lines of ``documents`` that an earlier document holds."""
     return line_report(D.read(spark, sf_dir, "documents"))
@@ -57,8 +70,10 @@ FROM marked GROUP BY doc_id"""
 
 #: name -> (function of spark and table folder, DuckDB SQL or None)
 QUERIES = {
+    "op3_quality_rules": (op3_quality_rules, None),
     "op4_token_files": (op4_token_files, None),
     "op5_bpe_round_trip": (op5_bpe_round_trip, None),
+    "op7_personal_data": (op7_personal_data, None),
     "op8_line_dedup": (op8_line_dedup, LINE_DEDUP_SQL),
     "op9_packing": (op9_packing, None),
     "op10_token_counts": (op10_token_counts, None),

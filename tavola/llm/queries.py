@@ -7,6 +7,7 @@ import public_tokenizers
 from ..sources import driver as D
 from .bpe import round_trip
 from .line_dedup import line_report
+from .near_dup import jaccard_components
 from .packing import pack
 from .pii import pii_report
 from .quality import quality_report, train_line_crf
@@ -15,6 +16,11 @@ from .token_files import read_token_files, write_token_files
 from ..session import ensure_checkpoint_dir
 
 
+def op2_jaccard_join(spark, sf_dir):
+    """Near duplicates among ``documents``: five-word shingles, similarity 0.8 or more."""
+    return jaccard_components(D.read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_quality_rules(spark, sf_dir):
     """Base counts and the line labelling's verdict on ``documents``; trained on ``labels``."""
     docs = D.read(spark, sf_dir, "documents")
@@ -70,6 +76,7 @@ FROM marked GROUP BY doc_id"""
 
 #: name -> (function of spark and table folder, DuckDB SQL or None)
 QUERIES = {
+    "op2_jaccard_join": (op2_jaccard_join, None),
     "op3_quality_rules": (op3_quality_rules, None),
     "op4_token_files": (op4_token_files, None),
     "op5_bpe_round_trip": (op5_bpe_round_trip, None),

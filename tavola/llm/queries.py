@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from ..sources import driver as D
+from .ann import nearest_neighbours
 from .bpe import round_trip
 from .line_dedup import line_report
 from .near_dup import jaccard_components
@@ -16,6 +17,12 @@ from .token_files import read_token_files, write_token_files
 from ..session import ensure_checkpoint_dir
 
 
+def op1_nearest_neighbours(spark, sf_dir):
+    """The ten nearest of every hundredth vector of ``embeddings``, among all."""
+    vectors = D.read(spark, sf_dir, "embeddings")
+    return nearest_neighbours(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op2_jaccard_join(spark, sf_dir):
     """Near duplicates among ``documents``: five-word shingles, similarity 0.8 or more."""
     return jaccard_components(D.read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
@@ -76,6 +83,7 @@ FROM marked GROUP BY doc_id"""
 
 #: name -> (function of spark and table folder, DuckDB SQL or None)
 QUERIES = {
+    "op1_nearest_neighbours": (op1_nearest_neighbours, None),
     "op2_jaccard_join": (op2_jaccard_join, None),
     "op3_quality_rules": (op3_quality_rules, None),
     "op4_token_files": (op4_token_files, None),

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import uuid
+
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 def partition_id() -> int:
     """Number of the running task's partition (stable when a task is retried)."""
@@ -43,3 +47,24 @@ def batches_from(rows: Iterable[tuple], schema: pa.Schema, most: int = 4096) ->
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The table, written once to the shared folder and read back.
+
+    Cuts the lineage like ``checkpoint()``, survives lost executors, and the
+    planner sees the true size of the files (a checkpoint keeps the estimate of
+    the plan behind it, which iterations multiply without bound).
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tavola-tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a table that ``written`` made and nothing reads any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for file in df.inputFiles()[:1]:
+        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(conf).delete(folder, True)

@@ -12,6 +12,7 @@ from .near_dup import jaccard_components
 from .packing import pack
 from .pii import pii_report
 from .quality import quality_report, train_line_crf
+from .suffix_dedup import repeated_substrings
 from .token_counts import token_counts
 from .token_files import read_token_files, write_token_files
 from ..session import ensure_checkpoint_dir
@@ -49,6 +50,11 @@ def op5_bpe_round_trip(spark, sf_dir):
                       public_tokenizers.PATTERN)
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    """Bytes of ``documents`` covered by a 400-byte string that occurs elsewhere too."""
+    return repeated_substrings(D.read(spark, sf_dir, "documents"), 400).drop("spans")
+
+
 def op7_personal_data(spark, sf_dir):
     """Personal data in ``documents``."""
     return pii_report(D.read(spark, sf_dir, "documents"))
@@ -88,6 +94,7 @@ QUERIES = {
     "op3_quality_rules": (op3_quality_rules, None),
     "op4_token_files": (op4_token_files, None),
     "op5_bpe_round_trip": (op5_bpe_round_trip, None),
+    "op6_suffix_dedup": (op6_suffix_dedup, None),
     "op7_personal_data": (op7_personal_data, None),
     "op8_line_dedup": (op8_line_dedup, LINE_DEDUP_SQL),
     "op9_packing": (op9_packing, None),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 
 from ..sources import driver as D
@@ -75,6 +76,11 @@ def op10_token_counts(spark, sf_dir):
     return token_counts(D.read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def pipeline(spark, sf_dir):
+    """All stages of ``corpus_pipeline`` over ``documents``."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 LINE_DEDUP_SQL = """
 WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM split),
@@ -99,4 +105,5 @@ QUERIES = {
     "op8_line_dedup": (op8_line_dedup, LINE_DEDUP_SQL),
     "op9_packing": (op9_packing, None),
     "op10_token_counts": (op10_token_counts, None),
+    "pipeline": (pipeline, corpus_pipeline.ORACLE_SQL),
 }

@@ -6,10 +6,9 @@ Pair counting is a self join of (basket, item) on the basket key.  Distinct
 distinct items, e.g. one group holding a third of the data) is split over a
 ``s x s`` grid of cells: each side is replicated ``s`` times and every item
 pair meets in exactly one cell, so the work of one basket spreads over
-``s*s`` tasks without dropping or duplicating a pair.  By default this split
-is left to AQE's skew-join handling, which does the same cut at run time from
-measured partition sizes; ``hot_items`` forces the explicit grid.  Pair
-counts are partially aggregated before the shuffle on the pair key.
+``s*s`` tasks without dropping or duplicating a pair (``hot_items`` says how
+large a basket is hot).  Pair counts are partially aggregated before the
+shuffle on the pair key.
 
 Recommenders run for every basket / customer at once as joins and
 aggregations; top-n per key is ``row_number`` over a keyed window (Spark
@@ -28,6 +27,8 @@ from ..functions.scalars import scalar_struct, scalar_value
 
 # Hybrid weights (co-occurrence, content) and thresholds.
 HYBRID_WEIGHTS = (0.6, 0.4)
+# Distinct items of a basket that meet in one place; larger baskets are split.
+HOT_ITEMS = 2048
 MIN_PAIR_COUNT = 5
 MIN_SUPPORT = 0.001
 MIN_CONFIDENCE = 0.1
@@ -42,27 +43,28 @@ def _grid_side(bi: DataFrame, sizes: DataFrame, left: bool) -> DataFrame:
     """Replicate one side of the self join over the ``s x s`` grid of its basket."""
     s = F.col("_s")
     own = F.pmod(F.xxhash64("item"), s)
-    others = F.sequence(F.lit(0), s - 1)
+    others = F.sequence(F.lit(0).cast("long"), s - 1)
     cell = (F.transform(others, lambda j: own * s + j) if left else
             F.transform(others, lambda i: i * s + own))
-    return bi.join(sizes, "basket").select("basket", "item", F.explode(cell).alias("_cell"))
+    split = bi.join(sizes, "basket", "left").withColumn("_s", F.coalesce("_s", F.lit(1).cast("long")))
+    return split.select("basket", "item", F.explode(cell).alias("_cell"))
 
 
-def item_pairs(bi: DataFrame, hot_items: int | None = None) -> DataFrame:
+def item_pairs(bi: DataFrame, hot_items: int | None = HOT_ITEMS) -> DataFrame:
     """Unordered co-occurring pairs ``(item_a < item_b)`` per basket, counted.
 
-    By default the self join is on the basket key alone and a hot basket is
-    split at run time by AQE's skew-join handling (both sides of the skewed
-    partition are cut into chunks and every chunk pair becomes a task).
-    ``hot_items`` forces the explicit grid instead: a basket with more
-    distinct items is spread over ``ceil(k / hot_items)``^2 cells, whatever
-    the AQE thresholds (see module doc)."""
+    A basket with more than ``hot_items`` distinct items is spread over
+    ``ceil(k / hot_items)``^2 cells, so that no task pairs more than
+    ``hot_items``^2 items of it; the cells of all others are their basket.
+    Only the oversized baskets (few: each takes over ``hot_items`` rows) are
+    joined back for it.  None joins on the basket alone."""
     if hot_items is None:
         a, b = bi.alias("a"), bi.alias("b")
         pairs = a.join(b, (F.col("a.basket") == F.col("b.basket")) & (F.col("a.item") < F.col("b.item")))
     else:
         sizes = (bi.groupBy("basket").agg(F.count(F.lit(1)).alias("_k"))
-                 .select("basket", F.greatest(F.lit(1), F.ceil(F.col("_k") / F.lit(hot_items))).cast("long").alias("_s")))
+                 .where(F.col("_k") > hot_items)
+                 .select("basket", F.ceil(F.col("_k") / F.lit(hot_items)).cast("long").alias("_s")))
         a = _grid_side(bi, sizes, True).alias("a")
         b = _grid_side(bi, sizes, False).alias("b")
         pairs = a.join(b, (F.col("a.basket") == F.col("b.basket")) & (F.col("a._cell") == F.col("b._cell"))
@@ -72,7 +74,7 @@ def item_pairs(bi: DataFrame, hot_items: int | None = None) -> DataFrame:
 
 
 def cooccurrence(tx: DataFrame, min_count: int = MIN_PAIR_COUNT, basket: str = "order_id",
-                 item: str = "item_id", name: str | None = "item_name", hot_items: int | None = None) -> DataFrame:
+                 item: str = "item_id", name: str | None = "item_name", hot_items: int | None = HOT_ITEMS) -> DataFrame:
     """B1: item pairs with count >= min_count, support (6 dp), both
     confidences (4 dp) and lift (4 dp); names are the first seen per item."""
     bi = basket_items(tx, basket, item)

@@ -77,20 +77,27 @@ def _asof(as_of) -> Column:
 
 # --------------------------------------------------------------------------- base
 def customer_base(tx: DataFrame, cid: str = "customer_id", with_calendar: bool = False) -> DataFrame:
-    """One aggregate per customer shared by RFM, churn, LTV and segmentation."""
+    """One aggregate per customer shared by RFM, churn, LTV and segmentation.
+
+    The two distinct counts come from narrow (customer, order) and (customer,
+    item) groups; inside one aggregate they would expand every wide row
+    threefold.  All three are partitioned by customer and join in place."""
     aggs = [F.count(F.lit(1)).alias("n_rows"),
-            F.countDistinct("order_id").alias("n_orders"),
             s1("total_price").alias("_s1"), s2("total_price").alias("_s2"),
             F.max("total_price").alias("max_price"), F.min("total_price").alias("min_price"),
             F.sum("quantity").cast("long").alias("total_items"),
-            F.countDistinct("item_id").alias("unique_items"),
             F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")]
     if with_calendar:
         aggs += [F.count_if(day_of_week("ts") == i).cast("long").alias(f"orders_dow_{i}") for i in range(7)]
         pod = part_of_day(F.hour("ts"))
         aggs += [F.count_if(pod == p).cast("long").alias(f"orders_{p}")
                  for p in ("morning", "lunch", "afternoon", "dinner", "late")]
-    return tx.where(F.col(cid).isNotNull()).groupBy(cid).agg(*aggs)
+    known = tx.where(F.col(cid).isNotNull())
+    out = known.groupBy(cid).agg(*aggs)
+    for col, name in (("order_id", "n_orders"), ("item_id", "unique_items")):
+        n = known.select(cid, col).distinct().groupBy(cid).agg(F.count(col).alias(name))
+        out = out.join(n, cid)
+    return out
 
 
 # --------------------------------------------------------------------------- RFM

@@ -121,7 +121,8 @@ def daily_sales(orders: DataFrame, lines: DataFrame, days: int, as_of) -> DataFr
     Line quantities are summed per order first, then joined once (fixes D14)."""
     start = ts_lit(as_of) - F.expr(f"INTERVAL {int(days)} DAYS")
     done = _completed_since(orders, start).select("id", "total", "completed_at")
-    per_order = lines.groupBy("order_id").agg(F.sum("quantity").alias("_q"))
+    per_order = (lines.join(done.select(F.col("id").alias("order_id")), "order_id", "left_semi")
+                 .groupBy("order_id").agg(F.sum("quantity").alias("_q")))
     joined = done.join(per_order, done.id == per_order.order_id, "left")
     return (joined.groupBy(F.to_date("completed_at").alias("date"))
             .agg(_dec_sum("total").alias("_rev"), F.count(F.lit(1)).alias("total_orders"),
@@ -190,12 +191,16 @@ def sales_by_category(items: DataFrame, lines: DataFrame, orders: DataFrame,
 # --------------------------------------------------------------------------- A8/A9
 def daily_aggregates(tx: DataFrame) -> DataFrame:
     """Revenue, distinct orders, items, distinct customers, AOV, calendar."""
-    d = F.to_date("ts")
-    return (tx.groupBy(d.alias("date"))
-            .agg(money_sum("total_price").alias("total_revenue"),
-                 F.countDistinct("order_id").alias("total_orders"),
-                 F.sum("quantity").cast("long").alias("total_items_sold"),
-                 F.countDistinct("customer_id").alias("unique_customers"))
+    # per order first, then days and customers apart: two distinct counts in one
+    # aggregate would expand every line threefold
+    per_order = (tx.groupBy(F.to_date("ts").alias("date"), "customer_id", "order_id")
+                 .agg(_dec_sum("total_price").alias("_rev"), F.sum("quantity").alias("_q")))
+    orders = per_order.groupBy("date").agg(
+        F.sum("_rev").cast("double").alias("total_revenue"), F.countDistinct("order_id").alias("total_orders"),
+        F.sum("_q").cast("long").alias("total_items_sold"))
+    customers = (per_order.where(F.col("customer_id").isNotNull()).select("date", "customer_id").distinct()
+                 .groupBy("date").agg(F.count(F.lit(1)).alias("unique_customers")))
+    return (orders.join(customers, "date", "left").fillna(0, ["unique_customers"])
             .withColumn("avg_order_value", round_even(F.col("total_revenue") / F.col("total_orders"), 2))
             .withColumn("day_of_week", day_of_week("date"))
             .withColumn("is_weekend", F.col("day_of_week") >= 5)

@@ -40,14 +40,14 @@ _RFM_CTES = {"rfm": _RFM, "scores": _SCORES, "seg": _SCORED}
 
 
 def _rfm_seg(spark, sf):
-    rfm = C.rfm_metrics(D.transactions(spark, sf), AS_OF)
+    rfm = C.rfm_metrics(D.transactions(spark, sf, dims=False), AS_OF)
     return C.rfm_segment(C.rfm_scores(rfm, 5))
 
 
 @register("c01_rfm_metrics", with_views("SELECT * FROM rfm", "tx", extra={"rfm": _RFM}))
 def c01(spark, sf):
     """C1 RFM metrics (floored recency, row frequency, exact monetary)."""
-    return C.rfm_metrics(D.transactions(spark, sf), AS_OF)
+    return C.rfm_metrics(D.transactions(spark, sf, dims=False), AS_OF)
 
 
 @register("c01b_rfm_scores", with_views("""
@@ -55,7 +55,7 @@ SELECT *, CAST(R AS VARCHAR) || CAST(F AS VARCHAR) || CAST(M AS VARCHAR) AS RFM_
 FROM scores""", "tx", extra={"rfm": _RFM, "scores": _SCORES}))
 def c01b(spark, sf):
     """C1b RFM scores: R value-quantile reversed, F/M first-come rank quantiles."""
-    return C.rfm_scores(C.rfm_metrics(D.transactions(spark, sf), AS_OF), 5)
+    return C.rfm_scores(C.rfm_metrics(D.transactions(spark, sf, dims=False), AS_OF), 5)
 
 
 @register("c01c_rfm_segments", with_views("SELECT * FROM seg", "tx", extra=_RFM_CTES))
@@ -124,7 +124,7 @@ SELECT cs.* EXCLUDE (d), round_even(total_spent / total_orders, 6) AS avg_order_
 FROM (SELECT *, COALESCE({floor_days(T, 'last_order')}, 999) AS d FROM cs) cs""", "tx", extra={"cs": _CSTATS}))
 def c01g(spark, sf):
     """C1g UI rule segments (days since order, order count, spend)."""
-    return C.rule_segments(R.customer_stats(D.transactions(spark, sf)), AS_OF)
+    return C.rule_segments(R.customer_stats(D.transactions(spark, sf, dims=False)), AS_OF)
 
 
 @register("c01g_rfm_rule_segments", with_views("""
@@ -132,7 +132,7 @@ SELECT *, CASE WHEN recency <= 30 AND frequency >= 5 THEN 'Champion' WHEN recenc
   THEN 'Loyal' WHEN recency >= 90 THEN 'At Risk' ELSE 'Regular' END AS segment FROM rfm""", "tx", extra={"rfm": _RFM}))
 def c01g2(spark, sf):
     """C1g 4-way recency/frequency rule segments."""
-    return C.rfm_rule_segments(C.rfm_metrics(D.transactions(spark, sf), AS_OF))
+    return C.rfm_rule_segments(C.rfm_metrics(D.transactions(spark, sf, dims=False), AS_OF))
 
 
 @register("c02_customer_features", with_views(f"""
@@ -156,7 +156,7 @@ FROM cu LEFT JOIN (
     ON a.customer_id = fav.customer_id) f ON cu.customer_id = f.customer_id""", "tx", "cu"))
 def c02(spark, sf):
     """C2 stored customer features left-joined to all customers."""
-    return C.customer_features(D.transactions(spark, sf), D.customers(spark, sf), AS_OF)
+    return C.customer_features(D.transactions(spark, sf, dims=False), D.customers(spark, sf), AS_OF)
 
 
 @register("c03_churn_labels", with_views(f"""
@@ -165,7 +165,7 @@ FROM (SELECT customer_id, max(ts) AS last_purchase_date, {floor_days(T, 'max(ts)
       FROM tx WHERE customer_id IS NOT NULL GROUP BY customer_id)""", "tx"))
 def c03(spark, sf):
     """C3 churn label: more than 60 days since the last purchase."""
-    return C.churn_labels(D.transactions(spark, sf), AS_OF, 60)
+    return C.churn_labels(D.transactions(spark, sf, dims=False), AS_OF, 60)
 
 
 _BASE_FEATS = f"""customer_id,
@@ -187,7 +187,7 @@ FROM (SELECT {_BASE_FEATS}, {floor_days('last_ts', 'first_ts')} AS purchase_span
 LEFT JOIN cu ON f.customer_id = cu.customer_id""", "tx", "cu", extra={"base": customer_base(T, calendar=True)}))
 def c03b(spark, sf):
     """C3b churn features with weekday and part-of-day counts and tier."""
-    return C.churn_features(D.transactions(spark, sf), AS_OF, D.customers(spark, sf))
+    return C.churn_features(D.transactions(spark, sf, dims=False), AS_OF, D.customers(spark, sf))
 
 
 def _ltv_feats_sql(asof: str, horizon: int = 365) -> str:
@@ -214,7 +214,7 @@ FROM (SELECT customer_id, n_rows AS total_records, n_orders AS total_transaction
 @register("c04_ltv_features", with_views(_ltv_feats_sql(T), "tx", extra={"base": customer_base(T)}))
 def c04(spark, sf):
     """C4 LTV features (12 aggregates, 9 guarded ratios)."""
-    return C.ltv_features(D.transactions(spark, sf), AS_OF, 365)
+    return C.ltv_features(D.transactions(spark, sf, dims=False), AS_OF, 365)
 
 
 _CUT = "(SELECT max(ts) - INTERVAL 90 DAY FROM tx)"
@@ -227,7 +227,7 @@ LEFT JOIN (SELECT customer_id, SUM(CAST(total_price AS DECIMAL(18,2))) AS v FROM
            GROUP BY customer_id) f ON h.customer_id = f.customer_id""", "tx"))
 def c04b(spark, sf):
     """C4b LTV target: spend after a 90-day hold-out cut."""
-    tx = D.transactions(spark, sf)
+    tx = D.transactions(spark, sf, dims=False)
     cut = C.ltv_cut(tx, 90).collect()[0]["_cut"]
     return C.ltv_target(tx, cut)
 
@@ -243,7 +243,7 @@ SELECT f.*, t.future_value FROM ({_ltv_feats_sql('(SELECT c FROM cut)')}) f JOIN
                                                            "FROM tx WHERE", "FROM tx WHERE ts <= (SELECT c FROM cut) AND")}))
 def c04c(spark, sf):
     """C4c LTV training table: history features joined to the hold-out target."""
-    return C.ltv_training(D.transactions(spark, sf), 90, 365)
+    return C.ltv_training(D.transactions(spark, sf, dims=False), 90, 365)
 
 
 _SIMPLE = f"""SELECT customer_id, avg_order_value, tenure_months, total_spent, purchase_frequency,
@@ -260,7 +260,7 @@ SELECT s.*, ['Low', 'Below Average', 'Average', 'Above Average', 'High'][{value_
 FROM s, (SELECT quantile_cont(simple_ltv, {qfrac(5)}) AS e FROM s)""", "tx", extra={"s": _SIMPLE}))
 def c04g(spark, sf):
     """C4g simple LTV (24 months) with five value bands."""
-    return C.simple_ltv(D.transactions(spark, sf), 24)
+    return C.simple_ltv(D.transactions(spark, sf, dims=False), 24)
 
 
 @register("c04f_ltv_distribution", with_views(f"""
@@ -277,7 +277,7 @@ SELECT COUNT(*) AS count, round_even(CAST(SUM(CAST(simple_ltv AS DECIMAL(18,2)))
 FROM s""", "tx", extra={"s": _SIMPLE}))
 def c04f(spark, sf):
     """C4f distribution summary of simple LTV."""
-    return C.ltv_distribution(C.simple_ltv(D.transactions(spark, sf), 24), "simple_ltv")
+    return C.ltv_distribution(C.simple_ltv(D.transactions(spark, sf, dims=False), 24), "simple_ltv")
 
 
 @register("c04h_value_rates", with_views(f"""
@@ -288,7 +288,7 @@ FROM (SELECT customer_id, SUM(CAST(total_price AS DECIMAL(18,2))) AS s, COUNT(DI
                                          "tx"))
 def c04h(spark, sf):
     """C4h historical LTV, AOV per order and purchase rate."""
-    return C.value_rates(D.transactions(spark, sf))
+    return C.value_rates(D.transactions(spark, sf, dims=False))
 
 
 @register("c05_segment_features", with_views(f"""
@@ -301,7 +301,7 @@ SELECT *, CASE WHEN tenure_days > 0 THEN CAST(total_transactions AS DOUBLE) / (t
 FROM (SELECT {_BASE_FEATS} FROM base)""", "tx", extra={"base": customer_base(T)}))
 def c05(spark, sf):
     """C5 segmentation features."""
-    return C.segment_features(D.transactions(spark, sf), AS_OF)
+    return C.segment_features(D.transactions(spark, sf, dims=False), AS_OF)
 
 
 @register("c05g_rfm_ratios", with_views("""
@@ -309,7 +309,7 @@ SELECT *, CASE WHEN frequency > 0 THEN monetary / CAST(frequency AS DOUBLE) END
   CAST(frequency AS DOUBLE) / (recency + 1) AS purchase_intensity FROM rfm""", "tx", extra={"rfm": _RFM}))
 def c05g(spark, sf):
     """C5g RFM ratio features."""
-    return C.rfm_ratios(C.rfm_metrics(D.transactions(spark, sf), AS_OF))
+    return C.rfm_ratios(C.rfm_metrics(D.transactions(spark, sf, dims=False), AS_OF))
 
 
 @register("a28_churn_by_value_band", with_views(f"""
@@ -318,4 +318,4 @@ SELECT ['Low', 'Medium', 'High'][{value_bin('monetary', 'e', 3)}] AS segment, CO
 FROM rfm, (SELECT quantile_cont(monetary, {qfrac(3)}) AS e FROM rfm) GROUP BY 1""", "tx", extra={"rfm": _RFM}))
 def a28(spark, sf):
     """A28 churn rate by spend tercile."""
-    return C.churn_by_value_band(C.rfm_metrics(D.transactions(spark, sf), AS_OF), 3, 60)
+    return C.churn_by_value_band(C.rfm_metrics(D.transactions(spark, sf, dims=False), AS_OF), 3, 60)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.timeutil import period_start, ts_lit
 from ..operators import reports as R
 from ..sources import driver as D
 from .registry import AS_OF, register
@@ -12,6 +13,15 @@ from .sqlviews import cents_avg, money_sum, round_even, with_views
 T = f"TIMESTAMP '{AS_OF}'"
 
 
+def _days_ago(days):
+    return ts_lit(AS_OF) - F.expr(f"INTERVAL {int(days)} DAYS")
+
+
+def _done(spark, sf, since):
+    """Completed orders of the period, filtered on the raw columns."""
+    return D.orders(spark, sf, "completed", since)
+
+
 @register("a01_dashboard_week", with_views(f"""
 SELECT CAST(SUM(CAST(total AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue,
        COUNT(*) AS total_orders,
@@ -63,13 +73,15 @@ FROM head""", "ord", "oi", "mi", extra=ctes)
 @register("a02_sales_summary_month", _a2_sql("month", 30))
 def a02(spark, sf):
     """A2 sales summary for the last 30 days."""
-    return R.sales_summary(D.orders(spark, sf), D.order_items(spark, sf), D.menu_items(spark, sf), "month", AS_OF)
+    return R.sales_summary(_done(spark, sf, period_start("month", AS_OF)), D.order_items(spark, sf), D.menu_items(spark, sf),
+                           "month", AS_OF)
 
 
 @register("a02_sales_summary_year", _a2_sql("year", 365))
 def a02y(spark, sf):
     """A2 sales summary for the last 365 days."""
-    return R.sales_summary(D.orders(spark, sf), D.order_items(spark, sf), D.menu_items(spark, sf), "year", AS_OF)
+    return R.sales_summary(_done(spark, sf, period_start("year", AS_OF)), D.order_items(spark, sf), D.menu_items(spark, sf),
+                           "year", AS_OF)
 
 
 @register("a03_dashboard_top_items", with_views("""
@@ -95,7 +107,7 @@ SELECT date, CAST(rev AS DOUBLE) AS total_revenue, n AS total_orders, items AS t
       GROUP BY CAST(completed_at AS DATE)"""}))
 def a04(spark, sf):
     """A4 daily sales for the last 365 days."""
-    return R.daily_sales(D.orders(spark, sf), D.order_items(spark, sf), 365, AS_OF)
+    return R.daily_sales(_done(spark, sf, _days_ago(365)), D.order_items(spark, sf), 365, AS_OF)
 
 
 def _period_items_sql(days: int, extra_cols: str = "") -> str:
@@ -135,7 +147,7 @@ SELECT CAST(row_number() OVER (ORDER BY quantity_sold DESC, item_id) AS INTEGER)
 {_period_items_sql(90)}) ORDER BY quantity_sold DESC, item_id LIMIT 10""", "ord", "oi", "mi"))
 def a06(spark, sf):
     """A6 top-10 selling items of the last 90 days with rank."""
-    return R.top_selling(D.menu_items(spark, sf), D.order_items(spark, sf), D.orders(spark, sf), 90, 10, AS_OF)
+    return R.top_selling(D.menu_items(spark, sf), D.order_items(spark, sf), _done(spark, sf, _days_ago(90)), 90, 10, AS_OF)
 
 
 @register("a07_sales_by_category", with_views(f"""
@@ -143,7 +155,7 @@ SELECT item_id, item_name, 'Subcategory ' || sub AS category, quantity_sold, rev
 {_period_items_sql(90, ', mi.subcategory AS sub')})""", "ord", "oi", "mi"))
 def a07(spark, sf):
     """A7 item sales of the last 90 days within subcategory."""
-    return R.sales_by_category(D.menu_items(spark, sf), D.order_items(spark, sf), D.orders(spark, sf), 90, AS_OF)
+    return R.sales_by_category(D.menu_items(spark, sf), D.order_items(spark, sf), _done(spark, sf, _days_ago(90)), 90, AS_OF)
 
 
 @register("a08_daily_aggregates", with_views(f"""
@@ -157,7 +169,7 @@ FROM (SELECT CAST(ts AS DATE) AS date, {money_sum('total_price')} AS total_reven
       FROM tx GROUP BY CAST(ts AS DATE))""", "tx"))
 def a08(spark, sf):
     """A8 daily aggregates with calendar flags."""
-    return R.daily_aggregates(D.transactions(spark, sf))
+    return R.daily_aggregates(D.transactions(spark, sf, dims=False))
 
 
 @register("a09_item_daily_sales", with_views(f"""
@@ -180,7 +192,7 @@ SELECT CAST(COALESCE(SUM(v), 0) AS DOUBLE) AS total_revenue, COUNT(*) AS total_o
 FROM per""", "tx", extra={"per": _PER_ORDER}))
 def a10(spark, sf):
     """A10 overall sales metrics."""
-    return R.overall_metrics(D.transactions(spark, sf))
+    return R.overall_metrics(D.transactions(spark, sf, dims=False))
 
 
 @register("a11_order_value_distribution", with_views("""
@@ -191,7 +203,7 @@ FROM per, (SELECT min(CAST(v AS DOUBLE)) lo, max(CAST(v AS DOUBLE)) hi, CAST(SUM
 GROUP BY 1""", "tx", extra={"per": _PER_ORDER}))
 def a11(spark, sf):
     """A11 order value histogram (10 buckets), mean and median."""
-    return R.order_value_distribution(D.transactions(spark, sf), 10)
+    return R.order_value_distribution(D.transactions(spark, sf, dims=False), 10)
 
 
 _CSTATS = f"""SELECT customer_id, COUNT(DISTINCT order_id) AS total_orders, {money_sum('total_price')} AS total_spent,
@@ -203,7 +215,7 @@ FROM tx WHERE customer_id IS NOT NULL GROUP BY customer_id"""
 SELECT *, round_even(total_spent / total_orders, 6) AS avg_order_value FROM cs""", "tx", extra={"cs": _CSTATS}))
 def a12(spark, sf):
     """A12 per-customer statistics."""
-    return R.customer_stats(D.transactions(spark, sf))
+    return R.customer_stats(D.transactions(spark, sf, dims=False))
 
 
 @register("a13_top_share", with_views("""
@@ -214,7 +226,7 @@ FROM (SELECT total_spent, row_number() OVER (ORDER BY total_spent DESC, customer
                                     "tx", extra={"cs": _CSTATS}))
 def a13(spark, sf):
     """A13 revenue share of the top 10 % of customers."""
-    return R.top_share(R.customer_stats(D.transactions(spark, sf)), 0.1)
+    return R.top_share(R.customer_stats(D.transactions(spark, sf, dims=False)), 0.1)
 
 
 @register("a14_frequency_shares", with_views("""
@@ -224,7 +236,7 @@ SELECT COUNT(*) AS n_customers,
 FROM cs""", "tx", extra={"cs": _CSTATS}))
 def a14(spark, sf):
     """A14 one-time and 5+ customer shares."""
-    return R.frequency_shares(R.customer_stats(D.transactions(spark, sf)))
+    return R.frequency_shares(R.customer_stats(D.transactions(spark, sf, dims=False)))
 
 
 _ISALES = f"""SELECT s.*, mi.name, mi.category, mi.price FROM (
@@ -329,7 +341,7 @@ SELECT CAST(isodow(date) - 1 AS INTEGER) AS day_of_week, round_even(avg(total_or
 FROM (SELECT CAST(ts AS DATE) AS date, COUNT(DISTINCT order_id) AS total_orders FROM tx GROUP BY 1) GROUP BY 1""", "tx"))
 def a21(spark, sf):
     """A21 weekday mean/std of daily distinct orders."""
-    return R.weekday_profile(R.daily_aggregates(D.transactions(spark, sf)))
+    return R.weekday_profile(R.daily_aggregates(D.transactions(spark, sf, dims=False)))
 
 
 @register("a22_tier_counts", with_views("""

@@ -39,19 +39,25 @@ def _map(col, mapping: dict, default=None):
     return expr.otherwise(F.lit(default))
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line-level sales: lineitem joined to orders and part."""
+def transactions(spark: SparkSession, sf_dir: str, dims: bool = True) -> DataFrame:
+    """Line-level sales: lineitem joined to orders, and to part for the item's
+    name, category and subcategory unless ``dims`` is False (an inner join
+    cannot be pruned by the planner, so reports that read no dimension leave
+    it out)."""
     li = read(spark, sf_dir, "lineitem")
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
-    p = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
-    return (li.join(o, li.l_orderkey == o.o_orderkey)
-            .join(p, li.l_partkey == p.p_partkey)
+    sales = li.join(o, li.l_orderkey == o.o_orderkey)
+    named = []
+    if dims:
+        p = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
+        sales = sales.join(p, li.l_partkey == p.p_partkey)
+        named = [F.col("p_name").alias("item_name"), F.col("p_type").alias("category"),
+                 F.col("p_brand").alias("subcategory")]
+    return (sales
             .select(F.col("l_orderkey").alias("order_id"),
                     F.col("o_custkey").alias("customer_id"),
                     F.col("l_partkey").alias("item_id"),
-                    F.col("p_name").alias("item_name"),
-                    F.col("p_type").alias("category"),
-                    F.col("p_brand").alias("subcategory"),
+                    *named,
                     F.col("l_quantity").cast("long").alias("quantity"),
                     F.col("l_extendedprice").alias("total_price"),
                     (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
@@ -62,8 +68,15 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 F.col("l_linenumber").cast("string")).alias("transaction_id")))
 
 
-def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def orders(spark: SparkSession, sf_dir: str, status: str | None = None, since=None) -> DataFrame:
+    """Orders; ``status`` and ``since`` (a timestamp column) filter the raw
+    columns, so that they reach the Parquet scan (Catalyst cannot see through
+    the derived status)."""
     o = read(spark, sf_dir, "orders")
+    if status is not None:
+        o = o.where(F.col("o_orderstatus").isin([raw for raw, name in STATUS_MAP.items() if name == status]))
+    if since is not None:
+        o = o.where(F.col("o_orderdate") >= since)
     status = _map(F.col("o_orderstatus"), STATUS_MAP)
     return o.select(F.col("o_orderkey").alias("id"),
                     F.col("o_custkey").alias("customer_id"),

@@ -7,7 +7,7 @@ Every vector is indexed: it joins the list of its nearest centroid and, near a
 boundary, those of further centroids that are almost as near.  A query visits the lists whose centroids lie within a ratio
 of its nearest centroid's distance, and at least as many as hold enough vectors.
 
-A list that grows beyond ``cell_rows`` lies in several cells.  Equal vectors are
+Neighbouring lists share a shard of about ``shard_bytes``; a larger list has several shards.  Equal vectors are
 one entry of the index that keeps its smallest ids, as many as any query can
 return, and equal queries are searched once; so a vector that a third of all
 rows share costs no more than others, and no result is lost.
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import ensure_checkpoint_dir
+from .common import written
 
 
 @dataclass
@@ -128,8 +128,8 @@ def _lists(graph, ratio: float, copies: int):
     return run
 
 
-def _visits(graph, sizes: np.ndarray, ratio: float, least: int, cells: np.ndarray):
-    """(cluster, cell, query, v) rows: lists within the distance ratio, and as many as hold ``least`` vectors."""
+def _visits(graph, sizes: np.ndarray, ratio: float, least: int, shards: np.ndarray):
+    """(shard, query, v, clusters) rows: lists within the distance ratio, and as many as hold ``least`` vectors."""
     def run(batches):
         g = graph.value
         everywhere = np.arange(len(sizes))[None, :]
@@ -139,7 +139,7 @@ def _visits(graph, sizes: np.ndarray, ratio: float, least: int, cells: np.ndarra
                 x = _matrix(batch)
                 dist = g.search(x, ratio, 8)
                 order = np.argsort(dist, axis=1, kind="stable")
-                rows, clusters, parts = [], [], []
+                rows, where, lists = [], [], []
                 for r in range(len(x)):
                     near, path = dist[r], order[r]
                     if sizes[np.isfinite(near)].sum() < least:
@@ -147,43 +147,70 @@ def _visits(graph, sizes: np.ndarray, ratio: float, least: int, cells: np.ndarra
                         path = np.argsort(near, kind="stable")
                     wide = near[path] <= ratio * near[path[0]]
                     wide |= np.cumsum(sizes[path]) - sizes[path] < least
+                    visited: dict[int, list[int]] = {}
                     for c in path[wide & np.isfinite(near[path])].tolist():
-                        rows += [r] * int(cells[c])
-                        clusters += [c] * int(cells[c])
-                        parts += range(int(cells[c]))
+                        for shard in range(shards[c, 0], shards[c, 0] + shards[c, 1]):
+                            visited.setdefault(shard, []).append(c)
+                    rows += [r] * len(visited)
+                    where += visited.keys()
+                    lists += visited.values()
                 taken = batch.take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(clusters, pa.int32()), pa.array(parts, pa.int32()),
-                                                  taken.column("query"), taken.column("v")],
-                                                 ["cluster", "cell", "query", "v"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(where, pa.int32()), taken.column("query"), taken.column("v"),
+                     pa.array(lists, pa.list_(pa.int32()))], ["shard", "query", "v", "clusters"])
     return run
 
 
 NEAR = pa.schema([("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
+def _first(names: np.ndarray, ids: np.ndarray, d: np.ndarray, found: int) -> list[np.ndarray]:
+    """Of each name the ``found`` nearest distinct ids, ties to the smaller id."""
+    order = np.lexsort((d, ids, names))
+    names, ids, d = names[order], ids[order], d[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (names[1:] != names[:-1])  # a copy in another list
+    names, ids, d = names[new], ids[new], d[new]
+    order = np.lexsort((ids, d, names))
+    names, ids, d = names[order], ids[order], d[order]
+    start = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, int)
+    rank = np.arange(len(names)) - np.repeat(start, np.diff(np.append(start, len(names))))
+    return [names[rank < found], ids[rank < found], d[rank < found]]
+
+
 def _nearest(found: int):
-    """The ``found`` nearest of a cell's vectors for each query that visits it; exact, in double precision."""
+    """The ``found`` nearest in the visited lists of one shard for each query; exact, in double precision."""
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         if not vectors.num_rows or not queries.num_rows:
             return NEAR.empty_table()
-        ids = vectors.column("vec_id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, x, q = ids[order], _matrix(vectors)[order], _matrix(queries)
-        names = queries.column("query").to_numpy()
-        out = []
-        step = max(1, (1 << 22) // max(1, x.size))
-        for at in range(0, len(q), step):
-            d = np.sqrt(((x[None, :, :] - q[at:at + step, None, :]) ** 2).sum(axis=2))
-            best = np.argsort(d, axis=1, kind="stable")[:, :found]  # ties: smaller id first
-            out.append((np.repeat(names[at:at + step], best.shape[1]), ids[best].ravel(),
-                        np.take_along_axis(d, best, axis=1).ravel()))
-        return pa.table([np.concatenate(c) for c in zip(*out)], schema=NEAR)
+        cluster, ids = vectors.column("cluster").to_numpy(), vectors.column("vec_id").to_numpy()
+        order = np.lexsort((ids, cluster))
+        cluster, ids, x = cluster[order], ids[order], _matrix(vectors)[order]
+        names, q = queries.column("query").to_numpy(), _matrix(queries)
+        visitors: dict[int, list[int]] = {}
+        for k, lists in enumerate(queries.column("clusters").to_pylist()):
+            for c in lists:
+                visitors.setdefault(c, []).append(k)
+        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        held = [out]
+        for c, who in visitors.items():
+            low, high = np.searchsorted(cluster, [c, c + 1])
+            step = max(1, (1 << 21) // max(1, (high - low) * x.shape[1]))
+            for at in range(0, len(who) if high > low else 0, step):
+                part = np.array(who[at:at + step])
+                d = np.sqrt(((x[None, low:high] - q[part][:, None]) ** 2).sum(axis=2))
+                best = np.argsort(d, axis=1, kind="stable")[:, :found]  # ties: smaller id first
+                held.append([np.repeat(names[part], best.shape[1]), ids[low:high][best].ravel(),
+                             np.take_along_axis(d, best, axis=1).ravel()])
+            if sum(len(h[0]) for h in held) > 1 << 20:
+                held = [_first(*map(np.concatenate, zip(*held)), found)]
+        return pa.table(_first(*map(np.concatenate, zip(*held)), found), schema=NEAR)
     return run
 
 
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, list_rows: int = 128,
                        sample_rows: int = 20_000, boundary_ratio: float = 1.03, copies: int = 3,
-                       visit_ratio: float = 1.15, visit_rows: int = 64, cell_rows: int = 4096,
+                       visit_ratio: float = 1.15, visit_rows: int = 64, shard_bytes: int = 8 << 20,
                        id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score``: the k nearest found by Euclidean distance.
 
@@ -195,7 +222,6 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, list
     ``sample_rows`` vectors, chosen by a hash of their id, and holds all.
     """
     spark = vectors.sparkSession
-    ensure_checkpoint_dir(spark)
 
     def valid(df: DataFrame) -> DataFrame:
         v = F.transform(F.col(vector_col).cast("array<double>"), lambda e: e + F.lit(0.0))  # -0.0 as 0.0
@@ -211,9 +237,9 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, list
     right = F.size("v") == shapes["d"]
     same = Window.partitionBy("v").orderBy("vec_id")
     index = (valid(vectors).where(right).groupBy("v", "vec_id").agg(F.lit(1).alias("_"))
-             .withColumn("_", F.row_number().over(same)).where(F.col("_") <= k + 1).select("vec_id", "v").checkpoint())
-    asked = valid(queries).where(right).groupBy("v", "vec_id").agg(F.lit(1).alias("_")).drop("_").checkpoint()
-    distinct = asked.groupBy("v").agg(F.min("vec_id").alias("query")).checkpoint()
+             .withColumn("_", F.row_number().over(same)).where(F.col("_") <= k + 1).select("vec_id", "v").transform(written))
+    asked = valid(queries).where(right).groupBy("v", "vec_id").agg(F.lit(1).alias("_")).drop("_").transform(written)
+    distinct = asked.groupBy("v").agg(F.min("vec_id").alias("query")).transform(written)
 
     n = index.count()
     sample_rows = max(1000, min(sample_rows, (1 << 25) // (8 * shapes["d"])))  # 32 MB at most
@@ -221,22 +247,29 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, list
     lists = min(max(1, n // list_rows), max(1, sample_rows // 8))
     graph = spark.sparkContext.broadcast(CentroidGraph.build(balanced_centroids(_matrix(fit), lists)))
 
-    posted = index.mapInArrow(_lists(graph, boundary_ratio, copies), "cluster int, vec_id long, v array<double>").checkpoint()
+    posted = index.mapInArrow(_lists(graph, boundary_ratio, copies), "cluster int, vec_id long, v array<double>").transform(written)
     sizes = np.zeros(len(graph.value.centroids), np.int64)
     for row in posted.groupBy("cluster").count().collect():  # a row for each centroid
         sizes[row["cluster"]] = row["count"]
-    cells = np.maximum(1, -(-sizes // cell_rows))
-    placed = spark.createDataFrame([(c, int(x)) for c, x in enumerate(cells)], "cluster int, cells int")
+    shard_rows = max(1, shard_bytes // (8 * shapes["d"]))
+    shards, shard, held = np.zeros((len(sizes), 2), np.int64), 0, 0
+    for c, size in enumerate(sizes.tolist()):  # neighbouring lists share a shard; a large list has several
+        if held and held + size > shard_rows:
+            shard, held = shard + 1, 0
+        shards[c] = shard, max(1, -(-size // shard_rows))
+        shard, held = (shard + int(shards[c, 1]), 0) if shards[c, 1] > 1 else (shard, held + size)
+    placed = spark.createDataFrame([(c, int(a), int(b)) for c, (a, b) in enumerate(shards)],
+                                   "cluster int, first int, shards int")
     posted = posted.join(F.broadcast(placed), "cluster").select(
-        "cluster", F.expr("int(pmod(xxhash64(vec_id), cells))").alias("cell"), "vec_id", "v")
-    visits = distinct.mapInArrow(_visits(graph, sizes, visit_ratio, max(visit_rows, copies * (k + 1)), cells),
-                                 "cluster int, cell int, query long, v array<double>")
-    near = (posted.groupBy("cluster", "cell").cogroup(visits.groupBy("cluster", "cell"))
+        F.expr("first + int(pmod(xxhash64(vec_id), shards))").alias("shard"), "cluster", "vec_id", "v")
+    visits = distinct.mapInArrow(_visits(graph, sizes, visit_ratio, max(visit_rows, copies * (k + 1)), shards),
+                                 "shard int, query long, v array<double>, clusters array<int>")
+    near = (posted.groupBy("shard").cogroup(visits.groupBy("shard"))
             .applyInArrow(_nearest(k + 1), "query long, vec_id long, score double")
             .groupBy("query", "vec_id").agg(F.min("score").alias("score")))
     ranked = Window.partitionBy("query").orderBy("score", "vec_id")
-    near = near.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k + 1).drop("rank").checkpoint()
-    named = asked.join(distinct, "v").select(F.col("vec_id").alias("query_id"), "query").checkpoint()
+    near = near.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k + 1).drop("rank").transform(written)
+    named = asked.join(distinct, "v").select(F.col("vec_id").alias("query_id"), "query").transform(written)
     final = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (named.join(near, "query").where("query_id <> vec_id")
             .groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

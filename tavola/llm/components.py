@@ -3,7 +3,7 @@
 Each round hangs every node's larger neighbours (large star), then its smaller
 ones (small star), on the smallest node in sight, until each component is one
 star around its smallest node: a logarithmic number of rounds.  Links never
-leave Spark; each round is cut from its lineage by ``checkpoint()``.
+leave Spark; each round is a table in the shared folder, deleted when it has served.
 """
 
 from __future__ import annotations
@@ -11,23 +11,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from .common import forget, written
 
 
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     """``node``, ``component`` (its smallest node) for every node that has a link to another one."""
-    ensure_checkpoint_dir(links.sparkSession)
     edges = (links.where(F.col(a) != F.col(b))
-             .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct().checkpoint())
+             .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct().transform(written))
     state = None
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).checkpoint()
+        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).transform(written)
         large = (both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .distinct().checkpoint())
-        lowest = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
-        edges = (large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .unionAll(lowest.select("u", F.col("m").alias("v"))).distinct().checkpoint())
+                 .distinct().transform(written))
+        least = large.groupBy("u").agg(F.min("v").alias("m")).transform(written)
+        old, edges = edges, (large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                             .unionAll(least.select("u", F.col("m").alias("v"))).distinct().transform(written))
+        for table in (old, lowest, large, least):
+            forget(table)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(

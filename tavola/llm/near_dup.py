@@ -10,11 +10,13 @@ The groups name candidates; no group is ever expanded into all its pairs:
 
 1. Each set is tested against one hub, the member that shares most of its prefix.
    In a family of near copies that is the text they stem from.
-2. Only groups whose members are still in different components go on.  Small
-   ones give their pairs between components; an upper bound of the overlap from
-   64 counts per set removes most before any text is read.
-3. Large ones are merged into families, cut into blocks, and the members outside
-   the family's largest component are tested against all blocks.
+2. Only groups whose members are still in different components go on.  Two exact
+   bounds remove most pairs before any text is read: the prefix tokens they share
+   plus all that can follow, and the smaller of 256 counts of either set, summed.
+   Small groups give their pairs between components.
+3. In large ones, cut into blocks, the sets outside the group's main component
+   are held against all members by the same bounds: first the likeliest of each
+   are tested, then, of those still apart, all.
 
 Tests read whole texts: the sets on one side are stored, in global order, in a
 prefix tree whose branches share partial overlaps, and a branch is left as soon
@@ -33,17 +35,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
-from .common import rows_of
+from .common import release, rows_of, written
 from .components import connected_components
 from .words import mix, shingles
 
 CELLS = 1 << 22       # counters that find the frequent shingles
 FLOOR = 32            # a counter at or under this says nothing
-GROUPS = 64           # counts of a set's overlap bound
+GROUPS = 256          # counts of a set's overlap bound
+FULL = 255            # a count that says: this many or more
 FLUSH = 1 << 19       # prefix entries packed at a time
 SMALL = 32            # largest group whose pairs are listed
-BLOCK = 256           # sets in a block of a family
+BLOCK = 1024          # sets of a large group, or of a prefix tree, in one place
+LIKELY = 4            # pairs of a set and a block that are tested first
 ENTRY = np.dtype([("token", "<u8"), ("sid", "<i8"), ("n", "<i4")])
 FACT_DDL = "kind int, doc_id long, text_key long, n long, sid long, counts binary"
 FACT = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()),
@@ -65,8 +68,8 @@ def _facts(size: int):
         held = []
         for doc_id, key, text in rows_of(batches, "doc_id", "text_key", "text"):
             s = shingles(text, size)
-            counts = np.minimum(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 65535)
-            held.append((0, doc_id, key, len(s), _set_id(s), counts.astype("<u2").tobytes()))
+            counts = np.minimum(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), FULL)
+            held.append((0, doc_id, key, len(s), _set_id(s), counts.astype(np.uint8).tobytes()))
             pending.append((s >> np.uint64(42)).astype(np.int64))
             seen += len(s)
             if len(held) >= 2048:
@@ -271,37 +274,103 @@ def _tested(levels, size: int, percent: int):
     return run
 
 
+def _overlap_bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """At most so many shingles are in both sets."""
+    both = np.minimum(x, y)
+    return np.where((both == FULL).any(axis=1), 1 << 40, both.sum(axis=1, dtype=np.int64))
+
+
 def _may_link(percent: int):
     """Pairs whose bound of the overlap, from the counts of both sets, reaches the threshold."""
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, GROUPS).astype(np.int64)
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, GROUPS)
                     for k in ("a_counts", "b_counts"))
-            both = np.minimum(x, y)
-            bound = np.where((both == 65535).any(axis=1), 1 << 60, both.sum(axis=1))
+            bound = _overlap_bound(x, y)
             n = batch.column("a_n").to_numpy() + batch.column("b_n").to_numpy()
             keep = pa.array((100 + percent) * bound >= percent * n)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], schema=LINK)
     return run
 
 
-def _family_cell(levels, size: int, percent: int):
-    """Links of one cell of a family: members of one block against the outsiders of another."""
+def _group_cell(percent: int, best: int | None):
+    """Pairs of a large group that may link: sets outside its main component against its members.
+
+    Two sets of several large groups are held against each other in the first
+    of them only.  With ``best`` just that many of the likeliest for each set.
+    """
     def run(table: pa.Table) -> pa.Table:
-        order = levels.value
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("outside", "sid", "component", "text"))))
-        tree = PrefixTree(np.zeros(0, np.uint64))
-        for outside, sid, component, text in rows:
-            if not outside:
-                tree.add(_ordered(shingles(text, size), order), (sid, component))
-        got = [(sid, other) for outside, sid, component, text in rows if outside
-               for other, at in tree.search(_ordered(shingles(text, size), order), percent) if at != component]
-        return pa.table([pa.array([x[k] for x in got], pa.int64()) for k in (0, 1)], schema=LINK)
+        here = table.column("gid")[0].as_py() if table.num_rows else 0
+        outside = table.column("outside").to_numpy(zero_copy_only=False)
+        sid, n, component, other = (table.column(c).to_numpy() for c in ("sid", "n", "component", "other"))
+        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).reshape(-1, GROUPS)
+        lists = [(np.array([g["gid"] for g in x], np.int64), [g["shared"] for g in x]) for x in table.column("groups").to_pylist()]
+        member = np.flatnonzero(~outside)
+        holders: dict[int, list[int]] = {}
+        for at, k in enumerate(member.tolist()):
+            for g in lists[k][0].tolist():
+                holders.setdefault(g, []).append(at)
+        held = {g: np.array(x) for g, x in holders.items()}
+        rest = -(-percent * n // 100) - 1  # tokens beyond the prefix
+        pairs = []
+        for k in np.flatnonzero(outside).tolist() if len(member) else []:
+            shared, first = np.zeros(len(member), np.int64), np.full(len(member), np.iinfo(np.int64).max)
+            for g, w in zip(lists[k][0].tolist(), lists[k][1]):
+                if g in held:
+                    shared[held[g]] += w
+                    first[held[g]] = np.minimum(first[held[g]], g)
+            most = shared + np.minimum(other[member], other[k]) + np.maximum(rest[member], rest[k])
+            able = np.flatnonzero((first == here) & (component[member] != component[k])
+                                  & ((100 + percent) * most >= percent * (n[member] + n[k])))
+            reach = (100 + percent) * _overlap_bound(counts[member[able]], counts[k:k + 1]) - percent * (n[member[able]] + n[k])
+            able, reach = able[reach >= 0], reach[reach >= 0]
+            if best:
+                able = able[np.argsort(-reach / (n[member[able]] + n[k]), kind="stable")[:best]]
+            pairs.append(np.stack([np.full(len(able), sid[k]), sid[member[able]]]))
+        a, b = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+        return pa.table([a, b], schema=LINK)
     return run
 
 
+def _small_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs between components of groups of at most ``SMALL`` sets that may link.
+
+    Beyond the prefix tokens that two sets share, those of the set whose prefix
+    ends first can all be in the other: ``ceil(t n) - 1`` of them.
+    """
+    side = lambda x: (rest.where(F.col("members") <= SMALL)
+                      .select("gid", "shared", *(F.col(c).alias(f"{x}_{c}") for c in ("sid", "n", "component", "large"))))
+    left, right = side("a"), side("b").drop("shared")
+    beyond = lambda x: F.ceil(percent * F.col(x) / 100) - 1
+    most = F.col("shared") + F.least("a_large", "b_large") + F.greatest(beyond("a_n"), beyond("b_n"))
+    count = lambda x: sets.select(F.col("sid").alias(x), F.col("counts").alias(f"{x}_counts"))
+    return (left.join(right, "gid").where((F.col("a_component") != F.col("b_component")) & (F.col("a_sid") < F.col("b_sid")))
+            .where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
+            .groupBy(F.col("a_sid").alias("a"), F.col("b_sid").alias("b"), "a_n", "b_n", "a_large", "b_large")
+            .agg(F.sum("shared").alias("shared")).where((100 + percent) * most >= percent * (F.col("a_n") + F.col("b_n")))
+            .join(count("a"), "a").join(count("b"), "b").select("a", "a_n", "a_counts", "b", "b_n", "b_counts")
+            .mapInArrow(_may_link(percent), "a long, b long"))
+
+
+def _large_pairs(rest: DataFrame, sets: DataFrame, percent: int, best: int | None) -> DataFrame:
+    """Pairs of groups of more than ``SMALL`` sets that may link, block against block."""
+    large = rest.where(F.col("members") > SMALL).select("gid", "sid", "n", "component", "shared", "small", "members")
+    main = (large.groupBy("gid", "component").agg(F.count("*").alias("n")).groupBy("gid")
+            .agg(F.max_by("component", F.struct("n", "component")).alias("main")).transform(written))
+    groups = large.groupBy("sid").agg(F.collect_list(F.struct("gid", "shared")).alias("groups"))  # part of a prefix each
+    rows = (large.withColumnRenamed("small", "other").join(groups, "sid").join(sets.select("sid", "counts"), "sid")
+            .join(main, "gid").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+            .withColumn("block", F.expr("int(pmod(xxhash64(sid), blocks))")))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    columns = ["gid", "i", "j", "sid", "n", "component", "other", "groups", "counts", "outside"]
+    cells = (rows.withColumn("i", every).withColumn("j", F.col("block")).withColumn("outside", F.lit(False)).select(*columns)
+             .unionAll(rows.where("component <> main").withColumn("j", every).withColumn("i", F.col("block"))
+                       .withColumn("outside", F.lit(True)).select(*columns)))
+    return cells.groupBy("gid", "i", "j").applyInArrow(_group_cell(percent, best), "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5, hot: int = 1 << 16, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
     """Per row: ``doc_id``, ``text_key``, ``n_shingles``, ``component_id`` (smallest id reachable by links), ``group``.
@@ -314,13 +383,12 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5, hot: i
     in one place at most, about; beyond it they meet in a grid of places.
     """
     spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
     texts = _texts(docs, id_col, text_col)
-    facts = texts.mapInArrow(_facts(size), FACT_DDL).checkpoint()
+    facts = texts.mapInArrow(_facts(size), FACT_DDL).transform(written)
     documents = facts.where("kind = 0").select("doc_id", "text_key", "n", "sid")
     sets = (facts.where("kind = 0 AND n > 0 AND doc_id IS NOT NULL").groupBy("sid")
             .agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min("n").alias("n"), F.min("counts").alias("counts"))
-            .select("sid", "rep.doc_id", "rep.text_key", "n", "counts").checkpoint())
+            .select("sid", "rep.doc_id", "rep.text_key", "n", "counts").transform(written))
     levels = spark.sparkContext.broadcast(_levels(facts))
     entries = sets.agg(F.sum("n")).first()[0] or 0
     parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), entries // 2_000_000)
@@ -329,71 +397,60 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5, hot: i
                .mapInArrow(_prefixes(levels, size, percent, parts, hot), "part int, entries binary")
                .repartition("part").sortWithinPartitions("part")
                .mapInArrow(_groups, "gid long, sid long, n int, shared long")
-               .groupBy("gid", "sid", "n").agg(F.sum("shared").alias("shared")).checkpoint())
+               .groupBy("gid", "sid", "n").agg(F.sum("shared").alias("shared")).transform(written))
+
+    release(spark)
+    wanted = members.select("sid").distinct().join(sets.select("sid", "doc_id", "text_key"), "sid")
+    body = (texts.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["sid", "doc_id", "text_key"]).select("sid", "text")
+            .transform(written))
+    release(spark)
 
     def tested(pairs: DataFrame) -> DataFrame:
-        wanted = (pairs.select(F.col("a").alias("sid")).unionAll(pairs.select("b")).distinct()
-                  .join(sets.select("sid", "doc_id", "text_key"), "sid"))
-        body = (texts.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["sid"]).select("sid", "text").checkpoint())
         rows = (pairs.join(body.select(F.col("sid").alias("b"), F.col("text").alias("b_text")), "b")
                 .join(body.select(F.col("sid").alias("a"), F.col("text").alias("a_text")), "a")
                 .select("a", "a_text", "b", "b_text"))
-        return rows.mapInArrow(_tested(levels, size, percent), "a long, b long").checkpoint()
+        found = rows.mapInArrow(_tested(levels, size, percent), "a long, b long").transform(written)
+        release(spark)
+        return found
 
     # 1. one hub for each set
-    weight = members.groupBy("sid", "n").agg((F.sum("shared") / (F.col("n") + 5)).alias("weight")).drop("n").checkpoint()
+    weight = members.groupBy("sid", "n").agg((F.sum("shared") / (F.col("n") + 5)).alias("weight")).drop("n").transform(written)
     span = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).alias("span")
-    weighed = members.join(weight, "sid").withColumn("span", span).checkpoint()
-    hubs = weighed.groupBy("gid", "span").agg(F.max_by("sid", F.struct("weight", "sid")).alias("hub")).checkpoint()
+    weighed = members.join(weight, "sid").withColumn("span", span).transform(written)
+    hubs = weighed.groupBy("gid", "span").agg(F.max_by("sid", F.struct("weight", "sid")).alias("hub")).transform(written)
     first = (weighed.join(hubs, ["gid", "span"]).where("hub <> sid").groupBy("hub", "sid")
              .agg(F.sum("shared").alias("shared")).groupBy("sid")
-             .agg(F.max_by("hub", F.struct("shared", "hub")).alias("a")).select("a", F.col("sid").alias("b")).checkpoint())
+             .agg(F.max_by("hub", F.struct("shared", "hub")).alias("a")).select("a", F.col("sid").alias("b")).transform(written))
     links = tested(first)
 
-    # 2. groups that still lie in several components
-    component = connected_components(links, "a", "b").checkpoint()
-    placed = (members.join(component.withColumnRenamed("node", "sid"), "sid", "left")
-              .select("gid", "sid", "n", F.coalesce("component", "sid").alias("component")).checkpoint())
-    mixed = (placed.groupBy("gid").agg(F.count("*").alias("members"), F.min("component").alias("low"),
-                                       F.max("component").alias("high")).where("low <> high")
-             .select("gid", "members").checkpoint())
-    rest = placed.join(mixed, "gid").checkpoint()
-    small = rest.where(F.col("members") <= SMALL)
-    side = lambda x: small.select("gid", *(F.col(c).alias(f"{x}_{c}") for c in ("sid", "n", "component")))
-    near = ((F.col("a_component") < F.col("b_component"))
-            & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")))
-    count = lambda x: sets.select(F.col("sid").alias(x), F.col("n").alias(f"{x}_n"), F.col("counts").alias(f"{x}_counts"))
-    pairs = (side("a").join(side("b"), "gid").where(near)
-             .select(F.least("a_sid", "b_sid").alias("a"), F.greatest("a_sid", "b_sid").alias("b")).distinct()
-             .join(count("a"), "a").join(count("b"), "b").select("a", "a_n", "a_counts", "b", "b_n", "b_counts")
-             .mapInArrow(_may_link(percent), "a long, b long").checkpoint())
-    links = links.unionAll(tested(pairs))
-
-    # 3. families of large groups, block against block
-    large = rest.where(F.col("members") > SMALL)
-    if not large.isEmpty():
-        heads = large.groupBy("gid").agg(F.min("sid").alias("head")).checkpoint()
-        kin = connected_components(large.join(heads, "gid"), "sid", "head").withColumnRenamed("component", "family")
-        kin = (large.select("sid", "component").distinct().join(kin.withColumnRenamed("node", "sid"), "sid").checkpoint())
-        sizes = (kin.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family")
-                 .agg(F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("main"))
-                 .select("family", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")).checkpoint())
-        kin = kin.join(sizes, "family").withColumn("block", F.expr("int(pmod(xxhash64(sid), blocks))"))
-        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        cells = (kin.withColumn("i", every).select("family", "i", F.col("block").alias("j"), "sid", "component",
-                                                   F.lit(False).alias("outside"))
-                 .unionAll(kin.where("component <> main").withColumn("j", every)
-                           .select("family", F.col("block").alias("i"), "j", "sid", "component", F.lit(True).alias("outside"))))
-        wanted = kin.select("sid").distinct().join(sets.select("sid", "doc_id", "text_key"), "sid")
-        body = texts.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["sid"]).select("sid", "text")
-        links = links.unionAll(cells.join(body, "sid").groupBy("family", "i", "j")
-                               .applyInArrow(_family_cell(levels, size, percent), "a long, b long").checkpoint())
-
-    component = connected_components(links, "a", "b").withColumnRenamed("node", "sid").checkpoint()
+    # 2. groups that still lie in several components: first the likeliest pairs, then all that remain
+    done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for best in (LIKELY, None):
+        component = connected_components(links, "a", "b").transform(written)
+        placed = (members.join(component.withColumnRenamed("node", "sid"), "sid", "left")
+                  .select("gid", "sid", "n", "shared", F.coalesce("component", "sid").alias("component")).transform(written))
+        mixed = (placed.groupBy("gid").agg(F.count("*").alias("members"), F.min("component").alias("low"),
+                                           F.max("component").alias("high")).where("low <> high")
+                 .select("gid", "members").transform(written))
+        rest = placed.join(mixed, "gid")
+        often = F.col("members") > SMALL
+        held = rest.groupBy("sid").agg(F.sum(F.when(often, F.col("shared")).otherwise(0)).alias("large"),
+                                       F.sum(F.when(often, 0).otherwise(F.col("shared"))).alias("small"))
+        rest = rest.join(held, "sid").transform(written)
+        pairs = _small_pairs(rest, sets, percent)
+        if not rest.where(often).isEmpty():
+            pairs = pairs.unionAll(_large_pairs(rest, sets, percent, best))
+        pairs = (pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+                 .join(done, ["a", "b"], "left_anti").transform(written))
+        if pairs.isEmpty():
+            break
+        links, done = links.unionAll(tested(pairs)), done.unionAll(pairs)
+
+    component = connected_components(links, "a", "b").withColumnRenamed("node", "sid").transform(written)
     grouped = (sets.select("sid", "doc_id").join(component, "sid", "left")
-               .select("sid", "doc_id", F.coalesce("component", "sid").alias("group")).checkpoint())
-    low = grouped.groupBy("group").agg(F.min("doc_id").alias("component_id")).checkpoint()
-    names = grouped.join(low, "group").select("sid", "group", "component_id").checkpoint()
+               .select("sid", "doc_id", F.coalesce("component", "sid").alias("group")).transform(written))
+    low = grouped.groupBy("group").agg(F.min("doc_id").alias("component_id")).transform(written)
+    names = grouped.join(low, "group").select("sid", "group", "component_id").transform(written)
     named = documents.where("n > 0 AND doc_id IS NOT NULL").join(names, "sid").select(
         "doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", "group")
     alone = documents.where("n = 0 OR doc_id IS NULL").select(
@@ -411,7 +468,7 @@ def one_of_each(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str =
     found = jaccard_components(docs, percent, size, id_col=id_col, text_col=text_col).where("doc_id IS NOT NULL")
     keep = (found.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("row"))
             .select(F.col("row.doc_id").alias("_doc"), F.col("row.text_key").alias("_key"))
-            .unionAll(found.where("group IS NULL").select("doc_id", "text_key").distinct()).checkpoint())
+            .unionAll(found.where("group IS NULL").select("doc_id", "text_key").distinct()).transform(written))
     row_id = F.col(id_col).cast("long")
     text = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     chosen = (docs.where(row_id.isNotNull()).join(keep, (row_id == F.col("_doc")) & (text == F.col("_key")))

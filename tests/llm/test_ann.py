@@ -55,7 +55,7 @@ def test_few_and_none(spark):
 def test_recall_and_scores(spark):
     rows = duckdb.sql("SELECT vec_id, embedding FROM '/root/testdata/sf0.1/embeddings.parquet'").fetchall()
     want = brute(rows)
-    assert run(spark, rows, list_rows=16, cell_rows=40, visit_ratio=9.0) == want  # every list, in small cells
+    assert run(spark, rows, list_rows=16, shard_bytes=40 * 512, visit_ratio=9.0) == want  # every list, small shards
     got = run(spark, rows)
     assert {(q, r) for q, r, _, _ in got} == {(q, r) for q, r, _, _ in want}
     near = {(q, i) for q, _, i, _ in want}

@@ -121,9 +121,9 @@ def test_components(spark):
 
 @pytest.mark.parametrize("setting", ["production", "hot cells", "small blocks"])
 def test_components_of_documents(spark, monkeypatch, setting):
-    rows = ROWS + [(None, ROWS[7][1])] + families() + sample("sf0.01" if setting == "production" else "sf0.001")
+    rows = ROWS + [(None, ROWS[7][1])] + families() + sample()
     if setting == "small blocks":
-        monkeypatch.setattr(near_dup, "BLOCK", 16)
+        monkeypatch.setattr(near_dup, "BLOCK", 32)
         monkeypatch.setattr(near_dup, "SMALL", 4)
     hot = 40 if setting == "hot cells" else 1 << 16
     want, _ = brute(rows)

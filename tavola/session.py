@@ -61,11 +61,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(current)
         return current
-    if sc.getCheckpointDir():
-        return sc.getCheckpointDir()
+    given = sc.getCheckpointDir()
+    if given:
+        return given.replace("file:/", "file:///", 1) if given.startswith("file:/") and given[6:7] != "/" else given
     if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="tavola-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)
-    return path
+    return f"file://{path}"

@@ -9,7 +9,7 @@ in a ``Pipeline``; metrics are DataFrame aggregates (``forecast.py``).
 
 from __future__ import annotations
 
-import itertools
+import math
 import random
 from collections.abc import Sequence
 
@@ -36,14 +36,20 @@ RISK_BANDS = [(0.25, "Low"), (0.5, "Medium"), (0.75, "High")]
 RISK_TOP = "Critical"
 LTV_LABELS = ["Low", "Below Average", "Average", "Above Average", "High"]
 
-# Cluster naming profiles (name, description) by rule.
-SEGMENT_NAMES = {
-    "new_customers": "New Customers",
-    "churning": "At-Risk / Churning",
-    "high_value_frequent": "VIP Champions",
-    "high_value_infrequent": "Big Spenders",
-    "low_value_frequent": "Loyal Regulars",
-    "low_value_infrequent": "Occasional Visitors",
+# Segment name, description and strategy by profile.
+SEGMENT_PROFILES = {
+    "high_value_frequent": ("VIP Customers", "High spenders who visit frequently",
+                            "Priority service, exclusive offers, loyalty rewards"),
+    "high_value_infrequent": ("Big Spenders", "High order values but occasional visits",
+                              "Re-engagement campaigns, subscription offers"),
+    "low_value_frequent": ("Regular Customers", "Frequent visitors with smaller orders",
+                           "Upselling, combo deals, volume discounts"),
+    "low_value_infrequent": ("Casual Visitors", "Occasional visitors with small orders",
+                             "Welcome back offers, trial promotions"),
+    "new_customers": ("New Customers", "Recently acquired customers",
+                      "Onboarding journey, first purchase incentives"),
+    "churning": ("At Risk", "Previously active but declining engagement",
+                 "Win-back campaigns, personalized outreach"),
 }
 
 
@@ -59,10 +65,21 @@ def hash_fraction(key: str, seed: int = 42) -> F.Column:
 
 
 def stratified_split(df: DataFrame, label: str, test: float = 0.2, seed: int = 42, key: str = "customer_id"):
-    """Seeded split drawn independently inside each class, so both sides keep
-    the class ratio (up to sampling noise); stable per key."""
+    """Seeded split inside each class: the rows whose hashed key lies below the
+    class's own ``test`` quantile are held out, so both sides keep the class
+    shares; stable per key."""
     u = hash_fraction(key, seed)
-    return df.where(u >= test), df.where(u < test)
+    cut = df.groupBy(label).agg(F.percentile_approx(u, F.lit(test), F.lit(100_000)).alias("_cut"))
+    marked = df.withColumn("_u", u).join(F.broadcast(cut), label)  # a row a class
+    return (marked.where("_u > _cut").drop("_u", "_cut"), marked.where("_u <= _cut").drop("_u", "_cut"))
+
+
+def stratified_folds(df: DataFrame, label: str, folds: int = 5, seed: int = 42, key: str = "customer_id") -> DataFrame:
+    """Adds ``_fold``: equal slices of the hashed keys of each class."""
+    u = hash_fraction(key, seed)
+    cuts = df.groupBy(label).agg(F.percentile_approx(u, [k / folds for k in range(1, folds)], 100_000).alias("_cuts"))
+    marked = df.withColumn("_u", u).join(F.broadcast(cuts), label)  # a row a class
+    return marked.withColumn("_fold", F.size(F.filter("_cuts", lambda c: c < F.col("_u")))).drop("_u", "_cuts")
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -76,9 +93,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 def train_churn(data: DataFrame, feature_cols: Sequence[str], label: str = "is_churned",
                 max_iter: int = 30, seed: int = 42):
     """Boosted trees with balanced class weights; hold-out metrics."""
-    # one row per customer, read by the fit and by the hold-out metrics
-    data = data.fillna(0, list(feature_cols)).persist(StorageLevel.MEMORY_AND_DISK)
-    train, hold = stratified_split(data, label, 0.2, seed)
+    train, hold = stratified_split(data.fillna(0, list(feature_cols)), label, 0.2, seed)
     gbt = GBTClassifier(labelCol=label, featuresCol="features", weightCol="weight", maxIter=max_iter,
                         maxDepth=5, seed=seed)
     model = Pipeline(stages=[_assembler(feature_cols), gbt]).fit(class_weights(train, label))
@@ -86,6 +101,26 @@ def train_churn(data: DataFrame, feature_cols: Sequence[str], label: str = "is_c
     return model, classification_metrics(scored, label, "p", 0.5, key="customer_id")
 
 
+def churn_cv(data: DataFrame, feature_cols: Sequence[str], label: str = "is_churned", folds: int = 5,
+             max_iter: int = 30, seed: int = 42) -> DataFrame:
+    """Mean and population std of the AUC over stratified folds."""
+    data = stratified_folds(data.fillna(0, list(feature_cols)), label, folds, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        rows = []
+        for k in range(folds):
+            gbt = GBTClassifier(labelCol=label, featuresCol="features", weightCol="weight", maxIter=max_iter,
+                                maxDepth=5, seed=seed)
+            model = Pipeline(stages=[_assembler(feature_cols), gbt]).fit(class_weights(data.where(F.col("_fold") != k), label))
+            scored = model.transform(data.where(F.col("_fold") == k)).withColumn("p", vector_to_array("probability")[1])
+            auc = classification_metrics(scored, label, "p", 0.5, key="customer_id").select("roc_auc").first()[0]
+            rows.append((k, None if auc is None else float(auc)))
+    finally:
+        data.unpersist()
+    per = data.sparkSession.createDataFrame(rows, "fold int, auc double")
+    return per.agg(F.count("auc").alias("n_folds"), round_even(F.avg("auc"), 6).alias("auc_mean"),
+                   round_even(F.stddev_pop("auc"), 6).alias("auc_std"))
+
+
 def risk_band(p) -> F.Column:
     c = F.col(p) if isinstance(p, str) else p
     expr = None
@@ -112,8 +147,7 @@ def train_ltv(table: DataFrame, feature_cols: Sequence[str], target: str = "futu
               max_iter: int = 30, seed: int = 42):
     """C4d: boosted regression on the hold-out target; MAE, RMSE, R2 and the
     offset MAPE (E2) on a seeded 20 % test split."""
-    t = (table.fillna(0, list(feature_cols)).withColumn("_u", hash_fraction("customer_id", seed))
-         .persist(StorageLevel.MEMORY_AND_DISK))
+    t = table.fillna(0, list(feature_cols)).withColumn("_u", hash_fraction("customer_id", seed))
     train, test = t.where("_u >= 0.2"), t.where("_u < 0.2")
     gbt = GBTRegressor(labelCol=target, featuresCol="features", maxIter=max_iter, maxDepth=5, seed=seed)
     model = Pipeline(stages=[_assembler(feature_cols), gbt]).fit(train)
@@ -121,6 +155,26 @@ def train_ltv(table: DataFrame, feature_cols: Sequence[str], target: str = "futu
     return model, regression_metrics(pred, target, "prediction", None, mape_offset=1.0)
 
 
+def ltv_cv(table: DataFrame, feature_cols: Sequence[str], target: str = "future_value", folds: int = 5,
+           max_iter: int = 30, seed: int = 42) -> DataFrame:
+    """C4d: mean and population std of the MAE over seeded folds."""
+    t = (table.fillna(0, list(feature_cols))
+         .withColumn("_fold", F.floor(hash_fraction("customer_id", seed) * folds).cast("int")).persist(StorageLevel.MEMORY_AND_DISK))
+    try:
+        rows = []
+        for k in range(folds):
+            gbt = GBTRegressor(labelCol=target, featuresCol="features", maxIter=max_iter, maxDepth=5, seed=seed)
+            model = Pipeline(stages=[_assembler(feature_cols), gbt]).fit(t.where(F.col("_fold") != k))
+            pred = model.transform(t.where(F.col("_fold") == k))
+            mae = regression_metrics(pred, target, "prediction").select("mae").first()[0]
+            rows.append((k, None if mae is None else float(mae)))
+    finally:
+        t.unpersist()
+    per = table.sparkSession.createDataFrame(rows, "fold int, mae double")
+    return per.agg(F.count("mae").alias("n_folds"), round_even(F.avg("mae"), 6).alias("mae_mean"),
+                   round_even(F.stddev_pop("mae"), 6).alias("mae_std"))
+
+
 def predict_ltv(model: PipelineModel, features: DataFrame, feature_cols: Sequence[str]) -> DataFrame:
     """C4e: non-negative prediction and five value bands."""
     p = model.transform(features.fillna(0, list(feature_cols)))
@@ -143,17 +197,46 @@ def standardize(df: DataFrame, cols: Sequence[str], out: str = "features") -> tu
 
 
 def choose_k(scaled: DataFrame, k_min: int = 3, k_max: int = 8, seed: int = 42) -> DataFrame:
-    """Silhouette (Spark: squared Euclidean) and inertia for k in range."""
+    """Silhouette (Spark: squared Euclidean), inertia, Calinski-Harabasz
+    and Davies-Bouldin for k in range; ``chosen`` marks the best silhouette
+    (the smallest such k)."""
     rows = []
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
     data = scaled.select("features").persist(StorageLevel.MEMORY_AND_DISK)  # reused by every k
     try:
         for k in range(k_min, k_max + 1):
             km = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(data)
-            rows.append((k, float(ev.evaluate(km.transform(data))), float(km.summary.trainingCost)))
+            labelled = km.transform(data)
+            centres = [[float(x) for x in c] for c in km.clusterCenters()]
+            ch, db = _cluster_indices(labelled, centres, float(km.summary.trainingCost))
+            rows.append((k, float(ev.evaluate(labelled)), float(km.summary.trainingCost), ch, db))
     finally:
         data.unpersist()
-    return scaled.sparkSession.createDataFrame(rows, "k int, silhouette double, inertia double")
+    best = max(rows, key=lambda r: (r[1], -r[0]))[0]
+    return scaled.sparkSession.createDataFrame(
+        [(*r, r[0] == best) for r in rows],
+        "k int, silhouette double, inertia double, calinski_harabasz double, davies_bouldin double, chosen boolean")
+
+
+def _cluster_indices(labelled: DataFrame, centres: list[list[float]], inertia: float) -> tuple[float | None, float | None]:
+    """Calinski-Harabasz and Davies-Bouldin from one aggregate with a row per cluster."""
+    at = F.array(*[F.array(*[F.lit(x) for x in c]) for c in centres])
+    gap = F.aggregate(F.zip_with(vector_to_array("features"), at[F.col("cluster")], lambda x, y: (x - y) * (x - y)),
+                      F.lit(0.0), lambda a, b: a + b)
+    rows = labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg(F.sqrt(gap)).alias("spread")).collect()
+    n, k, width = sum(r.n for r in rows), len(rows), range(len(centres[0]))
+    if k < 2 or n <= k or inertia <= 0:
+        return None, None
+    mean = [sum(r.n * centres[r.cluster][d] for r in rows) / n for d in width]
+    between = sum(r.n * sum((centres[r.cluster][d] - mean[d]) ** 2 for d in width) for r in rows)
+    away = lambda a, b: sum((x - y) ** 2 for x, y in zip(centres[a.cluster], centres[b.cluster])) ** 0.5
+    worst = [max((a.spread + b.spread) / away(a, b) for b in rows if b is not a) for a in rows]
+    return between / (k - 1) / (inertia / (n - k)), sum(worst) / k
+
+
+def best_k(scores: DataFrame) -> int:
+    """The chosen k of ``choose_k``."""
+    return scores.where("chosen").first()["k"]
 
 
 def fit_segments(features: DataFrame, cols: Sequence[str], k: int = 5, seed: int = 42):
@@ -169,26 +252,53 @@ def fit_segments(features: DataFrame, cols: Sequence[str], k: int = 5, seed: int
 
 
 def segment_profiles(clustered: DataFrame) -> DataFrame:
-    """C5d: means per cluster, share of customers, and a name from the
-    cluster means' median / quartiles (the table has one row per cluster)."""
+    """C5d: means per cluster, share of customers, and name, description and
+    strategy from the cluster means' median / quartiles (one row per cluster)."""
     prof = clustered.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("customer_count"), F.avg("recency_days").alias("avg_recency"),
         F.avg("total_transactions").alias("avg_transactions"), F.avg("total_spent").alias("avg_total_spent"),
-        F.avg("avg_order_value").alias("avg_order_value"), F.avg("tenure_days").alias("avg_tenure"))
+        F.avg("avg_order_value").alias("avg_order_value"), F.avg("tenure_days").alias("avg_tenure"),
+        F.avg("orders_per_month").alias("avg_orders_per_month"), F.avg("spend_per_month").alias("avg_spend_per_month"),
+        F.avg("item_diversity").alias("avg_item_diversity"))
     q = scalar_struct(prof.agg(F.percentile("avg_total_spent", 0.5).alias("spend_med"),
                                F.percentile("avg_transactions", 0.5).alias("tx_med"),
                                F.percentile("avg_tenure", 0.25).alias("tenure_q1"),
                                F.percentile("avg_recency", 0.75).alias("recency_q3"),
                                F.sum("customer_count").alias("n")))
     hv, hf = F.col("avg_total_spent") > q["spend_med"], F.col("avg_transactions") > q["tx_med"]
-    name = (F.when(F.col("avg_tenure") < q["tenure_q1"], SEGMENT_NAMES["new_customers"])
-            .when(F.col("avg_recency") > q["recency_q3"], SEGMENT_NAMES["churning"])
-            .when(hv & hf, SEGMENT_NAMES["high_value_frequent"])
-            .when(hv, SEGMENT_NAMES["high_value_infrequent"])
-            .when(hf, SEGMENT_NAMES["low_value_frequent"])
-            .otherwise(SEGMENT_NAMES["low_value_infrequent"]))
-    return prof.withColumn("pct_of_customers", round_even(F.col("customer_count") * 100.0 / q["n"], 6)) \
-        .withColumn("segment_name", name)
+    def told(profile: str) -> F.Column:
+        name, description, strategy = SEGMENT_PROFILES[profile]
+        return F.struct(F.lit(name).alias("segment_name"), F.lit(description).alias("description"),
+                        F.lit(strategy).alias("recommended_strategy"))
+
+    profile = (F.when(F.col("avg_tenure") < q["tenure_q1"], told("new_customers"))
+               .when(F.col("avg_recency") > q["recency_q3"], told("churning"))
+               .when(hv & hf, told("high_value_frequent"))
+               .when(hv, told("high_value_infrequent"))
+               .when(hf, told("low_value_frequent"))
+               .otherwise(told("low_value_infrequent")))
+    return (prof.withColumn("pct_of_customers", round_even(F.col("customer_count") * 100.0 / q["n"], 6))
+            .withColumn("_p", profile).select("*", "_p.*").drop("_p"))
+
+
+def assign_segments(clustered: DataFrame, profiles: DataFrame) -> DataFrame:
+    """C5e: every customer's cluster and segment name (``Segment_<cluster>``
+    for a cluster without a profile)."""
+    names = F.broadcast(profiles.select("cluster", "segment_name"))  # a row a cluster
+    return clustered.join(names, "cluster", "left").select(
+        "customer_id", "cluster",
+        F.coalesce("segment_name", F.concat(F.lit("Segment_"), F.col("cluster").cast("string"))).alias("segment_name"))
+
+
+def segment_summary(profiles: DataFrame) -> DataFrame:
+    """C5e: one row per segment with the totals of the summary on each."""
+    q = scalar_struct(profiles.agg(F.sum("customer_count").alias("n"), F.count(F.lit(1)).alias("k")))
+    return profiles.select(
+        q["n"].alias("total_customers"), q["k"].alias("num_segments"), "cluster", F.col("segment_name").alias("name"),
+        "customer_count", round_even("pct_of_customers", 1).alias("pct_of_customers"),
+        round_even("avg_order_value", 2).alias("avg_order_value"),
+        round_even("avg_orders_per_month", 2).alias("avg_orders_per_month"), "description",
+        F.col("recommended_strategy").alias("strategy"))
 
 
 def normalized_centres(centres: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -263,28 +373,30 @@ def feature_importance(model: PipelineModel, cols: Sequence[str], n: int = 10) -
 
 def permutation_importance(model: PipelineModel, df: DataFrame, cols: Sequence[str], target: str,
                            key: str, seed: int = 42, n: int | None = None) -> DataFrame:
-    """increase of MAE when one feature's values are permuted (seeded)
-    across rows; the permutation is a join of the column, ranked by a seeded
-    random number, back onto the rows ranked the same way."""
+    """increase of MAE when one feature's values are permuted across rows.
+
+    The rows are ranked once in a seeded random order; feature j then takes the
+    value of the row a different number of places further on (round the end),
+    a permutation that needs one join and no further rank."""
     def mae(frame):
         return regression_metrics(model.transform(frame), target, "prediction").select("mae").collect()[0][0]
     from ..functions.bins import global_rank
     base = mae(df)
     rows = []
-    idx = global_rank(df, [key], "_i")
+    idx = global_rank(df.withColumn("_u", F.xxhash64(F.col(key), F.lit(seed))), ["_u", key], "_i")
+    size = idx.count()
     for j, c in enumerate(cols):
-        donor = df.select(key, F.col(c).alias("_v")).withColumn("_u", F.xxhash64(F.col(key), F.lit(seed + j)))
-        donor = global_rank(donor, ["_u", key], "_i").select("_i", "_v")
-        shuffled = idx.join(donor, "_i").withColumn(c, F.col("_v")).drop("_v", "_i")
-        rows.append((c, float(mae(shuffled) - base)))
+        step = 1 + (size * (j + 1)) // (len(cols) + 1)
+        donor = idx.select(F.pmod(F.col("_i") + step, F.lit(size)).alias("_at"), F.col(c).alias("_v"))
+        shuffled = idx.withColumn("_at", F.pmod("_i", F.lit(size))).join(donor, "_at").withColumn(c, F.col("_v"))
+        rows.append((c, float(mae(shuffled.drop("_v", "_i", "_at", "_u")) - base)))
     rows.sort(key=lambda r: (-r[1], r[0]))
     spark = df.sparkSession
     out = spark.createDataFrame([(c, round(v, 6)) for c, v in rows], "feature string, mae_increase double")
     return out.limit(n) if n else out
 
 
-def cross_validate(table: DataFrame, feature_cols: Sequence[str], target: str, folds: DataFrame,
-                   params: dict | None = None) -> DataFrame:
+def cross_validate(feature_cols: Sequence[str], target: str, folds: DataFrame, params: dict | None = None) -> DataFrame:
     """rolling-origin CV over ``time_series_folds`` output; mean and
     population std of MAE, RMSE, R2 across folds."""
     per = []
@@ -303,19 +415,43 @@ def cross_validate(table: DataFrame, feature_cols: Sequence[str], target: str, f
                     *[F.stddev_pop(c).alias(f"{c}_std") for c in ("mae", "rmse", "r2")])
 
 
-def tune(table: DataFrame, feature_cols: Sequence[str], target: str, folds: DataFrame,
-         grid: dict[str, Sequence], n_trials: int = 4, seed: int = 42) -> DataFrame:
-    """seeded random search over a parameter grid, each trial scored by
-    rolling-origin CV MAE (time order kept, so no shuffled k-fold)."""
-    keys = sorted(grid)
-    combos = list(itertools.product(*[grid[k] for k in keys]))
-    random.Random(seed).shuffle(combos)
-    rows = []
-    for t, combo in enumerate(combos[:n_trials]):
-        params = dict(zip(keys, combo))
-        cv = cross_validate(table, feature_cols, target, folds, params).collect()[0]
+# Search space; the reference's ranges for the parameters that Spark's boosting has
+# (kind, low, high).  It has no leaf count and no L1 / L2 penalty; depth is at most 12 here as there.
+SEARCH_SPACE = {
+    "maxIter": ("int", 100, 1000),
+    "stepSize": ("log", 0.01, 0.3),
+    "maxDepth": ("int", 3, 12),
+    "subsamplingRate": ("float", 0.5, 1.0),
+    "featureSubsetStrategy": ("share", 0.5, 1.0),
+    "minInstancesPerNode": ("int", 5, 100),
+}
+
+
+def draw_params(space: dict[str, tuple], rng: random.Random) -> dict:
+    """One point of the space."""
+    out = {}
+    for name, (kind, low, high) in space.items():
+        if kind == "int":
+            out[name] = rng.randint(low, high)
+        elif kind == "log":
+            out[name] = round(math.exp(rng.uniform(math.log(low), math.log(high))), 6)
+        else:
+            x = round(rng.uniform(low, high), 6)
+            out[name] = str(x) if kind == "share" else x
+    return out
+
+
+def tune(feature_cols: Sequence[str], target: str, folds: DataFrame, space: dict[str, tuple] | None = None,
+         n_trials: int = 50, seed: int = 42) -> DataFrame:
+    """seeded random search, each trial scored by rolling-origin CV MAE
+    (time order kept, so no shuffled k-fold).  ``n_trials`` is the budget: 50
+    to 100 for a real search."""
+    rng, rows = random.Random(seed), []
+    for t in range(n_trials):
+        params = draw_params(space or SEARCH_SPACE, rng)
+        cv = cross_validate(feature_cols, target, folds, params).collect()[0]
         rows.append((t, str(params), float(cv["mae_mean"]), float(cv["rmse_mean"])))
-    return table.sparkSession.createDataFrame(rows, "trial int, params string, cv_mae double, cv_rmse double")
+    return folds.sparkSession.createDataFrame(rows, "trial int, params string, cv_mae double, cv_rmse double")
 
 
 def search_summary(trials: DataFrame, metric: str = "cv_mae") -> DataFrame:
@@ -330,17 +466,15 @@ def search_summary(trials: DataFrame, metric: str = "cv_mae") -> DataFrame:
 
 # --------------------------------------------------------------------------- CF
 def factorize(ui: DataFrame, rank: int = 10, n: int = 5, seed: int = 42, implicit: bool = True) -> DataFrame:
-    """Implicit-feedback ALS on (user, item, value) with integer ids;
-    top-n items per user."""
-    from pyspark.ml.feature import StringIndexer
+    """Implicit-feedback ALS on (user, item, value); top-n items per user.
+
+    ALS wants int ids: keys of any type or size get their distributed rank, so
+    nothing is gathered on the driver and up to 2^31 of either can be ranked."""
+    from ..functions.bins import global_rank
 
     def ids(col: str, out: str) -> DataFrame:
-        # integral keys are used as ALS ids directly; others are indexed
-        if ui.schema[col].dataType.simpleString() in ("int", "bigint", "smallint"):
-            return ui.select(col).distinct().withColumn(out, F.col(col).cast("int"))
-        d = ui.select(col).distinct()
-        return StringIndexer(inputCol=col, outputCol=out).fit(d).transform(d) \
-            .withColumn(out, F.col(out).cast("int"))
+        return global_rank(ui.select(col).where(F.col(col).isNotNull()).distinct(), [col], out).withColumn(
+            out, F.col(out).cast("int"))
     users, items = ids("user", "uid"), ids("item", "iid")
     data = ui.join(users, "user").join(items, "item")
     als = ALS(rank=rank, userCol="uid", itemCol="iid", ratingCol="value", implicitPrefs=implicit, seed=seed,

@@ -291,14 +291,17 @@ def c04h(spark, sf):
     return C.value_rates(D.transactions(spark, sf, dims=False))
 
 
-@register("c05_segment_features", with_views(f"""
+SEGMENT_SQL = f"""
 SELECT *, CASE WHEN tenure_days > 0 THEN CAST(total_transactions AS DOUBLE) / (tenure_days / 30.0)
                  ELSE CAST(total_transactions AS DOUBLE) END AS orders_per_month,
   CASE WHEN tenure_days > 0 THEN total_spent / (tenure_days / 30.0) ELSE total_spent END AS spend_per_month,
   CASE WHEN avg_order_value > 0 THEN std_order_value / avg_order_value ELSE 0.0 END AS order_value_cv,
   CASE WHEN total_items > 0 THEN CAST(unique_items_ordered AS DOUBLE) / CAST(total_items AS DOUBLE) ELSE 0.0 END
     AS item_diversity
-FROM (SELECT {_BASE_FEATS} FROM base)""", "tx", extra={"base": customer_base(T)}))
+FROM (SELECT {_BASE_FEATS} FROM base)"""
+
+
+@register("c05_segment_features", with_views(SEGMENT_SQL, "tx", extra={"base": customer_base(T)}))
 def c05(spark, sf):
     """C5 segmentation features."""
     return C.segment_features(D.transactions(spark, sf, dims=False), AS_OF)

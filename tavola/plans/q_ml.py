@@ -9,18 +9,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.rounding import round_even
 from ..operators import basket as B
 from ..operators import customers as C
 from ..operators import forecast as FC
 from ..operators import ml as M
 from ..operators import windows as W
 from ..sources import driver as D
+from .q_customers import SEGMENT_SQL, customer_base
 from .q_forecast import FEATURE_COLS, features
 from .registry import AS_OF, register
+from .sqlviews import with_views
 
 CHURN_COLS = ["total_transactions", "total_spent", "avg_order_value", "std_order_value", "total_items",
               "avg_items_per_order", "unique_items_ordered", "tenure_days", "purchase_span_days",
-              "orders_per_month", *[f"orders_dow_{i}" for i in range(7)]]
+              "orders_per_month", *[f"orders_dow_{i}" for i in range(7)],
+              *[f"orders_{p}" for p in ("morning", "lunch", "afternoon", "dinner", "late")], "tier_code"]
+TIERS = ("bronze", "silver", "gold", "platinum")
+SEARCH_TRIALS = 4  # of the registered search; a real one takes 50 to 100
+CV_ITERATIONS = 10  # boosting rounds in the registered cross validations
 LTV_COLS = ["total_records", "total_transactions", "total_revenue", "avg_order_value", "max_order_value",
             "min_order_value", "total_items", "avg_items_per_order", "unique_items", "tenure_days", "recency_days",
             "purchase_span", "orders_per_month", "avg_days_between_orders", "revenue_per_month",
@@ -29,9 +36,16 @@ SEG_COLS = ["recency_days", "total_transactions", "total_spent", "avg_order_valu
             "orders_per_month", "spend_per_month", "item_diversity"]
 
 
+_MEAN_COLS = ["avg_recency", "avg_transactions", "avg_total_spent", "avg_order_value", "avg_tenure",
+              "avg_orders_per_month", "avg_spend_per_month", "avg_item_diversity"]
+_MEANS = ", ".join(f"round_even({c}, 6) AS {c}" for c in _MEAN_COLS)
+_PROFILES = ", ".join("(" + ", ".join(f"'{x}'" for x in (k, *v)) + ")" for k, v in M.SEGMENT_PROFILES.items())
+
+
 def _churn_data(spark, sf):
-    tx = D.transactions(spark, sf)
-    f = C.churn_features(tx, AS_OF)
+    tx = D.transactions(spark, sf, dims=False)
+    f = C.churn_features(tx, AS_OF, D.customers(spark, sf))
+    f = f.withColumn("tier_code", F.array_position(F.array(*map(F.lit, TIERS)), F.col("loyalty_tier")).cast("double"))
     lab = C.churn_labels(tx, AS_OF, 60).select("customer_id", "is_churned")
     return f.join(lab, "customer_id")
 
@@ -46,6 +60,12 @@ def c03c(spark, sf):
     return _churn_model(spark, sf)[1]
 
 
+@register("c03c_churn_cv")
+def c03c_cv(spark, sf):
+    """C3c AUC over five stratified folds."""
+    return M.churn_cv(_churn_data(spark, sf), CHURN_COLS, "is_churned", max_iter=CV_ITERATIONS)
+
+
 def _churn_scores(spark, sf):
     model, _ = _churn_model(spark, sf)
     return M.score_churn(model, _churn_data(spark, sf), CHURN_COLS)
@@ -63,8 +83,14 @@ def c03e(spark, sf):
     return M.at_risk(_churn_scores(spark, sf), 0.5)
 
 
+@register("c04d_ltv_cv")
+def c04d_cv(spark, sf):
+    """C4d MAE over five folds."""
+    return M.ltv_cv(C.ltv_training(D.transactions(spark, sf, dims=False), 90, 365), LTV_COLS, max_iter=CV_ITERATIONS)
+
+
 def _ltv_model(spark, sf):
-    table = C.ltv_training(D.transactions(spark, sf), 90, 365)
+    table = C.ltv_training(D.transactions(spark, sf, dims=False), 90, 365)
     return M.train_ltv(table, LTV_COLS, "future_value", max_iter=20)
 
 
@@ -76,7 +102,7 @@ def c04d(spark, sf):
 
 def _ltv_pred(spark, sf):
     model, _ = _ltv_model(spark, sf)
-    return M.predict_ltv(model, C.ltv_features(D.transactions(spark, sf), AS_OF, 365), LTV_COLS)
+    return M.predict_ltv(model, C.ltv_features(D.transactions(spark, sf, dims=False), AS_OF, 365), LTV_COLS)
 
 
 @register("c04e_predict_ltv")
@@ -86,37 +112,79 @@ def c04e(spark, sf):
 
 
 def _seg(spark, sf):
-    return C.segment_features(D.transactions(spark, sf), AS_OF)
+    return C.segment_features(D.transactions(spark, sf, dims=False), AS_OF)
+
+
+def _chosen(spark, sf):
+    """Clusters and centres for the k that C5b chooses."""
+    seg = _seg(spark, sf)
+    scaled, _ = M.standardize(seg.fillna(0, SEG_COLS), SEG_COLS)
+    return M.fit_segments(seg, SEG_COLS, M.best_k(M.choose_k(scaled, 3, 8)))
 
 
 @register("c05b_choose_k")
 def c05b(spark, sf):
-    """C5b silhouette and inertia for k = 3..8."""
+    """C5b silhouette, inertia, Calinski-Harabasz, Davies-Bouldin for k = 3..8, and the chosen k."""
     scaled, _ = M.standardize(_seg(spark, sf).fillna(0, SEG_COLS), SEG_COLS)
     return M.choose_k(scaled, 3, 8)
 
 
 @register("c05c_fit_segments")
 def c05c(spark, sf):
-    """C5c k-means (k=5) centres in original units."""
-    return M.fit_segments(_seg(spark, sf), SEG_COLS, 5)[1]
+    """C5c k-means centres in original units, for the chosen k."""
+    return _chosen(spark, sf)[1]
 
 
 @register("c05d_segment_profiles")
 def c05d(spark, sf):
     """C5d cluster profiles with rule-based names."""
-    clustered, _ = M.fit_segments(_seg(spark, sf), SEG_COLS, 5)
-    return M.segment_profiles(clustered)
+    return M.segment_profiles(_chosen(spark, sf)[0])
+
+
+@register("c05d_profiles_of_given_clusters", with_views(f"""
+SELECT cluster, customer_count, {_MEANS},
+  round_even(customer_count * 100.0 / c, 6) AS pct_of_customers, segment_name, description, recommended_strategy
+FROM named JOIN (VALUES {_PROFILES}) v(p, segment_name, description, recommended_strategy) USING (p)""", "tx", extra={
+    "base": customer_base(f"TIMESTAMP '{AS_OF}'"), "seg": SEGMENT_SQL,
+    "prof": """SELECT cluster, COUNT(*) AS customer_count, avg(recency_days) AS avg_recency,
+  avg(total_transactions) AS avg_transactions, avg(total_spent) AS avg_total_spent, avg(avg_order_value) AS avg_order_value,
+  avg(tenure_days) AS avg_tenure, avg(orders_per_month) AS avg_orders_per_month, avg(spend_per_month) AS avg_spend_per_month,
+  avg(item_diversity) AS avg_item_diversity
+FROM (SELECT *, CAST(customer_id % 6 AS INTEGER) AS cluster FROM seg) GROUP BY 1""",
+    "q": """SELECT quantile_cont(avg_total_spent, 0.5) AS s, quantile_cont(avg_transactions, 0.5) AS t,
+  quantile_cont(avg_tenure, 0.25) AS n, quantile_cont(avg_recency, 0.75) AS r, SUM(customer_count) AS c FROM prof""",
+    "named": """SELECT prof.*, c, CASE WHEN avg_tenure < n THEN 'new_customers' WHEN avg_recency > r THEN 'churning'
+  WHEN avg_total_spent > s AND avg_transactions > t THEN 'high_value_frequent' WHEN avg_total_spent > s THEN 'high_value_infrequent'
+  WHEN avg_transactions > t THEN 'low_value_frequent' ELSE 'low_value_infrequent' END AS p FROM prof, q"""}))
+def c05d_given(spark, sf):
+    """C5d profiles of clusters that are given (by customer id), so that SQL can tell them too."""
+    given = _seg(spark, sf).withColumn("cluster", (F.col("customer_id") % 6).cast("int"))
+    p = M.segment_profiles(given)
+    return p.select("cluster", "customer_count", *[round_even(c, 6).alias(c) for c in _MEAN_COLS], "pct_of_customers",
+                    "segment_name", "description", "recommended_strategy")
+
+
+@register("c05e_assign_segments")
+def c05e(spark, sf):
+    """C5e segment of every customer."""
+    clustered, _ = _chosen(spark, sf)
+    return M.assign_segments(clustered, M.segment_profiles(clustered))
+
+
+@register("c05e_segment_summary")
+def c05e_summary(spark, sf):
+    """C5e summary of the segments."""
+    return M.segment_summary(M.segment_profiles(_chosen(spark, sf)[0]))
 
 
 @register("c05f_normalized_centres")
 def c05f(spark, sf):
     """C5f min-max normalised cluster centres."""
-    return M.normalized_centres(M.fit_segments(_seg(spark, sf), SEG_COLS, 5)[1], SEG_COLS)
+    return M.normalized_centres(_chosen(spark, sf)[1], SEG_COLS)
 
 
 def _insights(spark, sf):
-    tx = D.transactions(spark, sf)
+    tx = D.transactions(spark, sf, dims=False)
     rfm = C.rfm_segment(C.rfm_scores(C.rfm_metrics(tx, AS_OF), 5)).select("customer_id", "Segment", "RFM_Score")
     return C.customer_insights(rfm, _churn_scores(spark, sf), _ltv_pred(spark, sf))
 
@@ -174,10 +242,10 @@ def f08(spark, sf):
 
 @register("f09_permutation_importance")
 def f09(spark, sf):
-    """F9 permutation importance (MAE increase) of the lag features."""
+    """F9 permutation importance (MAE increase) of every feature."""
     model, _ = _forecaster(spark, sf)
     t = _train_table(spark, sf).where("split = 'test'").withColumn("rid", F.col("row_index"))
-    return M.permutation_importance(model, t, ["qty_lag_1", "qty_lag_7", "qty_rolling_mean_7"], "qty", "rid")
+    return M.permutation_importance(model, t, FEATURE_COLS, "qty", "rid")
 
 
 def _folds(spark, sf):
@@ -187,15 +255,18 @@ def _folds(spark, sf):
 
 @register("f10_tune")
 def f10(spark, sf):
-    """F10 seeded random search (2 trials) scored by rolling-origin CV."""
-    return M.tune(None or features(spark, sf), FEATURE_COLS, "qty", _folds(spark, sf),
-                  {"maxDepth": [3, 5], "maxIter": [10, 20]}, n_trials=2)
+    """F10 seeded random search of the whole space, scored by rolling-origin CV.
+
+    Every parameter is drawn; the rounds and depth are held to a tenth and a
+    half of their range, so that the registered search ends in minutes."""
+    space = {**M.SEARCH_SPACE, "maxIter": ("int", 10, 40), "maxDepth": ("int", 3, 6)}
+    return M.tune(FEATURE_COLS, "qty", _folds(spark, sf), space, n_trials=SEARCH_TRIALS)
 
 
 @register("f11_cross_validate")
 def f11(spark, sf):
     """F11 rolling-origin CV (3 folds): mean and population std of metrics."""
-    return M.cross_validate(features(spark, sf), FEATURE_COLS, "qty", _folds(spark, sf), {"maxIter": 10})
+    return M.cross_validate(FEATURE_COLS, "qty", _folds(spark, sf), {"maxIter": 10})
 
 
 @register("f12_search_summary")

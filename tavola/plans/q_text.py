@@ -87,7 +87,7 @@ SELECT 'menu_item' AS type, CAST(p_partkey AS VARCHAR) AS ref,
   'Description: ' || concat_ws(' ', p_name, lower(p_type), p_brand) || chr(10) || 'Price: $' || printf('%.2f', p_retailprice)
   || chr(10) || 'Dietary: ' || COALESCE(NULLIF(array_to_string(list_filter([CASE WHEN p_size <= 20 THEN 'vegetarian' END,
      CASE WHEN p_size <= 8 THEN 'vegan' END, CASE WHEN p_type IN ('SMALL', 'ECONOMY') THEN 'gluten-free' END],
-     lambda x: x IS NOT NULL), ', '), ''), 'None') || chr(10) || 'Prep Time: ' || CAST(p_size AS VARCHAR) || ' minutes' AS content
+     lambda x: x IS NOT NULL), ', '), ''), 'None') || chr(10) || 'Prep Time: ' || CAST(p_size AS VARCHAR) || ' minutes' || chr(10) || 'Calories: N/A' AS content
 FROM part
 UNION ALL
 SELECT 'inventory', CAST(p_partkey AS VARCHAR),

@@ -75,12 +75,25 @@ def search_menu(items: DataFrame, subcategory: str | None = None, category: str
     return page(m.withColumn("category_path", path), ["name", "id"], skip, limit)
 
 
-def list_categories(items: DataFrame, active: bool | None = None) -> DataFrame:
-    """Categories (and subcategories) with item counts, by name."""
-    m = items if active is None else items.where(F.col("is_active") == F.lit(active))
-    return (m.groupBy("category", "subcategory").agg(F.count(F.lit(1)).alias("n_items"))
-            .withColumn("category", F.coalesce("category", F.lit("Other")))
-            .orderBy("category", "subcategory"))
+def list_categories(categories: DataFrame, active: bool | None = None) -> DataFrame:
+    """Categories (id, name, display_order, is_active, ...), by display order, then name."""
+    c = categories if active is None else categories.where(F.col("is_active") == F.lit(active))
+    return c.orderBy("display_order", "name")
+
+
+def list_subcategories(subcategories: DataFrame, categories: DataFrame, category=None,
+                       active: bool | None = None) -> DataFrame:
+    """P4 (J2): subcategories with their category's name, ``Other`` where the
+    category is unknown; by display order, then name."""
+    s = subcategories
+    if category is not None:
+        s = s.where(F.col("category_id") == F.lit(category))
+    if active is not None:
+        s = s.where(F.col("is_active") == F.lit(active))
+    names = categories.select(F.col("id").alias("category_id"), F.col("name").alias("category_name"))
+    return (s.join(names, "category_id", "left")
+            .withColumn("category_name", F.coalesce("category_name", F.lit("Other")))
+            .orderBy("display_order", "name"))
 
 
 def search_customers(customers: DataFrame, search: str | None = None, tier: str | None = None,

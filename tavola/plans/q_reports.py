@@ -22,39 +22,39 @@ def _done(spark, sf, since):
     return D.orders(spark, sf, "completed", since)
 
 
-@register("a01_dashboard_week", with_views(f"""
-SELECT CAST(SUM(CAST(total AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue,
-       COUNT(*) AS total_orders,
-       (SELECT COUNT(*) FROM cu) AS total_customers,
-       round_even(CAST(SUM(CAST(total AS DECIMAL(18,2))) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE), 2) AS avg_order_value,
-       CAST(COALESCE(SUM(CAST(total AS DECIMAL(18,2))) FILTER (WHERE created_at >= {T} - INTERVAL 7 DAY), 0) AS DOUBLE) AS period_revenue,
-       COUNT(*) FILTER (WHERE created_at >= {T} - INTERVAL 7 DAY) AS period_orders,
-       (SELECT COUNT(*) FILTER (WHERE is_active) FROM mi) AS menu_items_count,
-       'week' AS period
-FROM ord""", "ord", "cu", "mi"))
-def a01(spark, sf):
-    """A1 dashboard for the last week."""
-    return R.dashboard(D.orders(spark, sf), D.customers(spark, sf), D.menu_items(spark, sf), "week", AS_OF)
+# Start of each period in SQL.
+_START = {"today": f"date_trunc('day', {T})", "week": f"{T} - INTERVAL 7 DAY", "month": f"{T} - INTERVAL 30 DAY",
+          "year": f"{T} - INTERVAL 365 DAY"}
 
 
-@register("a01_dashboard_year", with_views(f"""
+def _a1_sql(period: str) -> str:
+    since = f"created_at >= {_START[period]}"
+    return with_views(f"""
 SELECT CAST(SUM(CAST(total AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue,
        COUNT(*) AS total_orders,
        (SELECT COUNT(*) FROM cu) AS total_customers,
        round_even(CAST(SUM(CAST(total AS DECIMAL(18,2))) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE), 2) AS avg_order_value,
-       CAST(COALESCE(SUM(CAST(total AS DECIMAL(18,2))) FILTER (WHERE created_at >= {T} - INTERVAL 365 DAY), 0) AS DOUBLE) AS period_revenue,
-       COUNT(*) FILTER (WHERE created_at >= {T} - INTERVAL 365 DAY) AS period_orders,
+       CAST(COALESCE(SUM(CAST(total AS DECIMAL(18,2))) FILTER (WHERE {since}), 0) AS DOUBLE) AS period_revenue,
+       COUNT(*) FILTER (WHERE {since}) AS period_orders,
        (SELECT COUNT(*) FILTER (WHERE is_active) FROM mi) AS menu_items_count,
-       'year' AS period
-FROM ord""", "ord", "cu", "mi"))
-def a01y(spark, sf):
-    """A1 dashboard for the last year."""
-    return R.dashboard(D.orders(spark, sf), D.customers(spark, sf), D.menu_items(spark, sf), "year", AS_OF)
+       '{period}' AS period
+FROM ord""", "ord", "cu", "mi")
 
 
-def _a2_sql(period: str, days: int) -> str:
+def _register_a01(period: str) -> None:
+    @register(f"a01_dashboard_{period}", _a1_sql(period))
+    def a01(spark, sf):
+        """A1 dashboard of a period."""
+        return R.dashboard(D.orders(spark, sf), D.customers(spark, sf), D.menu_items(spark, sf), period, AS_OF)
+
+
+for _period in _START:
+    _register_a01(_period)
+
+
+def _a2_sql(period: str) -> str:
     ctes = {
-        "done": f"SELECT id, total FROM ord WHERE status = 'completed' AND completed_at >= {T} - INTERVAL {days} DAY",
+        "done": f"SELECT id, total FROM ord WHERE status = 'completed' AND completed_at >= {_START[period]}",
         "sold": ("SELECT oi.quantity, oi.menu_item_id, mi.name, mi.subcategory FROM oi "
                  "JOIN mi ON oi.menu_item_id = mi.id WHERE oi.order_id IN (SELECT id FROM done)"),
         "head": "SELECT COALESCE(SUM(CAST(total AS DECIMAL(18,2))), 0) AS rev, COUNT(*) AS n FROM done",
@@ -70,18 +70,16 @@ SELECT '{period}' AS period, CAST(rev AS DOUBLE) AS total_revenue, n AS total_or
 FROM head""", "ord", "oi", "mi", extra=ctes)
 
 
-@register("a02_sales_summary_month", _a2_sql("month", 30))
-def a02(spark, sf):
-    """A2 sales summary for the last 30 days."""
-    return R.sales_summary(_done(spark, sf, period_start("month", AS_OF)), D.order_items(spark, sf), D.menu_items(spark, sf),
-                           "month", AS_OF)
+def _register_a02(period: str) -> None:
+    @register(f"a02_sales_summary_{period}", _a2_sql(period))
+    def a02(spark, sf):
+        """A2 sales summary of a period."""
+        return R.sales_summary(_done(spark, sf, period_start(period, AS_OF)), D.order_items(spark, sf),
+                               D.menu_items(spark, sf), period, AS_OF)
 
 
-@register("a02_sales_summary_year", _a2_sql("year", 365))
-def a02y(spark, sf):
-    """A2 sales summary for the last 365 days."""
-    return R.sales_summary(_done(spark, sf, period_start("year", AS_OF)), D.order_items(spark, sf), D.menu_items(spark, sf),
-                           "year", AS_OF)
+for _period in _START:
+    _register_a02(_period)
 
 
 @register("a03_dashboard_top_items", with_views("""
@@ -409,7 +407,12 @@ FROM (SELECT CAST(COALESCE(SUM(CAST(total AS DECIMAL(18,2))) FILTER (WHERE {cur}
              COUNT(*) FILTER (WHERE {cur}) AS oc, COUNT(*) FILTER (WHERE {prev}) AS op FROM ord)""", "ord")
 
 
-@register("a29_period_trend_month", _trend_sql(30))
-def a29(spark, sf):
-    """A29 this month vs the month before."""
-    return R.period_trend(D.orders(spark, sf), "month", AS_OF)
+def _register_a29(period: str, days: int) -> None:
+    @register(f"a29_period_trend_{period}", _trend_sql(days))
+    def a29(spark, sf):
+        """A29 a period against the one before."""
+        return R.period_trend(D.orders(spark, sf), period, AS_OF)
+
+
+for _period, _length in (("week", 7), ("month", 30), ("year", 365)):
+    _register_a29(_period, _length)

@@ -46,12 +46,32 @@ def p02(spark, sf):
     return S.search_menu(D.menu_items(spark, sf), active=True, vegetarian=True, text="ring")
 
 
-@register("p03_list_categories", with_views("""
-SELECT COALESCE(category, 'Other') AS category, subcategory, COUNT(*) AS n_items FROM mi WHERE is_active
-GROUP BY category, subcategory""", "mi"))
+_CATEGORIES = """SELECT r_regionkey AS id, r_name AS name, 10 - length(r_name) AS display_order,
+  r_regionkey < 4 AS is_active FROM region"""
+_SUBCATEGORIES = """SELECT CASE WHEN n_nationkey % 10 <> 9 THEN n_regionkey END AS category_id, n_nationkey AS id,
+  n_name AS name, n_nationkey % 5 AS display_order, n_nationkey < 20 AS is_active FROM nation"""
+
+
+@register("p03_list_categories", f"SELECT * FROM ({_CATEGORIES}) WHERE is_active ORDER BY display_order, name")
 def p03(spark, sf):
-    """P3/P4 category and subcategory list of active items."""
-    return S.list_categories(D.menu_items(spark, sf), active=True)
+    """P3 active categories in display order."""
+    return S.list_categories(D.categories(spark, sf), active=True)
+
+
+@register("p04_list_subcategories", f"""
+SELECT s.*, COALESCE(c.name, 'Other') AS category_name FROM ({_SUBCATEGORIES}) s LEFT JOIN ({_CATEGORIES}) c
+  ON s.category_id = c.id ORDER BY display_order, name""")
+def p04(spark, sf):
+    """P4 (J2) subcategories with category names, Other for unknown ones."""
+    return S.list_subcategories(D.subcategories(spark, sf), D.categories(spark, sf))
+
+
+@register("p04_subcategories_of_category", f"""
+SELECT s.*, COALESCE(c.name, 'Other') AS category_name FROM ({_SUBCATEGORIES}) s LEFT JOIN ({_CATEGORIES}) c
+  ON s.category_id = c.id WHERE s.category_id = 2 AND s.is_active ORDER BY display_order, name""")
+def p04_one(spark, sf):
+    """P4 active subcategories of one category."""
+    return S.list_subcategories(D.subcategories(spark, sf), D.categories(spark, sf), 2, True)
 
 
 @register("p05_search_customers", with_views("""

@@ -114,6 +114,21 @@ def menu_items(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (s <= ACTIVE_MAX_SIZE).alias("is_active"))
 
 
+def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions as categories; the last in order is inactive."""
+    r = read(spark, sf_dir, "region")
+    return r.select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"),
+                    (10 - F.length("r_name")).alias("display_order"), (F.col("r_regionkey") < 4).alias("is_active"))
+
+
+def subcategories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as subcategories; every tenth key has no known category."""
+    n = read(spark, sf_dir, "nation")
+    return n.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"),
+                    F.when(F.col("n_nationkey") % 10 != 9, F.col("n_regionkey")).alias("category_id"),
+                    (F.col("n_nationkey") % 5).alias("display_order"), (F.col("n_nationkey") < 20).alias("is_active"))
+
+
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "customer")
     n = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")

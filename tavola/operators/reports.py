@@ -335,7 +335,7 @@ def key_insights(tx: DataFrame, items: DataFrame, ts: str = "ts") -> DataFrame:
     isales = item_sales(tx, items)
     cat = isales.groupBy("category").agg(F.sum(money("revenue")).alias("r"))
     one = lambda df, val, key: scalar_value(df.agg(F.min_by(val, F.struct(F.negative("r"), key))))
-    return (hourly.limit(1)
+    return (tx.sparkSession.range(1)  # one row, also when nothing was sold
             .select(one(hourly.withColumnRenamed("revenue", "r"), "hour", "hour").alias("peak_hour"),
                     one(dow.withColumnRenamed("revenue", "r"), "day_name", "day_name").alias("best_day"),
                     one(cat, "category", "category").alias("top_category"),

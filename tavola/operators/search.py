@@ -42,16 +42,24 @@ def search_orders(orders: DataFrame, lines: DataFrame, customers: DataFrame, sta
         o = o.where(F.col("created_at") >= ts_lit(date_from))
     if date_to is not None:
         o = o.where(F.col("created_at") <= ts_lit(date_to))
-    counts = lines.groupBy("order_id").agg(F.count(F.lit(1)).alias("items_count"))
+    # the page comes first; names and line counts are looked up for its rows
+    # only (at most ``limit``, which bounds the broadcasts), unless the text
+    # search needs the names before
+    order = [F.desc("created_at"), F.desc("id")]
     cust = customers.select("customer_id", F.col("name").alias("customer_name"))
-    out = (o.join(counts, o.id == counts.order_id, "left").drop("order_id")
-           .join(cust, "customer_id", "left")
-           .withColumn("items_count", F.coalesce("items_count", F.lit(0)).cast("long")))
     if text:
         t = text.lower()
-        out = out.where(F.col("id").cast("string").contains(t) | F.lower("customer_name").contains(t))
-    return page(out.select("id", "order_type", "status", "total", "created_at", "items_count", "customer_name"),
-                [F.desc("created_at"), F.desc("id")], skip, limit)
+        o = o.join(cust, "customer_id", "left")
+        o = o.where(F.col("id").cast("string").contains(t) | F.lower("customer_name").contains(t))
+    shown = page(o, order, skip, limit)
+    if not text:
+        named = cust.join(F.broadcast(shown.select("customer_id").distinct()), "customer_id")
+        shown = shown.join(F.broadcast(named), "customer_id", "left")
+    mine = lines.join(F.broadcast(shown.select(F.col("id").alias("order_id"))), "order_id", "left_semi")
+    counts = mine.groupBy("order_id").agg(F.count(F.lit(1)).alias("items_count"))
+    return (shown.join(counts, shown.id == counts.order_id, "left")
+            .withColumn("items_count", F.coalesce("items_count", F.lit(0)).cast("long"))
+            .select("id", "order_type", "status", "total", "created_at", "items_count", "customer_name").orderBy(*order))
 
 
 def search_menu(items: DataFrame, subcategory: str | None = None, category: str | None = None,
@@ -252,20 +260,24 @@ def match_items(names: DataFrame, items: DataFrame, name_col: str = "query", key
     two letters.  Best match per query by (rule, item id).
 
     Every rule is an equi join (on the name, on a short prefix, on a word),
-    so candidates never come from a cross product and none is missed.
+    so candidates never come from a cross product and none is missed.  Both
+    sides are distinct normalized names first: of equal items only the one of
+    the least id can be the best match, and equal queries match alike.
     """
-    q = names.select(key, normalize_name(name_col).alias("qn")).where(F.length("qn") > 0)
-    m = (items.select(F.col("id").alias("item_id"), F.col("name").alias("item_name"),
-                      normalize_name("name").alias("mn")).where(F.length("mn") > 0))
-    exact = q.join(m, q.qn == m.mn).select(key, "item_id", "item_name", F.lit(1).alias("rule"))
+    asked = names.select(key, normalize_name(name_col).alias("qn")).where(F.length("qn") > 0)
+    q = asked.select("qn").distinct()
+    m = (items.select(F.struct(F.col("id").alias("item_id"), F.col("name").alias("item_name")).alias("_i"),
+                      normalize_name("name").alias("mn")).where(F.length("mn") > 0)
+         .groupBy("mn").agg(F.min("_i").alias("_i")).select("mn", "_i.item_id", "_i.item_name"))
+    exact = q.join(m, q.qn == m.mn).select("qn", "item_id", "item_name", F.lit(1).alias("rule"))
     contain = (_contains_pairs(q, "qn", m, "mn").unionByName(_contains_pairs(m, "mn", q, "qn"))
-               .select(key, "item_id", "item_name", F.lit(2).alias("rule")))
-    qw = q.select(key, F.explode(F.array_distinct(F.split("qn", " "))).alias("w")).where(F.length("w") > 2)
+               .select("qn", "item_id", "item_name", F.lit(2).alias("rule")))
+    qw = q.select("qn", F.explode(F.array_distinct(F.split("qn", " "))).alias("w")).where(F.length("w") > 2)
     mw = m.select("item_id", "item_name", F.explode(F.array_distinct(F.split("mn", " "))).alias("w")) \
         .where(F.length("w") > 2)
-    words = (qw.join(mw, "w").groupBy(key, "item_id", "item_name").agg(F.count(F.lit(1)).alias("_n"))
-             .where(F.col("_n") >= 2).select(key, "item_id", "item_name", F.lit(3).alias("rule")))
+    words = (qw.join(mw, "w").groupBy("qn", "item_id", "item_name").agg(F.count(F.lit(1)).alias("_n"))
+             .where(F.col("_n") >= 2).select("qn", "item_id", "item_name", F.lit(3).alias("rule")))
     cand = exact.unionByName(contain).unionByName(words)
-    best = cand.groupBy(key).agg(F.min(F.struct("rule", "item_id", "item_name")).alias("_b"))
-    return best.select(key, F.col("_b.item_id").alias("item_id"), F.col("_b.item_name").alias("item_name"),
+    best = cand.groupBy("qn").agg(F.min(F.struct("rule", "item_id", "item_name")).alias("_b"))
+    return asked.join(best, "qn").select(key, F.col("_b.item_id").alias("item_id"), F.col("_b.item_name").alias("item_name"),
                        F.col("_b.rule").alias("rule"))

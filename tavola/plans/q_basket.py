@@ -13,6 +13,7 @@ from ..functions.rounding import round_even
 from ..functions.text import sql_filtered_tokens, sql_terms_from
 from ..operators import basket as B
 from ..operators import text as X
+from ..session import ensure_checkpoint_dir
 from ..sources import driver as D
 from .registry import register
 from .sqlviews import with_views
@@ -34,6 +35,13 @@ def _order_baskets(spark, sf):
     return B.basket_items(_tx(spark, sf), "order_id", "item_name")
 
 
+def _kept(df):
+    """Written once to the checkpoint folder: the recommenders read baskets and
+    edges several times, and each reading would join the sales again."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def dishes(spark, sf):
     """One row per dish: its most common type and brand (ties: smallest)."""
     p = D.read(spark, sf, "part")
@@ -96,7 +104,7 @@ WHERE rank <= {n}"""
     _REC_COOC.format(baskets="bi", extra="", n=5), "tx", extra=_BASKET_CTES))
 def b04(spark, sf):
     """B4 co-occurrence recommendations (top 5) for every order basket."""
-    return B.recommend_cooccurrence(_order_baskets(spark, sf), _edges(spark, sf), 5)
+    return B.recommend_cooccurrence(_kept(_order_baskets(spark, sf)), _kept(_edges(spark, sf)), 5)
 
 
 _DISHES = """SELECT t.id, t.category, b.subcategory, pr.price,
@@ -183,7 +191,7 @@ def _all_similar(spark, sf):
                                              extra={**_BASKET_CTES, **_DISH_TFIDF, "sim": _SIM_ALL}))
 def b07(spark, sf):
     """B7 hybrid (0.6 co-occurrence + 0.4 content) top 5 for every order basket."""
-    return B.recommend_hybrid(_order_baskets(spark, sf), _edges(spark, sf), _all_similar(spark, sf), 5)
+    return B.recommend_hybrid(_kept(_order_baskets(spark, sf)), _kept(_edges(spark, sf)), _kept(_all_similar(spark, sf)), 5)
 
 
 _CUST_CTES = {
@@ -207,7 +215,8 @@ def b08(spark, sf):
     """B8 per-customer hybrid recommendations (last 10 dishes as basket,
     everything bought excluded), popular dishes for customers without history."""
     tx = _tx(spark, sf)
-    return B.recommend_for_customers(tx, _edges(spark, sf), _all_similar(spark, sf), D.customers(spark, sf),
+    tx = _kept(tx.select("customer_id", "item_name", "ts"))
+    return B.recommend_for_customers(tx, _kept(_edges(spark, sf)), _kept(_all_similar(spark, sf)), D.customers(spark, sf),
                                      5, 10, item="item_name")
 
 

@@ -1,4 +1,9 @@
-"""Fixed-size entries shuffled as packed arrays: one row per batch and part instead of one per entry."""
+"""Fixed-size entries shuffled as packed arrays: one row per batch and part instead of one per entry.
+
+There is one part for each shuffle partition.  Parts are named by numbers that
+Spark's hash partitioning sends to different partitions, so parts, which are
+even, stay apart and each task holds one.
+"""
 
 from __future__ import annotations
 
@@ -6,16 +11,28 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import rows_of
 
 DDL = "part int, entries binary"
 
 
-def pack(e: np.ndarray, place: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Entries by part, ``place`` (uint64) modulo ``parts``."""
-    part = (place % np.uint64(parts)).astype(np.int32)
+def part_names(spark: SparkSession) -> np.ndarray:
+    """A name for each part: the k-th is dealt to shuffle partition k."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tried = spark.range(32 * n + 64).select(F.col("id").cast("int").alias("name"))
+    found = tried.groupBy(F.expr(f"pmod(hash(name), {n})").alias("k")).agg(F.min("name").alias("name")).collect()
+    names = np.arange(n, dtype=np.int32)  # n rows; a partition that none was found for shares
+    for row in found:
+        names[row.k] = row["name"]
+    return names
+
+
+def pack(e: np.ndarray, place: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
+    """Entries by part: number ``place`` (uint64) modulo the number of ``parts``."""
+    part = parts[(place % np.uint64(len(parts))).astype(np.int64)]
     order = np.argsort(part, kind="stable")
     e, part = e[order], part[order]
     cuts = np.flatnonzero(np.diff(part)) + 1
@@ -25,7 +42,7 @@ def pack(e: np.ndarray, place: np.ndarray, parts: int) -> pa.RecordBatch:
         ["part", "entries"])
 
 
-def packing(arrays: Iterable[tuple[np.ndarray, np.ndarray]], parts: int, flush: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+def packing(arrays: Iterable[tuple[np.ndarray, np.ndarray]], parts: np.ndarray, flush: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """``pack`` of (entries, places) arrays, some ``flush`` entries at a time."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
@@ -40,9 +57,9 @@ def packing(arrays: Iterable[tuple[np.ndarray, np.ndarray]], parts: int, flush:
         yield pack(*map(np.concatenate, zip(*held)), parts)
 
 
-def gathered(df: DataFrame) -> DataFrame:
+def gathered(df: DataFrame, parts: np.ndarray) -> DataFrame:
     """Packed rows with those of one part together."""
-    return df.repartition("part").sortWithinPartitions("part")
+    return df.repartition(len(parts), "part").sortWithinPartitions("part")
 
 
 def parts_of(batches, kind: np.dtype) -> Iterator[np.ndarray]:

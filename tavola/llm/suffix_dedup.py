@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_from, rows_of, written
-from .packed import DDL, gathered, packing, parts_of, stretches
+from .packed import DDL, gathered, packing, part_names, parts_of, stretches
 from .words import mix
 
 CONTEXT = 8
@@ -148,7 +148,7 @@ def _places(text: int, n: int) -> np.ndarray:
     return np.full(n, mix(np.array([text], np.int64).view(np.uint64))[0])
 
 
-def _sample(length: int, parts: int):
+def _sample(length: int, parts):
     """1. sampled triples by name."""
     def run(batches):
         def arrays():
@@ -168,7 +168,7 @@ def _shared(e: np.ndarray) -> np.ndarray:
     return e[np.bincount(name)[name] > 1]
 
 
-def _shared_triples(parts: int):
+def _shared_triples(parts):
     """Places of triples whose name occurs at another place too."""
     def run(batches):
         def arrays():
@@ -197,7 +197,7 @@ def _pairs(places: bytes) -> np.ndarray:
     return np.frombuffer(places, "<i4").reshape(-1, 2)
 
 
-def _runs(length: int, parts: int):
+def _runs(length: int, parts):
     """2. for each open phrase: the name of its run, and of the whole stretch of its strings."""
     def run(batches):
         def arrays():
@@ -211,7 +211,7 @@ def _runs(length: int, parts: int):
     return run
 
 
-def _settle(parts: int):
+def _settle(parts):
     """Phrases whose stretch occurs again (settled), and those whose strings must be compared one by one."""
     def run(batches):
         def arrays():
@@ -230,7 +230,7 @@ def _settle(parts: int):
     return run
 
 
-def _prefixes(length: int, parts: int):
+def _prefixes(length: int, parts):
     """3. prefixes of the remaining suffixes."""
     def run(batches):
         def arrays():
@@ -245,7 +245,7 @@ def _prefixes(length: int, parts: int):
     return run
 
 
-def _equal_prefixes(parts: int):
+def _equal_prefixes(parts):
     def run(batches):
         def arrays():
             for e in parts_of(batches, PREFIX):
@@ -309,23 +309,23 @@ def repeated_substrings(docs: DataFrame, length: int = 400, id_col: str = "doc_i
     empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = part_names(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"),
                        F.octet_length(text).cast("long").alias("n_bytes"))
     long = rows.where(F.col("n_bytes") >= length).select("text_key", "text")
 
-    shared = gathered(long.mapInArrow(_sample(length, parts), DDL)).mapInArrow(_shared_triples(parts), DDL)
-    shared = gathered(shared).mapInArrow(_by_text, "text_key long, places binary")
+    shared = gathered(long.mapInArrow(_sample(length, parts), DDL), parts).mapInArrow(_shared_triples(parts), DDL)
+    shared = gathered(shared, parts).mapInArrow(_by_text, "text_key long, places binary")
     sha = F.sha2(F.col("text"), 256).alias("sha")
     texts = (long.join(shared, "text_key").select("text_key", sha, "text", "places")
              .dropDuplicates(["text_key", "sha"]).transform(written))
 
-    runs = gathered(texts.mapInArrow(_runs(length, parts), DDL)).mapInArrow(_settle(parts), DDL)
-    settled = gathered(runs).mapInArrow(_by_text, "text_key long, places binary").transform(written)
+    runs = gathered(texts.mapInArrow(_runs(length, parts), DDL), parts).mapInArrow(_settle(parts), DDL)
+    settled = gathered(runs, parts).mapInArrow(_by_text, "text_key long, places binary").transform(written)
     unsettled = texts.drop("places").join(settled, "text_key")
-    equal = gathered(unsettled.mapInArrow(_prefixes(length, parts), DDL)).mapInArrow(_equal_prefixes(parts), DDL)
-    equal = gathered(equal).mapInArrow(_by_text, "text_key long, places binary")
+    equal = gathered(unsettled.mapInArrow(_prefixes(length, parts), DDL), parts).mapInArrow(_equal_prefixes(parts), DDL)
+    equal = gathered(equal, parts).mapInArrow(_by_text, "text_key long, places binary")
     cuts = (texts.select("text_key", "sha", "text").join(settled.withColumnRenamed("places", "settled"), "text_key")
             .join(equal.withColumnRenamed("places", "equal"), "text_key", "left")
             .mapInArrow(_cut(length), "text_key long, sha string, n_removed long, n_spans long, kept_sha256 string, "

@@ -37,13 +37,13 @@ from pyspark.sql import functions as F
 
 from .common import release, rows_of, written
 from .components import connected_components
+from .packed import DDL, gathered, packing, part_names, parts_of
 from .words import mix, shingles
 
 CELLS = 1 << 22       # counters that find the frequent shingles
 FLOOR = 32            # a counter at or under this says nothing
 GROUPS = 256          # counts of a set's overlap bound
 FULL = 255            # a count that says: this many or more
-FLUSH = 1 << 19       # prefix entries packed at a time
 SMALL = 32            # largest group whose pairs are listed
 BLOCK = 1024          # sets of a large group, or of a prefix tree, in one place
 LIKELY = 4            # pairs of a set and a block that are tested first
@@ -111,68 +111,43 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _prefixes(levels, size: int, percent: int, parts: int, hot: int):
-    """Packed (token, set, size) entries by part; a very frequent token's sets meet in a grid of cells."""
-    def pack(tokens, sids, sizes):
-        e = np.empty(sum(map(len, tokens)), ENTRY)
-        e["token"] = np.concatenate(tokens)
-        lengths = [len(t) for t in tokens]
-        e["sid"], e["n"] = np.repeat(np.array(sids, np.int64), lengths), np.repeat(np.array(sizes, np.int32), lengths)
-        often = np.uint64(FLOOR) << (e["token"] >> np.uint64(60))
-        grid = (often // np.uint64(hot)).astype(np.int64) * (e["token"] >> np.uint64(60) > 0) + 1
-        pieces, places = [e[grid == 1]], [mix(e["token"][grid == 1])]
+def _prefixes(levels, size: int, percent: int, parts, hot: int):
+    """Packed (token, set, size) entries by token; a very frequent token's sets meet in a grid of cells."""
+    def placed(tokens: np.ndarray, sid: int, n: int):
+        often = np.uint64(FLOOR) << (tokens >> np.uint64(60))
+        grid = (often // np.uint64(hot)).astype(np.int64) * (tokens >> np.uint64(60) > 0) + 1
+        places = [mix(tokens[grid == 1])]
         for s in np.unique(grid[grid > 1]).tolist():
-            mine = e[grid == s]
-            row = (mix(mine["sid"].view(np.uint64)) % np.uint64(s)).astype(np.int64)
+            row = int(mix(np.array([sid], np.int64).view(np.uint64))[0] % np.uint64(s))
             for other in range(s):
-                cell = np.minimum(row, other) * s + np.maximum(row, other)
-                pieces.append(mine)
-                places.append(mix(mine["token"] + mix(cell.astype(np.uint64) + np.uint64(1))))
-        e = np.concatenate(pieces)
-        place = np.concatenate(places)
-        e["token"] = place  # tokens of one cell meet under one name
-        part = (place % np.uint64(parts)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        e, part = e[order], part[order]
-        cuts = np.flatnonzero(np.diff(part)) + 1
-        first = np.concatenate([[0], cuts]).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(part[first]), pa.array([x.tobytes() for x in np.split(e, cuts)],
-                                                                           pa.binary())], ["part", "entries"])
+                cell = np.uint64(min(row, other) * s + max(row, other) + 1)
+                places.append(mix(tokens[grid == s] + mix(np.array([cell]))))
+        places = np.concatenate(places)
+        e = np.zeros(len(places), ENTRY)
+        e["token"], e["sid"], e["n"] = places, sid, n  # tokens of one cell meet under one name
+        return e, places
 
     def run(batches):
-        order, met = levels.value, set()
-        tokens, sids, sizes, held = [], [], [], 0
-        for (text,) in rows_of(batches, "text"):
-            s = shingles(text, size)
-            sid = _set_id(s)
-            if not len(s) or sid in met:  # an equal set of this task
-                continue
-            if len(met) < 1 << 20:
-                met.add(sid)
-            t = _ordered(s, order)
-            tokens.append(t[:prefix_length(len(t), percent)])
-            sids.append(sid)
-            sizes.append(len(t))
-            held += len(tokens[-1])
-            if held >= FLUSH:
-                yield pack(tokens, sids, sizes)
-                tokens, sids, sizes, held = [], [], [], 0
-        if held:
-            yield pack(tokens, sids, sizes)
+        order = levels.value
+
+        def arrays():
+            met = set()
+            for (text,) in rows_of(batches, "text"):
+                s = shingles(text, size)
+                sid = _set_id(s)
+                if not len(s) or sid in met:  # an equal set of this task
+                    continue
+                if len(met) < 1 << 20:
+                    met.add(sid)
+                yield placed(_ordered(s, order)[:prefix_length(len(s), percent)], sid, len(s))
+        return packing(arrays(), parts)
     return run
 
 
 def _groups(batches) -> Iterator[pa.RecordBatch]:
     """Distinct member lists of the tokens that two sets or more share, part by part."""
-    part, held = None, []
-    for p, entries in rows_of(batches, "part", "entries"):
-        if p != part and held:
-            yield from _lists(np.concatenate(held))
-            held = []
-        part = p
-        held.append(np.frombuffer(entries, ENTRY))
-    if held:
-        yield from _lists(np.concatenate(held))
+    for e in parts_of(batches, ENTRY):
+        yield from _lists(e)
 
 
 def _lists(e: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -390,13 +365,10 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5, hot: i
             .agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min("n").alias("n"), F.min("counts").alias("counts"))
             .select("sid", "rep.doc_id", "rep.text_key", "n", "counts").transform(written))
     levels = spark.sparkContext.broadcast(_levels(facts))
-    entries = sets.agg(F.sum("n")).first()[0] or 0
-    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), entries // 2_000_000)
-
-    members = (texts.where("doc_id IS NOT NULL").select("text")
-               .mapInArrow(_prefixes(levels, size, percent, parts, hot), "part int, entries binary")
-               .repartition("part").sortWithinPartitions("part")
-               .mapInArrow(_groups, "gid long, sid long, n int, shared long")
+    parts = part_names(spark)
+    prefixes = (texts.where("doc_id IS NOT NULL").select("text")
+                .mapInArrow(_prefixes(levels, size, percent, parts, hot), DDL))
+    members = (gathered(prefixes, parts).mapInArrow(_groups, "gid long, sid long, n int, shared long")
                .groupBy("gid", "sid", "n").agg(F.sum("shared").alias("shared")).transform(written))
 
     release(spark)

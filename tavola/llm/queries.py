@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import corpus_pipeline
-import public_tokenizers
 
 from ..sources import driver as D
 from .ann import nearest_neighbours
@@ -19,6 +18,12 @@ from .token_files import read_token_files, write_token_files
 from ..session import ensure_checkpoint_dir
 
 
+def _tokenizer(name: str) -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def op1_nearest_neighbours(spark, sf_dir):
     """The ten nearest of every hundredth vector of ``embeddings``, among all."""
     vectors = D.read(spark, sf_dir, "embeddings")
@@ -41,13 +46,14 @@ def op4_token_files(spark, sf_dir):
     import uuid
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
     manifest = write_token_files(D.read(spark, sf_dir, "documents"), folder,
-                                 public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+                                 _tokenizer("word_bpe_49k.json"), end_id=1)
     return read_token_files(spark, manifest)
 
 
 def op5_bpe_round_trip(spark, sf_dir):
     """Byte-level BPE ids of ``documents`` and their decoding."""
-    return round_trip(D.read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+    import public_tokenizers
+    return round_trip(D.read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"),
                       public_tokenizers.PATTERN)
 
 
@@ -68,12 +74,12 @@ def op8_line_dedup(spark, sf_dir):
 
 def op9_packing(spark, sf_dir):
     """``documents`` packed into sequences of at most 4096 tokens."""
-    return pack(D.read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return pack(D.read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2)
 
 
 def op10_token_counts(spark, sf_dir):
     """Token counts of ``documents``."""
-    return token_counts(D.read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_counts(D.read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
 def pipeline(spark, sf_dir):

@@ -110,7 +110,7 @@ def word_encoder(path: str) -> Callable[[str], bytes]:
         plain = PLAIN.fullmatch(text)
         return whole(text) if plain is None else cores[plain[1].lower()] + marks[plain[2]]
 
-    cache = ChunkCache(chunk)
+    cache = ChunkCache(chunk, 1_000_000)
     probe = "The quick, \xe9t\xe9 na\xefve Words. x"
     if b"".join(map(chunk, WORDS.findall(probe))) != whole(probe):  # a file of another make
         cache.encode = whole

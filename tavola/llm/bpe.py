@@ -94,7 +94,7 @@ class Bpe:
         self.pattern = regex.compile(pattern)
         self.masks = _Masks()
         self.queue = RankQueue(max(self.tokens))
-        self.pre_tokens = ChunkCache(lambda t: array("I", self.merge(t.encode())).tobytes(), 1_000_000)
+        self.pre_tokens = ChunkCache(lambda t: array("I", self.merge(t.encode())).tobytes(), 2_000_000)
         self.marks = {"": b"", ".": self.pre_tokens["."], ",": self.pre_tokens[","]}
         self.later = ChunkCache(self.spaced_chunk)
 

@@ -447,10 +447,14 @@ def tune(feature_cols: Sequence[str], target: str, folds: DataFrame, space: dict
     (time order kept, so no shuffled k-fold).  ``n_trials`` is the budget: 50
     to 100 for a real search."""
     rng, rows = random.Random(seed), []
-    for t in range(n_trials):
-        params = draw_params(space or SEARCH_SPACE, rng)
-        cv = cross_validate(feature_cols, target, folds, params).collect()[0]
-        rows.append((t, str(params), float(cv["mae_mean"]), float(cv["rmse_mean"])))
+    folds = folds.persist(StorageLevel.MEMORY_AND_DISK)  # read by every fit of every trial
+    try:
+        for t in range(n_trials):
+            params = draw_params(space or SEARCH_SPACE, rng)
+            cv = cross_validate(feature_cols, target, folds, params).collect()[0]
+            rows.append((t, str(params), float(cv["mae_mean"]), float(cv["rmse_mean"])))
+    finally:
+        folds.unpersist()
     return folds.sparkSession.createDataFrame(rows, "trial int, params string, cv_mae double, cv_rmse double")
 
 

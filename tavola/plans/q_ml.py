@@ -257,9 +257,9 @@ def _folds(spark, sf):
 def f10(spark, sf):
     """F10 seeded random search of the whole space, scored by rolling-origin CV.
 
-    Every parameter is drawn; the rounds and depth are held to a tenth and a
-    half of their range, so that the registered search ends in minutes."""
-    space = {**M.SEARCH_SPACE, "maxIter": ("int", 10, 40), "maxDepth": ("int", 3, 6)}
+    Every parameter is drawn; rounds are held to 10-20 and depth to 3-6, so
+    that the registered search ends in minutes."""
+    space = {**M.SEARCH_SPACE, "maxIter": ("int", 10, 20), "maxDepth": ("int", 3, 6)}
     return M.tune(FEATURE_COLS, "qty", _folds(spark, sf), space, n_trials=SEARCH_TRIALS)
 
 

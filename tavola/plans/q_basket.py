@@ -104,7 +104,7 @@ WHERE rank <= {n}"""
     _REC_COOC.format(baskets="bi", extra="", n=5), "tx", extra=_BASKET_CTES))
 def b04(spark, sf):
     """B4 co-occurrence recommendations (top 5) for every order basket."""
-    return B.recommend_cooccurrence(_kept(_order_baskets(spark, sf)), _kept(_edges(spark, sf)), 5)
+    return B.recommend_cooccurrence(_order_baskets(spark, sf), _kept(_edges(spark, sf)), 5)
 
 
 _DISHES = """SELECT t.id, t.category, b.subcategory, pr.price,

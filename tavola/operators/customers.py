@@ -202,6 +202,11 @@ def rule_segments(stats: DataFrame, as_of, last="last_order", orders="total_orde
     return stats.withColumn("days_since_order", days).withColumn("segment", seg)
 
 
+def segment_counts(segmented: DataFrame, col: str = "segment") -> DataFrame:
+    """C1g / C4f: customers in each segment or band."""
+    return segmented.groupBy(col).agg(F.count(F.lit(1)).alias("n_customers"))
+
+
 def rfm_rule_segments(rfm: DataFrame) -> DataFrame:
     """C1g test variant: 4-way by recency and frequency."""
     r, f = F.col("recency"), F.col("frequency")

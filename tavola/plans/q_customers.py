@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..operators import customers as C
 from ..operators import reports as R
 from ..sources import driver as D
-from .registry import AS_OF, register
+from .registry import AS_OF, REGISTRY, register
 from .sqlviews import customer_base, floor_days, qfrac, rank_bin, round_even, std_sql, value_bin, with_views
 
 T = f"TIMESTAMP '{AS_OF}'"
@@ -127,6 +127,15 @@ def c01g(spark, sf):
     return C.rule_segments(R.customer_stats(D.transactions(spark, sf, dims=False)), AS_OF)
 
 
+_COUNTS = "SELECT segment, COUNT(*) AS n_customers FROM ({sql}) GROUP BY segment"
+
+
+@register("c01g_rule_segment_counts", _COUNTS.format(sql=REGISTRY["c01g_rule_segments"].sql))
+def c01g_counts(spark, sf):
+    """C1g customers in each UI rule segment."""
+    return C.segment_counts(c01g(spark, sf))
+
+
 @register("c01g_rfm_rule_segments", with_views("""
 SELECT *, CASE WHEN recency <= 30 AND frequency >= 5 THEN 'Champion' WHEN recency <= 60 AND frequency >= 3
   THEN 'Loyal' WHEN recency >= 90 THEN 'At Risk' ELSE 'Regular' END AS segment FROM rfm""", "tx", extra={"rfm": _RFM}))

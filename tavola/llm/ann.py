@@ -15,6 +15,7 @@ rows share costs no more than others, and no result is lost.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,6 +52,11 @@ class CentroidGraph:
     def distances(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
         return np.sqrt(((self.centroids[at] - x[:, None, :]) ** 2).sum(axis=2))
 
+    def all_distances(self, x: np.ndarray) -> np.ndarray:
+        """Distances to every centroid, without a walk."""
+        square = (x ** 2).sum(axis=1)[:, None] + (self.centroids ** 2).sum(axis=1) - 2 * x @ self.centroids.T
+        return np.sqrt(np.maximum(square, 0))
+
     def search(self, x: np.ndarray, ratio: float, least: int) -> np.ndarray:
         """Distances (rows x centroids, infinite where unseen) found by walking from each row's nearest on.
 
@@ -128,27 +134,25 @@ def _lists(graph, ratio: float, copies: int):
     return run
 
 
+def _paths(graph: CentroidGraph, sizes: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row: the lists by distance, their distances, and the vectors in the lists before each."""
+    dist = graph.all_distances(x)
+    path = np.argsort(dist, axis=1, kind="stable")
+    return path, np.take_along_axis(dist, path, axis=1), np.cumsum(sizes[path], axis=1) - sizes[path]
+
+
 def _visits(graph, sizes: np.ndarray, ratio: float, least: int, shards: np.ndarray):
     """(shard, query, v, clusters) rows: lists within the distance ratio, and as many as hold ``least`` vectors."""
     def run(batches):
-        g = graph.value
-        everywhere = np.arange(len(sizes))[None, :]
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                x = _matrix(batch)
-                dist = g.search(x, ratio, 8)
-                order = np.argsort(dist, axis=1, kind="stable")
+                path, near, before = _paths(graph.value, sizes, _matrix(batch))
+                wide = (near <= ratio * near[:, :1]) | (before < least)
                 rows, where, lists = [], [], []
-                for r in range(len(x)):
-                    near, path = dist[r], order[r]
-                    if sizes[np.isfinite(near)].sum() < least:
-                        near = g.distances(x[r:r + 1], everywhere)[0]
-                        path = np.argsort(near, kind="stable")
-                    wide = near[path] <= ratio * near[path[0]]
-                    wide |= np.cumsum(sizes[path]) - sizes[path] < least
+                for r in range(len(path)):
                     visited: dict[int, list[int]] = {}
-                    for c in path[wide & np.isfinite(near[path])].tolist():
+                    for c in path[r, wide[r]].tolist():
                         for shard in range(shards[c, 0], shards[c, 0] + shards[c, 1]):
                             visited.setdefault(shard, []).append(c)
                     rows += [r] * len(visited)
@@ -208,9 +212,99 @@ def _nearest(found: int):
     return run
 
 
+def _true(sample, bound: np.ndarray, found: int):
+    """(query, vec_id, score) rows: the ``found`` nearest of each sampled row in one task, none beyond its ``bound``."""
+    def run(batches):
+        q = sample.value
+        held = [[np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]]
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                x, ids = _matrix(batch), batch.column("vec_id").to_numpy()
+                square = (q ** 2).sum(axis=1)[:, None] + (x ** 2).sum(axis=1) - 2 * q @ x.T
+                scale = (q ** 2).sum(axis=1)[:, None] + (x ** 2).sum(axis=1)
+                rows, near = np.nonzero(square <= bound[:, None] ** 2 + 1e-9 * scale)
+                held.append([rows, ids[near], np.sqrt(((x[near] - q[rows]) ** 2).sum(axis=1))])
+                if sum(len(h[0]) for h in held) > 1 << 17:
+                    held = [_first(*map(np.concatenate, zip(*held)), found)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, _first(*map(np.concatenate, zip(*held)), found))], schema=NEAR)
+    return run
+
+
+def _holders(sample, names: np.ndarray, ids: np.ndarray, scores: np.ndarray):
+    """(pair, cluster) rows: the lists that hold the vector of each true (sampled row, neighbour) pair."""
+    def run(batches):
+        q = sample.value
+        order = np.argsort(ids, kind="stable")
+        by_id = ids[order]
+        for whole in batches:
+            own = whole.column("vec_id").to_numpy()
+            low, high = np.searchsorted(by_id, own, "left"), np.searchsorted(by_id, own, "right")
+            taken = whole.take(pa.array(np.flatnonzero(high > low)))
+            times = (high - low)[high > low]
+            row = np.repeat(np.arange(len(times)), times)
+            pair = order[np.repeat(low[high > low], times) + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)]
+            x = _matrix(taken)[row] if len(row) else np.zeros((0, q.shape[1]))
+            right = np.sqrt(((x - q[names[pair]]) ** 2).sum(axis=1)) <= scores[pair] * (1 + 1e-12)  # an id may have other vectors
+            yield pa.RecordBatch.from_arrays([pa.array(pair[right].astype(np.int32)),
+                                              pa.array(taken.column("cluster").to_numpy()[row][right])], ["pair", "cluster"])
+    return run
+
+
+def visit_rule(index: DataFrame, posted: DataFrame, asked: DataFrame, fit: pa.Table, graph, sizes: np.ndarray, k: int,
+               recall: float, ratio: float, least: int, measured: int) -> tuple[float, int]:
+    """``ratio`` and ``least``, one of them widened where ``measured`` queries find less than ``recall`` with them.
+
+    The sample is held against every vector, so what assignment and list sizes lose on this table is in the figure.
+    """
+    context = index.sparkSession.sparkContext
+    # Another order than the sample's that the lists are fitted on: those vectors lie nearer to their centroids.
+    some = asked.orderBy(F.xxhash64(F.lit("measured"), "vec_id"), "vec_id").limit(measured).toArrow()
+    if not some.num_rows:
+        return ratio, least
+    q, own = _matrix(some), some.column("vec_id").to_numpy()
+    first = np.unique(fit.column("vec_id").to_numpy(), return_index=True)[1]
+    x, bound = _matrix(fit)[first], np.full(len(q), np.inf)
+    for at in range(0, len(q) if len(x) > k else 0, 64):  # the k + 1 nearest of some are no nearer than those of all
+        square = (q[at:at + 64] ** 2).sum(axis=1)[:, None] + (x ** 2).sum(axis=1) - 2 * q[at:at + 64] @ x.T
+        bound[at:at + 64] = np.sqrt(np.maximum(np.partition(square, k, axis=1)[:, k], 0))
+    sample = context.broadcast(q)
+    ranked = Window.partitionBy("query").orderBy("score", "vec_id")
+    true = (index.mapInArrow(_true(sample, bound, k + 1), "query long, vec_id long, score double")
+            .groupBy("query", "vec_id").agg(F.min("score").alias("score"))
+            .withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k + 1).toArrow())
+    names, ids, scores = (true.column(c).to_numpy() for c in ("query", "vec_id", "score"))
+    other = ids != own[names]
+    names, ids, scores = _first(names[other], ids[other], scores[other], k)
+    if not len(names):
+        return ratio, least
+    held = posted.mapInArrow(_holders(sample, names, ids, scores), "pair int, cluster int").toArrow()
+    pair, cluster = held.column("pair").to_numpy(), held.column("cluster").to_numpy()
+
+    path, near, before = _paths(graph.value, sizes, q)
+    place = np.empty_like(path)
+    np.put_along_axis(place, path, np.arange(path.shape[1])[None], axis=1)
+    at = np.full(len(names), path.shape[1])  # of each pair, the first list on the query's path that holds it
+    np.minimum.at(at, pair, place[names[pair], cluster])
+    at = np.minimum(at, path.shape[1] - 1)
+    far, rows = near[names, at], before[names, at]
+    within = far <= ratio * near[names, 0]
+    enough = rows < least
+    most = max(0, math.ceil(recall * len(names)) - 1)
+    if (within | enough).sum() > most:
+        return ratio, least
+    with np.errstate(divide="ignore", invalid="ignore"):
+        wider = np.sort(np.where(within | enough, 0.0, far / near[names, 0]))[most]
+    wider = max(ratio, float(np.nextafter(wider * (1 + 1e-9), np.inf)))
+    more = max(least, int(np.sort(np.where(within | enough, 0, rows + 1))[most]))
+    visited = [np.where((near <= r * near[:, :1]) | (before < m), sizes[path], 0).sum() for r, m in ((wider, least), (ratio, more))]
+    return (wider, least) if np.isfinite(wider) and visited[0] <= visited[1] else (ratio, more)
+
+
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, list_rows: int = 128,
                        sample_rows: int = 20_000, boundary_ratio: float = 1.03, copies: int = 3,
                        visit_ratio: float = 1.15, visit_rows: int = 64, shard_bytes: int = 8 << 20,
+                       recall: float = 0.97, measured: int = 256,
                        id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score``: the k nearest found by Euclidean distance.
 
@@ -220,6 +314,8 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, list
     several vectors counts by the nearest.  With fewer than k candidates all are
     returned; an empty table gives no rows.  The index is fitted on at most
     ``sample_rows`` vectors, chosen by a hash of their id, and holds all.
+    ``visit_ratio`` and ``visit_rows`` are the least that is visited; ``visit_rule``
+    widens one of them until ``measured`` queries find ``recall`` of their neighbours.
     """
     spark = vectors.sparkSession
 
@@ -243,7 +339,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, list
 
     n = index.count()
     sample_rows = max(1000, min(sample_rows, (1 << 25) // (8 * shapes["d"])))  # 32 MB at most
-    fit = index.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").toArrow()
+    fit = index.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("vec_id", "v").toArrow()
     lists = min(max(1, n // list_rows), max(1, sample_rows // 8))
     graph = spark.sparkContext.broadcast(CentroidGraph.build(balanced_centroids(_matrix(fit), lists)))
 
@@ -251,6 +347,8 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, list
     sizes = np.zeros(len(graph.value.centroids), np.int64)
     for row in posted.groupBy("cluster").count().collect():  # a row for each centroid
         sizes[row["cluster"]] = row["count"]
+    ratio, least = visit_rule(index, posted, asked, fit, graph, sizes, k, recall, visit_ratio,
+                              max(visit_rows, copies * (k + 1)), measured)
     shard_rows = max(1, shard_bytes // (8 * shapes["d"]))
     shards, shard, held = np.zeros((len(sizes), 2), np.int64), 0, 0
     for c, size in enumerate(sizes.tolist()):  # neighbouring lists share a shard; a large list has several
@@ -262,7 +360,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, list
                                    "cluster int, first int, shards int")
     posted = posted.join(F.broadcast(placed), "cluster").select(
         F.expr("first + int(pmod(xxhash64(vec_id), shards))").alias("shard"), "cluster", "vec_id", "v")
-    visits = distinct.mapInArrow(_visits(graph, sizes, visit_ratio, max(visit_rows, copies * (k + 1)), shards),
+    visits = distinct.mapInArrow(_visits(graph, sizes, ratio, least, shards),
                                  "shard int, query long, v array<double>, clusters array<int>")
     near = (posted.groupBy("shard").cogroup(visits.groupBy("shard"))
             .applyInArrow(_nearest(k + 1), "query long, vec_id long, score double")

@@ -73,3 +73,17 @@ def test_balance_and_graph_walk():
     true = np.sqrt(((x[:200, None] - c[None]) ** 2).sum(axis=2))
     assert np.isinf(found).any()  # a walk, not a scan
     assert (found.argmin(axis=1) == true.argmin(axis=1)).mean() > 0.95
+
+
+def recall_of(spark, x, **more):
+    df = frame(spark, list(enumerate(x.tolist())))
+    got = nearest_neighbours(df, df.where("vec_id % 100 = 0"), **more).collect()
+    x = x.astype(np.float32).astype(float)
+    asked = range(0, len(x), 100)
+    want = {(q, int(i)) for q in asked for i in [i for i in np.argsort(((x - x[q]) ** 2).sum(axis=1), kind="stable")[:11] if i != q][:10]}
+    return sum((r.query_id, r.vec_id) in want for r in got) / len(want)
+
+
+def test_recall_with_thousands_of_lists(spark):
+    x = np.random.default_rng(4).normal(size=(20_000, 64))
+    assert recall_of(spark, x / np.linalg.norm(x, axis=1, keepdims=True), list_rows=4) >= 0.95

@@ -73,3 +73,31 @@ def test_linear_on_long_runs():
     for text in ("7" * 200000, "a." * 100000 + "@", "@" * 100000, "+1" * 100000, "1.1." * 50000, "x-" * 100000):
         spans(text)
     assert time.process_time() - began < 5
+
+
+def test_iban_before_capitals_and_digits():
+    for code in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO9386011117947"):
+        for before in ("", "AB12 3456 7890 1234 ", "REF 77 "):  # a failed start ahead of it
+            for after in (" BIC COBADEFF", " 100 EUR", " I sent", " 2024-05-01", "", ".", " DE89370400440532013001"):
+                text = before + code + after
+                assert [text[s.start:s.end] for s in spans(text) if s.kind == "iban"] == [code], text
+    assert redact("DE89370400440532013000 GB82 WEST 1234 5698 7654 32 BIC") == "[IBAN] [IBAN] BIC"
+    assert redact("DE89370400440532013000BIC") == "DE89370400440532013000BIC"
+
+
+def test_iban_of_unknown_country():
+    code = next(c for k in range(100) if mod_97(c := f"ZZ{k:02}123456789012345"))
+    assert redact(f"to {code} IN EUR 7") == "to [IBAN] IN EUR 7"
+
+
+def test_long_secret():
+    rng = random.Random(5)
+    secret = "".join(rng.choice("abcdefghijklmnop0123456789") for _ in range(5000))
+    assert redact(f"token = {secret};") == "token = [SECRET];"
+
+
+def test_linear_on_failing_ibans():
+    began = time.process_time()
+    for text in ("AB12 " * 40000, "AB12 CD34EFGH " * 15000, "A" * 200000):
+        spans(text)
+    assert time.process_time() - began < 10

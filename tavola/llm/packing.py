@@ -3,8 +3,8 @@
 A sequence costs the sum over its pieces of ``linear * n + quadratic * n * n``:
 attention inside a piece grows with the square of its length.  Each task packs
 its documents block by block; in a block the pieces, longest first, go to the
-cheapest sequence that still has room for them, and only when none has room is
-a piece cut.  Every sequence of a block is full: tokens that do not fill one
+cheapest sequence that still has room for them, found among all, and only when
+none has room is a piece cut.  Every sequence of a block is full: tokens that do not fill one
 more are held for the next block, and what a task holds at its end becomes
 sequences of the power-of-two lengths that add up to it, which need no padding.
 
@@ -16,6 +16,7 @@ number in their high bits, so a retried task names its sequences alike.
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
@@ -34,6 +35,9 @@ DDL = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, s
        "`offset` long")
 
 
+NOWHERE = (math.inf, -1, 0)
+
+
 class Piece(NamedTuple):
     doc_id: int | None
     start: int
@@ -49,6 +53,42 @@ class Piece(NamedTuple):
                 self._replace(start=self.start + at, ids=self.ids[at * WIDTH:]))
 
 
+class Cheapest:
+    """Sequences with room left: a heap by cost for each room, and a tree of minima over the rooms."""
+
+    def __init__(self, n: int, capacity: int) -> None:
+        self.heaps: dict[int, list[tuple[float, int]]] = {}
+        self.leaves = 1 << capacity.bit_length()
+        self.tree: list[tuple[float, int, int]] = [NOWHERE] * (2 * self.leaves)  # cost, sequence, room
+        if n:
+            self.heaps[capacity] = [(0.0, k) for k in range(n)]
+            self._mend(capacity)
+
+    def _mend(self, room: int) -> None:
+        heap, at = self.heaps[room], self.leaves + room
+        self.tree[at] = (*heap[0], room) if heap else NOWHERE
+        while at > 1:
+            at >>= 1
+            self.tree[at] = min(self.tree[2 * at], self.tree[2 * at + 1])
+
+    def take(self, size: int) -> tuple[float, int, int]:
+        """The cheapest with room for ``size``, or if none has, the cheapest; out of the tree."""
+        at = self.leaves + size
+        best = self.tree[at]
+        while at > 1:
+            if not at & 1:
+                best = min(best, self.tree[at + 1])
+            at >>= 1
+        best = best if best is not NOWHERE else self.tree[1]
+        heapq.heappop(self.heaps[best[2]])
+        self._mend(best[2])
+        return best
+
+    def put(self, c: float, k: int, room: int) -> None:
+        heapq.heappush(self.heaps.setdefault(room, []), (c, k))
+        self._mend(room)
+
+
 def balance(pieces: list[Piece], capacity: int, linear: float, quadratic: float) -> tuple[list[list[Piece]], list[Piece]]:
     """Full sequences, and the held pieces that would not fill one more."""
     total = sum(p.size for p in pieces)
@@ -66,27 +106,17 @@ def balance(pieces: list[Piece], capacity: int, linear: float, quadratic: float)
     n = total // capacity
     cost = lambda size: linear * size + quadratic * size * size
     out: list[list[Piece]] = [[] for _ in range(n)]
-    room = [capacity] * n
-    cheapest = [(0.0, k) for k in range(n)]
+    cheapest = Cheapest(n, capacity)
     queue = deque(waiting)
     while queue:
         p = queue.popleft()
-        passed, k = [], -1
-        for _ in range(min(16, len(cheapest))):
-            c, k = heapq.heappop(cheapest)
-            if room[k] >= p.size:
-                break
-            passed.append((c, k))
-        else:  # no room for all of it among the cheapest: fill the cheapest and go on with the rest
-            (c, k), passed = passed[0], passed[1:]
-            p, rest = p.cut(room[k])
+        c, k, room = cheapest.take(p.size)
+        if room < p.size:  # no room for all of it anywhere: fill the cheapest and go on with the rest
+            p, rest = p.cut(room)
             queue.appendleft(rest)
-        for x in passed:
-            heapq.heappush(cheapest, x)
         out[k].append(p)
-        room[k] -= p.size
-        if room[k]:
-            heapq.heappush(cheapest, (c + cost(p.size), k))
+        if room > p.size:
+            cheapest.put(c + cost(p.size), k, room - p.size)
     return out, held
 
 

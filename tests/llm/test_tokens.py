@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 from tavola.llm import token_files as TF
 from tavola.llm.bpe import Bpe, decode_documents, encode_documents, round_trip
-from tavola.llm.packing import pack
+from tavola.llm.packing import Piece, balance, pack
 from tavola.llm.token_counts import count_rows, token_counts
 
 from .fixtures import ROWS, frame, key, sample
@@ -121,3 +121,27 @@ def test_planes(kind):
     assert back == [(d, len(x) // 4, zlib.crc32(x)) for d, x in docs]
     with pytest.raises(ValueError):
         list(TF.read_shard(io.BytesIO(out.getvalue()[:-1]), len(out.getvalue()) - 1))
+
+
+def test_packing_looks_at_every_sequence():
+    cost = lambda n: n + n * n / 1024
+    rng = random.Random(8)
+    for _ in range(5):
+        sizes = [1 + int(min(1000, rng.expovariate(1 / 200))) for _ in range(500)]
+        pieces = [Piece(d, 0, memoryview(bytes(4 * n)), n) for d, n in enumerate(sizes + [1024 - sum(sizes) % 1024])]
+        got, held = balance(pieces, 1024, 1.0, 1 / 1024)
+        n = len(got)
+        want, room, dear = [[] for _ in range(n)], [1024] * n, [0.0] * n
+        waiting = sorted(pieces, key=lambda p: (-p.size, p.doc_id))
+        while waiting:  # the cheapest of all with room, by looking at each
+            p = waiting.pop(0)
+            fits = [(dear[k], k) for k in range(n) if room[k] >= p.size]
+            k = min(fits or [(dear[k], k) for k in range(n) if room[k]])[1]
+            if not fits:
+                p, rest = p.cut(room[k])
+                waiting.insert(0, rest)
+            want[k].append(p)
+            room[k] -= p.size
+            dear[k] += cost(p.size)
+        told = lambda out: [[(p.doc_id, p.start, p.size) for p in s] for s in out]
+        assert told(got) == told(want) and not held

@@ -26,8 +26,6 @@ CHURN_COLS = ["total_transactions", "total_spent", "avg_order_value", "std_order
               "orders_per_month", *[f"orders_dow_{i}" for i in range(7)],
               *[f"orders_{p}" for p in ("morning", "lunch", "afternoon", "dinner", "late")], "tier_code"]
 TIERS = ("bronze", "silver", "gold", "platinum")
-SEARCH_TRIALS = 4  # of the registered search; a real one takes 50 to 100
-CV_ITERATIONS = 10  # boosting rounds in the registered cross validations
 LTV_COLS = ["total_records", "total_transactions", "total_revenue", "avg_order_value", "max_order_value",
             "min_order_value", "total_items", "avg_items_per_order", "unique_items", "tenure_days", "recency_days",
             "purchase_span", "orders_per_month", "avg_days_between_orders", "revenue_per_month",
@@ -63,7 +61,7 @@ def c03c(spark, sf):
 @register("c03c_churn_cv")
 def c03c_cv(spark, sf):
     """C3c AUC over five stratified folds."""
-    return M.churn_cv(_churn_data(spark, sf), CHURN_COLS, "is_churned", max_iter=CV_ITERATIONS)
+    return M.churn_cv(_churn_data(spark, sf), CHURN_COLS, "is_churned")
 
 
 def _churn_scores(spark, sf):
@@ -86,7 +84,7 @@ def c03e(spark, sf):
 @register("c04d_ltv_cv")
 def c04d_cv(spark, sf):
     """C4d MAE over five folds."""
-    return M.ltv_cv(C.ltv_training(D.transactions(spark, sf, dims=False), 90, 365), LTV_COLS, max_iter=CV_ITERATIONS)
+    return M.ltv_cv(C.ltv_training(D.transactions(spark, sf, dims=False), 90, 365), LTV_COLS)
 
 
 def _ltv_model(spark, sf):
@@ -255,18 +253,14 @@ def _folds(spark, sf):
 
 @register("f10_tune")
 def f10(spark, sf):
-    """F10 seeded random search of the whole space, scored by rolling-origin CV.
-
-    Every parameter is drawn; rounds are held to 10-20 and depth to 3-6, so
-    that the registered search ends in minutes."""
-    space = {**M.SEARCH_SPACE, "maxIter": ("int", 10, 20), "maxDepth": ("int", 3, 6)}
-    return M.tune(FEATURE_COLS, "qty", _folds(spark, sf), space, n_trials=SEARCH_TRIALS)
+    """F10 seeded random search of the whole space, scored by rolling-origin CV."""
+    return M.tune(FEATURE_COLS, "qty", _folds(spark, sf))
 
 
 @register("f11_cross_validate")
 def f11(spark, sf):
     """F11 rolling-origin CV (3 folds): mean and population std of metrics."""
-    return M.cross_validate(FEATURE_COLS, "qty", _folds(spark, sf), {"maxIter": 10})
+    return M.cross_validate(FEATURE_COLS, "qty", _folds(spark, sf))
 
 
 @register("f12_search_summary")

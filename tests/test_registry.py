@@ -28,3 +28,29 @@ def test_stop_words_are_pinned():
     from tavola.functions.text import STOP_WORDS
     assert len(STOP_WORDS) == len(set(STOP_WORDS)) == 181
     assert STOP_WORDS[0] == "i" and STOP_WORDS[-1] == "would"
+
+
+def test_searches_are_registered_whole(monkeypatch):
+    import inspect
+    from tavola.operators import ml
+    from tavola.plans import q_ml
+    calls = {}
+
+    def caught(name):
+        signature = inspect.signature(getattr(ml, name))
+
+        def call(*args, **more):
+            bound = signature.bind(*args, **more)
+            bound.apply_defaults()
+            calls[name] = bound.arguments
+            return name
+        return call, {k: p.default for k, p in signature.parameters.items() if p.default is not p.empty}
+    for place, name in [(q_ml, "_folds"), (q_ml, "_churn_data"), (q_ml.C, "ltv_training"), (q_ml.D, "transactions")]:
+        monkeypatch.setattr(place, name, lambda *a, **k: None)
+    runs = {"tune": q_ml.f10, "cross_validate": q_ml.f11, "churn_cv": q_ml.c03c_cv, "ltv_cv": q_ml.c04d_cv}
+    for name, run in runs.items():
+        call, defaults = caught(name)
+        monkeypatch.setattr(ml, name, call)
+        run(None, None)
+        assert {k: calls[name][k] for k in defaults} == defaults, name
+    assert calls["tune"]["space"] in (None, ml.SEARCH_SPACE) and calls["tune"]["n_trials"] >= 50

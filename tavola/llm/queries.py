@@ -6,11 +6,14 @@ import corpus_pipeline
 
 from ..sources import driver as D
 from .ann import nearest_neighbours
+from .bin_repack import repack
 from .bpe import round_trip
 from .line_dedup import line_report
+from .lookup_clusters import cluster_vectors
 from .near_dup import jaccard_components
 from .packing import pack
 from .pii import pii_report
+from .prefix_trie import prefix_trie
 from .quality import quality_report, train_line_crf
 from .suffix_dedup import repeated_substrings
 from .token_counts import token_counts
@@ -82,6 +85,21 @@ def op10_token_counts(spark, sf_dir):
     return token_counts(D.read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op11_conversation_trie(spark, sf_dir):
+    """Every distinct prefix of the rebuilt ``conversations``."""
+    return prefix_trie(D.read(spark, sf_dir, "conversations"))
+
+
+def op12_best_fit_packing(spark, sf_dir):
+    """``documents`` packed into few sequences of at most 2048 tokens, none cut but longer ones."""
+    return repack(D.read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=0)
+
+
+def op13_centroid_clustering(spark, sf_dir):
+    """``embeddings`` in 16 clusters after three rounds, in whole numbers."""
+    return cluster_vectors(D.read(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark, sf_dir):
     """All stages of ``corpus_pipeline`` over ``documents``."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -99,6 +117,61 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(dropped AS INT)) AS BIGINT) AS
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
 
+TRIE_SQL = r"""
+WITH own AS (
+  SELECT conv_id AS c, list({'r': r, 'x': x} ORDER BY turn NULLS FIRST, r, sha256(length(r) || ':' || r || x)) AS l
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)
+  GROUP BY 1),
+hashed AS (
+  SELECT c, l, xor(list_reduce(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ord(s) AS BIGINT)),
+    lambda crc, byte: list_reduce(CAST(range(8) AS BIGINT[]), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)), xor(crc, byte)),
+    CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) % 4 AS h FROM own),
+built AS (
+  SELECT o.c, list_concat(list_slice(coalesce(g.l, []), 1, o.h), list_slice(o.l, o.h + 1, len(o.l))) AS p
+  FROM hashed o LEFT JOIN own g ON g.c = o.c - o.c % 20),
+member AS (SELECT c, d, list_slice(p, 1, d) AS k, len(p) = d AS ends
+           FROM (SELECT c, p, unnest(generate_series(0, len(p))) AS d FROM built)),
+node AS (
+  SELECT k, d, min(c) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '') AS e,
+    CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(k[d].x, '[^\x20\x09-\x0D]+')) END AS w
+  FROM member GROUP BY k, d),
+child AS (SELECT list_slice(k, 1, d - 1) AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+full_node AS (SELECT n.*, coalesce(child.n, 0) AS n_children FROM node n LEFT JOIN child ON child.k = n.k),
+up AS (SELECT list_slice(k, 1, a) AS k, n_convs, w, n_children
+       FROM (SELECT *, unnest(generate_series(0, d)) AS a FROM full_node)),
+sub AS (SELECT k, CAST(sum(CAST(n_children = 0 AS INT)) AS BIGINT) AS n_leaves,
+          CAST(sum((n_convs - 1) * w) AS BIGINT) AS saved_tokens FROM up GROUP BY k)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, sub.n_leaves, sub.saved_tokens,
+  sha256(n.e) AS ends_sha256
+FROM full_node n JOIN sub ON sub.k = n.k LEFT JOIN node p ON n.d > 0 AND p.k = list_slice(n.k, 1, n.d - 1)"""
+
+
+def _clusters_sql(rounds: int = 3) -> str:
+    """Each round: distances, the nearest centroid, then floor(sum / count) of each component."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+near{k} AS (SELECT rid, any_value(vec_id) AS vec_id, any_value(v) AS v, min({{'d': d, 'c': c}}) AS m FROM (
+  SELECT rid, vec_id, v, c, list_sum(list_transform(list_zip(v, u), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+  FROM kept, centre{k}) GROUP BY rid)""")
+        if k < rounds:
+            steps.append(f"""
+mean{k} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS u FROM (
+    SELECT m.c AS c, j, CAST(sum(v[j]) AS BIGINT) AS s, count(*) AS n
+    FROM (SELECT m, v, unnest(range(1, 65)) AS j FROM near{k}) GROUP BY 1, 2) GROUP BY c),
+centre{k + 1} AS (SELECT c, coalesce(mean{k}.u, centre{k}.u) AS u FROM centre{k} LEFT JOIN mean{k} USING (c))""")
+    return """
+WITH kept AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+centre0 AS (SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INT) AS c, v AS u FROM (
+  SELECT sha256('1:' || vec_id) AS h, v FROM kept WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT 16)),""" + ",".join(steps) + f"""
+SELECT vec_id, m.c AS cluster, CAST(m.d AS BIGINT) AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(u, ',')) AS centroid_sha256
+FROM near{rounds} JOIN centre{rounds} ON centre{rounds}.c = m.c"""
+
+
 #: name -> (function of spark and table folder, DuckDB SQL or None)
 QUERIES = {
     "op1_nearest_neighbours": (op1_nearest_neighbours, None),
@@ -111,5 +184,8 @@ QUERIES = {
     "op8_line_dedup": (op8_line_dedup, LINE_DEDUP_SQL),
     "op9_packing": (op9_packing, None),
     "op10_token_counts": (op10_token_counts, None),
+    "op11_conversation_trie": (op11_conversation_trie, TRIE_SQL),
+    "op12_best_fit_packing": (op12_best_fit_packing, None),
+    "op13_centroid_clustering": (op13_centroid_clustering, _clusters_sql()),
     "pipeline": (pipeline, corpus_pipeline.ORACLE_SQL),
 }

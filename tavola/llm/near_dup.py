@@ -27,6 +27,7 @@ not change a component.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -255,14 +256,19 @@ def _overlap_bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where((both == FULL).any(axis=1), 1 << 40, both.sum(axis=1, dtype=np.int64))
 
 
+def _counts_of(column: pa.Array) -> np.ndarray:
+    """The counts of every row, as they lie in the column's buffer."""
+    first = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
+    return np.frombuffer(column.buffers()[2], np.uint8, len(column) * GROUPS, int(first)).reshape(-1, GROUPS)
+
+
 def _may_link(percent: int):
     """Pairs whose bound of the overlap, from the counts of both sets, reaches the threshold."""
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, GROUPS)
-                    for k in ("a_counts", "b_counts"))
+            x, y = (_counts_of(batch.column(k)) for k in ("a_counts", "b_counts"))
             bound = _overlap_bound(x, y)
             n = batch.column("a_n").to_numpy() + batch.column("b_n").to_numpy()
             keep = pa.array((100 + percent) * bound >= percent * n)
@@ -409,10 +415,14 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5, hot: i
         held = rest.groupBy("sid").agg(F.sum(F.when(often, F.col("shared")).otherwise(0)).alias("large"),
                                        F.sum(F.when(often, 0).otherwise(F.col("shared"))).alias("small"))
         rest = rest.join(held, "sid").transform(written)
-        pairs = _small_pairs(rest, sets, percent)
+        found = []
+        if best:  # all pairs of the small groups, once: those still apart in the second round were among them
+            found.append(_small_pairs(rest, sets, percent))
         if not rest.where(often).isEmpty():
-            pairs = pairs.unionAll(_large_pairs(rest, sets, percent, best))
-        pairs = (pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            found.append(_large_pairs(rest, sets, percent, best))
+        if not found:
+            break
+        pairs = (functools.reduce(DataFrame.unionAll, found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
                  .join(done, ["a", "b"], "left_anti").transform(written))
         if pairs.isEmpty():
             break

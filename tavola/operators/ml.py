@@ -1,27 +1,27 @@
 """Model training and scoring with Spark ML (SURVEY C3c-e, C4d-e, C5b-f,
 F4-F6, F8-F12, B11, X11).
 
-Gradient boosting here is Spark's ``GBTClassifier`` / ``GBTRegressor``, not
-the reference's LightGBM, so scores are compared as metrics, not values.
-Training data never leaves the cluster: features are assembled into vectors
-in a ``Pipeline``; metrics are DataFrame aggregates (``forecast.py``).
+Gradient boosting is ``boosting.py``: leaf-wise trees over binned columns with
+the reference's rounds, leaves, penalties and early stopping.  Its random draws
+are its own, so scores are compared as metrics, not values.  Metrics are
+DataFrame aggregates over all rows (``forecast.py``, ``boosting.scores``).
 """
 
 from __future__ import annotations
 
-import math
-import random
+import json
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.recommendation import ALS
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +29,10 @@ from ..functions.bins import quantile_bins
 from ..functions.rounding import round_even
 from ..functions.scalars import scalar_struct
 from ..session import ensure_checkpoint_dir
+from . import boosting
+from .boosting import Booster, Params
 from .forecast import classification_metrics, regression_metrics
+from .tuning import SEARCH_SPACE, Sampler
 
 # Churn risk bands (probability cut points) and LTV bands.
 RISK_BANDS = [(0.25, "Low"), (0.5, "Medium"), (0.75, "High")]
@@ -90,28 +93,33 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return df.join(F.broadcast(w), label)
 
 
+# The reference's settings of the three models.
+CHURN_PARAMS = Params(rounds=200, rate=0.05, max_depth=31, leaves=31, row_share=0.8, column_share=0.8, l1=0.0, l2=0.0, stop_after=0)
+LTV_PARAMS = Params(rounds=200, rate=0.1, max_depth=5, leaves=32, row_share=1.0, column_share=1.0, min_rows=5, l1=0.0, l2=0.0,
+                    stop_after=0)
+DEMAND_PARAMS = Params()
+
+
 def train_churn(data: DataFrame, feature_cols: Sequence[str], label: str = "is_churned",
-                max_iter: int = 30, seed: int = 42):
+                params: Params = CHURN_PARAMS, seed: int = 42):
     """Boosted trees with balanced class weights; hold-out metrics."""
     train, hold = stratified_split(data.fillna(0, list(feature_cols)), label, 0.2, seed)
-    gbt = GBTClassifier(labelCol=label, featuresCol="features", weightCol="weight", maxIter=max_iter,
-                        maxDepth=5, seed=seed)
-    model = Pipeline(stages=[_assembler(feature_cols), gbt]).fit(class_weights(train, label))
-    scored = model.transform(hold).withColumn("p", vector_to_array("probability")[1])
-    return model, classification_metrics(scored, label, "p", 0.5, key="customer_id")
+    model = boosting.fit(class_weights(train, label).withColumn("_y", F.col(label).cast("double")), feature_cols, "_y",
+                         params, "logistic", "weight")
+    return model, classification_metrics(hold.withColumn("p", model.column()), label, "p", 0.5, key="customer_id")
 
 
 def churn_cv(data: DataFrame, feature_cols: Sequence[str], label: str = "is_churned", folds: int = 5,
-             max_iter: int = 30, seed: int = 42) -> DataFrame:
-    """Mean and population std of the AUC over stratified folds."""
-    data = stratified_folds(data.fillna(0, list(feature_cols)), label, folds, seed).persist(StorageLevel.MEMORY_AND_DISK)
+             params: Params = CHURN_PARAMS, seed: int = 42) -> DataFrame:
+    """Mean and population std of the AUC over stratified folds, all of them fitted at once."""
+    data = class_weights(stratified_folds(data.fillna(0, list(feature_cols)), label, folds, seed), label)
+    data = data.withColumn("_y", F.col(label).cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        each = data.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+        cut = boosting.binned_folds(each, feature_cols, "_y", F.col("_fold") == F.col("fold"), "logistic", "weight")
         rows = []
-        for k in range(folds):
-            gbt = GBTClassifier(labelCol=label, featuresCol="features", weightCol="weight", maxIter=max_iter,
-                                maxDepth=5, seed=seed)
-            model = Pipeline(stages=[_assembler(feature_cols), gbt]).fit(class_weights(data.where(F.col("_fold") != k), label))
-            scored = model.transform(data.where(F.col("_fold") == k)).withColumn("p", vector_to_array("probability")[1])
+        for _, k, model in boosting.fit_folds(cut, [(0, params)]):
+            scored = data.where(F.col("_fold") == k).withColumn("p", model.column())
             auc = classification_metrics(scored, label, "p", 0.5, key="customer_id").select("roc_auc").first()[0]
             rows.append((k, None if auc is None else float(auc)))
     finally:
@@ -121,6 +129,15 @@ def churn_cv(data: DataFrame, feature_cols: Sequence[str], label: str = "is_chur
                    round_even(F.stddev_pop("auc"), 6).alias("auc_std"))
 
 
+def train_churn_forest(data: DataFrame, feature_cols: Sequence[str], label: str = "is_churned", trees: int = 100, seed: int = 42):
+    """C3c, the other form: a random forest; hold-out metrics."""
+    train, hold = stratified_split(data.fillna(0, list(feature_cols)), label, 0.2, seed)
+    forest = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=12, seed=seed)
+    model = Pipeline(stages=[_assembler(feature_cols), forest]).fit(train)
+    scored = model.transform(hold).withColumn("p", vector_to_array("probability")[1])
+    return model, classification_metrics(scored, label, "p", 0.5, key="customer_id")
+
+
 def risk_band(p) -> F.Column:
     c = F.col(p) if isinstance(p, str) else p
     expr = None
@@ -129,12 +146,15 @@ def risk_band(p) -> F.Column:
     return expr.otherwise(RISK_TOP)
 
 
-def score_churn(model: PipelineModel, features: DataFrame, feature_cols: Sequence[str], thr: float = 0.5) -> DataFrame:
-    """C3d: churn probability, flag at ``thr`` and risk band (0 is Low, M6)."""
-    s = model.transform(features.fillna(0, list(feature_cols)))
-    p = vector_to_array("probability")[1]
-    return s.select("customer_id", round_even(p, 6).alias("churn_probability"),
-                    (p >= thr).alias("will_churn"), risk_band(p).alias("risk_level"))
+def churn_bands(scored: DataFrame, p: str = "p", thr: float = 0.5) -> DataFrame:
+    """C3d: flag at ``thr`` and risk band of a probability (0 is Low, M6)."""
+    return scored.select("customer_id", round_even(F.col(p), 6).alias("churn_probability"),
+                         (F.col(p) >= thr).alias("will_churn"), risk_band(p).alias("risk_level"))
+
+
+def score_churn(model: Booster, features: DataFrame, feature_cols: Sequence[str], thr: float = 0.5) -> DataFrame:
+    """C3d: churn probability, flag at ``thr`` and risk band."""
+    return churn_bands(features.fillna(0, list(feature_cols)).withColumn("p", model.column()), "p", thr)
 
 
 def at_risk(scores: DataFrame, thr: float = 0.5) -> DataFrame:
@@ -144,42 +164,44 @@ def at_risk(scores: DataFrame, thr: float = 0.5) -> DataFrame:
 
 # --------------------------------------------------------------------------- LTV
 def train_ltv(table: DataFrame, feature_cols: Sequence[str], target: str = "future_value",
-              max_iter: int = 30, seed: int = 42):
+              params: Params = LTV_PARAMS, seed: int = 42):
     """C4d: boosted regression on the hold-out target; MAE, RMSE, R2 and the
     offset MAPE (E2) on a seeded 20 % test split."""
     t = table.fillna(0, list(feature_cols)).withColumn("_u", hash_fraction("customer_id", seed))
     train, test = t.where("_u >= 0.2"), t.where("_u < 0.2")
-    gbt = GBTRegressor(labelCol=target, featuresCol="features", maxIter=max_iter, maxDepth=5, seed=seed)
-    model = Pipeline(stages=[_assembler(feature_cols), gbt]).fit(train)
-    pred = model.transform(test)
-    return model, regression_metrics(pred, target, "prediction", None, mape_offset=1.0)
+    model = boosting.fit(train, feature_cols, target, params)
+    return model, regression_metrics(test.withColumn("prediction", model.column()), target, "prediction", None, mape_offset=1.0)
 
 
 def ltv_cv(table: DataFrame, feature_cols: Sequence[str], target: str = "future_value", folds: int = 5,
-           max_iter: int = 30, seed: int = 42) -> DataFrame:
-    """C4d: mean and population std of the MAE over seeded folds."""
+           params: Params = LTV_PARAMS, seed: int = 42) -> DataFrame:
+    """C4d: mean and population std of the MAE over seeded folds, all of them fitted at once."""
     t = (table.fillna(0, list(feature_cols))
-         .withColumn("_fold", F.floor(hash_fraction("customer_id", seed) * folds).cast("int")).persist(StorageLevel.MEMORY_AND_DISK))
-    try:
-        rows = []
-        for k in range(folds):
-            gbt = GBTRegressor(labelCol=target, featuresCol="features", maxIter=max_iter, maxDepth=5, seed=seed)
-            model = Pipeline(stages=[_assembler(feature_cols), gbt]).fit(t.where(F.col("_fold") != k))
-            pred = model.transform(t.where(F.col("_fold") == k))
-            mae = regression_metrics(pred, target, "prediction").select("mae").first()[0]
-            rows.append((k, None if mae is None else float(mae)))
-    finally:
-        t.unpersist()
-    per = table.sparkSession.createDataFrame(rows, "fold int, mae double")
+         .withColumn("_at", F.floor(hash_fraction("customer_id", seed) * folds).cast("int"))
+         .withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))))
+    cut = boosting.binned_folds(t, feature_cols, target, F.col("_at") == F.col("fold"))
+    per = boosting.scores(cut, boosting.fit_folds(cut, [(0, params)]))
     return per.agg(F.count("mae").alias("n_folds"), round_even(F.avg("mae"), 6).alias("mae_mean"),
                    round_even(F.stddev_pop("mae"), 6).alias("mae_std"))
 
 
-def predict_ltv(model: PipelineModel, features: DataFrame, feature_cols: Sequence[str]) -> DataFrame:
+def train_ltv_forest(table: DataFrame, feature_cols: Sequence[str], target: str = "future_value", trees: int = 100, seed: int = 42):
+    """C4d, the other form: a random forest on the same split; MAE, RMSE, R2 and the offset MAPE."""
+    t = table.fillna(0, list(feature_cols)).withColumn("_u", hash_fraction("customer_id", seed))
+    forest = RandomForestRegressor(labelCol=target, featuresCol="features", numTrees=trees, maxDepth=12, seed=seed)
+    model = Pipeline(stages=[_assembler(feature_cols), forest]).fit(t.where("_u >= 0.2"))
+    return model, regression_metrics(model.transform(t.where("_u < 0.2")), target, "prediction", None, mape_offset=1.0)
+
+
+def ltv_bands(predicted: DataFrame) -> DataFrame:
+    """C4e: five value bands of ``predicted_ltv``."""
+    return quantile_bins(predicted, "predicted_ltv", 5, "ltv_segment", labels=LTV_LABELS, key="customer_id")
+
+
+def predict_ltv(model: Booster, features: DataFrame, feature_cols: Sequence[str]) -> DataFrame:
     """C4e: non-negative prediction and five value bands."""
-    p = model.transform(features.fillna(0, list(feature_cols)))
-    p = p.select("customer_id", F.greatest(F.col("prediction"), F.lit(0.0)).alias("predicted_ltv"))
-    return quantile_bins(p, "predicted_ltv", 5, "ltv_segment", labels=LTV_LABELS, key="customer_id")
+    p = features.fillna(0, list(feature_cols)).withColumn("prediction", model.column())
+    return ltv_bands(p.select("customer_id", F.greatest(F.col("prediction"), F.lit(0.0)).alias("predicted_ltv")))
 
 
 # --------------------------------------------------------------------------- segmentation
@@ -312,25 +334,20 @@ def normalized_centres(centres: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- forecasting
-def train_forecaster(table: DataFrame, feature_cols: Sequence[str], target: str, max_iter: int = 50,
-                     seed: int = 42, split_col: str = "split"):
-    """boosted regressor with early stopping on the validation rows
-    (``validationIndicatorCol``); train and validation metrics (E1)."""
-    t = table.withColumn("_is_val", F.col(split_col) == "test").persist(StorageLevel.MEMORY_AND_DISK)
-    gbt = GBTRegressor(labelCol=target, featuresCol="features", maxIter=max_iter, maxDepth=5, seed=seed,
-                       validationIndicatorCol="_is_val", validationTol=0.01)
-    model = Pipeline(stages=[_assembler(feature_cols), gbt]).fit(t)
-    pred = model.transform(t)
-    metrics = regression_metrics(pred, target, "prediction", split_col)
-    return model, metrics
-
-
-def forecast(model: PipelineModel, df: DataFrame) -> DataFrame:
+def train_forecaster(table: DataFrame, feature_cols: Sequence[str], target: str, params: Params = DEMAND_PARAMS,
+                     split_col: str = "split"):
+    """boosted regressor, stopped when the validation rows have not gained
+    for ``params.stop_after`` rounds; train and validation metrics (E1)."""
+    model = boosting.fit(table, feature_cols, target, params, valid=F.col(split_col) == "test")
+    return model, regression_metrics(table.withColumn("prediction", model.column()), target, "prediction", split_col)
+
+
+def forecast(model: Booster, df: DataFrame) -> DataFrame:
     """predictions for new rows."""
-    return model.transform(df).drop("features")
+    return df.withColumn("prediction", model.column())
 
 
-def rollout(model: PipelineModel, history: DataFrame, days: int, key: str, target: str,
+def rollout(model: Booster, history: DataFrame, days: int, key: str, target: str,
             feature_fn, date: str = "date", keep: int = 28) -> DataFrame:
     """recursive multi-day forecast for all series at once.
 
@@ -348,7 +365,7 @@ def rollout(model: PipelineModel, history: DataFrame, days: int, key: str, targe
         frame = state.unionByName(nxt.withColumn(target, F.lit(None).cast(state.schema[target].dataType))
                                   .withColumn("is_forecast", F.lit(True)))
         feats = feature_fn(frame)
-        pred = model.transform(feats.join(nxt, [key, date], "left_semi").fillna(0)) \
+        pred = feats.join(nxt, [key, date], "left_semi").fillna(0).withColumn("prediction", model.column()) \
             .select(key, date, F.greatest(F.col("prediction"), F.lit(0.0)).alias("prediction"))
         out.append(pred.withColumn("horizon", F.lit(step)).checkpoint())
         new_rows = out[-1].select(key, date, F.col("prediction").cast(state.schema[target].dataType).alias(target),
@@ -361,17 +378,15 @@ def rollout(model: PipelineModel, history: DataFrame, days: int, key: str, targe
     return res
 
 
-def feature_importance(model: PipelineModel, cols: Sequence[str], n: int = 10) -> DataFrame:
-    """F8: top-n features by the trees' importance (gain-based)."""
+def feature_importance(model: Booster, n: int = 10) -> DataFrame:
+    """F8: top-n features by their share of the splits' gain."""
     from pyspark.sql import SparkSession
-    imp = model.stages[-1].featureImportances.toArray()
-    spark = SparkSession.getActiveSession()
-    rows = sorted(((c, float(v)) for c, v in zip(cols, imp)), key=lambda r: (-r[1], r[0]))[:n]
-    return spark.createDataFrame([(i + 1, c, round(v, 6)) for i, (c, v) in enumerate(rows)],
-                                 "rank int, feature string, importance double")
+    rows = sorted(model.importance().items(), key=lambda r: (-r[1], r[0]))[:n]
+    return SparkSession.getActiveSession().createDataFrame([(i + 1, c, round(v, 6)) for i, (c, v) in enumerate(rows)],
+                                                           "rank int, feature string, importance double")
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, cols: Sequence[str], target: str,
+def permutation_importance(model: Booster, df: DataFrame, cols: Sequence[str], target: str,
                            key: str, seed: int = 42, n: int | None = None) -> DataFrame:
     """increase of MAE when one feature's values are permuted across rows.
 
@@ -379,7 +394,7 @@ def permutation_importance(model: PipelineModel, df: DataFrame, cols: Sequence[s
     value of the row a different number of places further on (round the end),
     a permutation that needs one join and no further rank."""
     def mae(frame):
-        return regression_metrics(model.transform(frame), target, "prediction").select("mae").collect()[0][0]
+        return regression_metrics(frame.withColumn("prediction", model.column()), target, "prediction").select("mae").collect()[0][0]
     from ..functions.bins import global_rank
     base = mae(df)
     rows = []
@@ -396,69 +411,49 @@ def permutation_importance(model: PipelineModel, df: DataFrame, cols: Sequence[s
     return out.limit(n) if n else out
 
 
-def cross_validate(feature_cols: Sequence[str], target: str, folds: DataFrame, params: dict | None = None) -> DataFrame:
+def cross_validate(feature_cols: Sequence[str], target: str, folds: DataFrame, params: Params = DEMAND_PARAMS) -> DataFrame:
     """rolling-origin CV over ``time_series_folds`` output; mean and
-    population std of MAE, RMSE, R2 across folds."""
-    per = []
-    n_folds = folds.select(F.max("fold")).collect()[0][0] + 1
-    for f in range(n_folds):
-        fold = folds.where(F.col("fold") == f)
-        train, test = fold.where("role = 'train'"), fold.where("role = 'test'")
-        gbt = GBTRegressor(labelCol=target, featuresCol="features", seed=42, **(params or {"maxIter": 20}))
-        model = Pipeline(stages=[_assembler(feature_cols), gbt]).fit(train)
-        m = regression_metrics(model.transform(test), target, "prediction").withColumn("fold", F.lit(f))
-        per.append(m)
-    allm = per[0]
-    for m in per[1:]:
-        allm = allm.unionByName(m)
-    return allm.agg(*[F.avg(c).alias(f"{c}_mean") for c in ("mae", "rmse", "r2")],
-                    *[F.stddev_pop(c).alias(f"{c}_std") for c in ("mae", "rmse", "r2")])
-
-
-# Search space; the reference's ranges for the parameters that Spark's boosting has
-# (kind, low, high).  It has no leaf count and no L1 / L2 penalty; depth is at most 12 here as there.
-SEARCH_SPACE = {
-    "maxIter": ("int", 100, 1000),
-    "stepSize": ("log", 0.01, 0.3),
-    "maxDepth": ("int", 3, 12),
-    "subsamplingRate": ("float", 0.5, 1.0),
-    "featureSubsetStrategy": ("share", 0.5, 1.0),
-    "minInstancesPerNode": ("int", 5, 100),
-}
-
-
-def draw_params(space: dict[str, tuple], rng: random.Random) -> dict:
-    """One point of the space."""
-    out = {}
-    for name, (kind, low, high) in space.items():
-        if kind == "int":
-            out[name] = rng.randint(low, high)
-        elif kind == "log":
-            out[name] = round(math.exp(rng.uniform(math.log(low), math.log(high))), 6)
-        else:
-            x = round(rng.uniform(low, high), 6)
-            out[name] = str(x) if kind == "share" else x
-    return out
+    population std of MAE, RMSE, R2 across folds, all of them fitted at once."""
+    cut = boosting.binned_folds(folds, feature_cols, target, F.col("role") == "test")
+    per = boosting.scores(cut, boosting.fit_folds(cut, [(0, params)]))
+    return per.agg(*[F.avg(c).alias(f"{c}_mean") for c in ("mae", "rmse", "r2")],
+                   *[F.stddev_pop(c).alias(f"{c}_std") for c in ("mae", "rmse", "r2")])
 
 
 def tune(feature_cols: Sequence[str], target: str, folds: DataFrame, space: dict[str, tuple] | None = None,
-         n_trials: int = 50, seed: int = 42) -> DataFrame:
-    """seeded random search, each trial scored by rolling-origin CV MAE
-    (time order kept, so no shuffled k-fold).  ``n_trials`` is the budget: 50
-    to 100 for a real search."""
-    rng, rows = random.Random(seed), []
-    folds = folds.persist(StorageLevel.MEMORY_AND_DISK)  # read by every fit of every trial
-    try:
-        for t in range(n_trials):
-            params = draw_params(space or SEARCH_SPACE, rng)
-            cv = cross_validate(feature_cols, target, folds, params).collect()[0]
-            rows.append((t, str(params), float(cv["mae_mean"]), float(cv["rmse_mean"])))
-    finally:
-        folds.unpersist()
-    return folds.sparkSession.createDataFrame(rows, "trial int, params string, cv_mae double, cv_rmse double")
-
-
-def search_summary(trials: DataFrame, metric: str = "cv_mae") -> DataFrame:
+         n_trials: int = 50, at_once: int = 10, metric: str = "rmse", seed: int = 42) -> DataFrame:
+    """Parzen search, each trial scored by rolling-origin CV (time order
+    kept, so no shuffled k-fold): the mean of ``metric`` over the folds.
+
+    The folds are binned once.  ``at_once`` trials are proposed together and
+    fitted side by side, a task for each trial and fold; a fit stops after 50
+    rounds without gain and is scored by its best prefix, so a larger number of
+    rounds costs no further fit.  ``n_trials`` is the budget: 50 to 100."""
+    sampler = Sampler(space or SEARCH_SPACE, seed, startup=min(10, n_trials))
+    cut = boosting.binned_folds(folds, feature_cols, target, F.col("role") == "test")
+    rows = []
+    while len(rows) < n_trials:
+        points = [sampler.propose() for _ in range(min(at_once, n_trials - len(rows)))]
+        trials = [(len(rows) + k, replace(DEMAND_PARAMS, seed=seed, **point)) for k, point in enumerate(points)]
+        models = boosting.fit_folds(cut, trials)
+        used = {t: sum(len(m.trees) for k, _, m in models if k == t) / cut.count for t, _ in trials}
+        told = {r.trial: r for r in boosting.scores(cut, models).groupBy("trial").agg(
+            F.avg("mae").alias("mae"), F.avg("rmse").alias("rmse"), F.avg("r2").alias("r2")).collect()}  # a row a trial
+        for (t, _), point in zip(trials, points):
+            score = told[t]
+            rows.append((t, json.dumps({k: round(v, 8) for k, v in sorted(point.items())}), used[t], score.mae, score.rmse, score.r2))
+            sampler.tell(point, score[metric] if metric != "r2" else -score.r2)
+    return folds.sparkSession.createDataFrame(
+        rows, "trial int, params string, mean_rounds double, cv_mae double, cv_rmse double, cv_r2 double")
+
+
+def best_params(trials: DataFrame, metric: str = "cv_rmse") -> Params:
+    """the best trial's parameters, for the final fit."""
+    best = trials.agg(F.min_by("params", F.struct(metric, "trial")).alias("p")).first()["p"]
+    return replace(DEMAND_PARAMS, **json.loads(best))
+
+
+def search_summary(trials: DataFrame, metric: str = "cv_rmse") -> DataFrame:
     """best, worst, mean, std of the trial metric and % gain of the best
     over the first trial."""
     first = scalar_struct(trials.where(F.col("trial") == 0).select(F.col(metric).alias("v")))

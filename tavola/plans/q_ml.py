@@ -7,15 +7,21 @@ against constant predictors.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.rounding import round_even
 from ..operators import basket as B
 from ..operators import customers as C
+from ..operators import explain as E
 from ..operators import forecast as FC
 from ..operators import ml as M
 from ..operators import windows as W
+from ..operators.boosting import Booster
+from ..session import ensure_checkpoint_dir
 from ..sources import driver as D
+from ..sources.io import load_model, save_model
 from .q_customers import SEGMENT_SQL, customer_base
 from .q_forecast import FEATURE_COLS, features
 from .registry import AS_OF, register
@@ -48,14 +54,45 @@ def _churn_data(spark, sf):
     return f.join(lab, "customer_id")
 
 
+#: (application, name, folder of the tables) -> where the model or table lies, so that it is made once a session
+_MADE: dict[tuple[str, str, str], str] = {}
+
+
+def _place(spark, name, sf, make) -> str:
+    """The folder that ``make(folder)`` fills, on first use in this session."""
+    key = (spark.sparkContext.applicationId, name, sf)
+    if key not in _MADE:
+        folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tavola-models/{name}-{uuid.uuid4().hex}"
+        make(folder)
+        _MADE[key] = folder
+    return _MADE[key]
+
+
+def _model(spark, name, sf, train) -> Booster:
+    """Fitted and saved once, loaded by every query that scores with it."""
+    return load_model(_place(spark, name, sf, lambda folder: save_model(train()[0], folder)))[0]
+
+
 def _churn_model(spark, sf):
-    return M.train_churn(_churn_data(spark, sf), CHURN_COLS, "is_churned", max_iter=20)
+    return _model(spark, "churn", sf, lambda: M.train_churn(_churn_data(spark, sf), CHURN_COLS, "is_churned"))
 
 
 @register("c03c_train_churn")
 def c03c(spark, sf):
     """C3c boosted churn model: hold-out confusion counts, F1, AUC."""
-    return _churn_model(spark, sf)[1]
+    return M.train_churn(_churn_data(spark, sf), CHURN_COLS, "is_churned")[1]
+
+
+@register("c03c_churn_forest")
+def c03c_forest(spark, sf):
+    """C3c random forest of 100 trees: hold-out confusion counts, F1, AUC."""
+    return M.train_churn_forest(_churn_data(spark, sf), CHURN_COLS, "is_churned")[1]
+
+
+@register("c03c_explain_churn")
+def c03c_explain(spark, sf):
+    """C3c / F9 tree SHAP of the churn model for every customer (log odds)."""
+    return E.shap_values(_churn_model(spark, sf), _churn_data(spark, sf).fillna(0, CHURN_COLS), ["customer_id"])
 
 
 @register("c03c_churn_cv")
@@ -65,8 +102,7 @@ def c03c_cv(spark, sf):
 
 
 def _churn_scores(spark, sf):
-    model, _ = _churn_model(spark, sf)
-    return M.score_churn(model, _churn_data(spark, sf), CHURN_COLS)
+    return M.score_churn(_churn_model(spark, sf), _churn_data(spark, sf), CHURN_COLS)
 
 
 @register("c03d_score_churn")
@@ -84,22 +120,27 @@ def c03e(spark, sf):
 @register("c04d_ltv_cv")
 def c04d_cv(spark, sf):
     """C4d MAE over five folds."""
-    return M.ltv_cv(C.ltv_training(D.transactions(spark, sf, dims=False), 90, 365), LTV_COLS)
+    return M.ltv_cv(_ltv_table(spark, sf), LTV_COLS)
 
 
-def _ltv_model(spark, sf):
-    table = C.ltv_training(D.transactions(spark, sf, dims=False), 90, 365)
-    return M.train_ltv(table, LTV_COLS, "future_value", max_iter=20)
+def _ltv_table(spark, sf):
+    return C.ltv_training(D.transactions(spark, sf, dims=False), 90, 365)
 
 
 @register("c04d_train_ltv")
 def c04d(spark, sf):
     """C4d LTV model hold-out MAE, RMSE, R2, offset MAPE."""
-    return _ltv_model(spark, sf)[1]
+    return M.train_ltv(_ltv_table(spark, sf), LTV_COLS, "future_value")[1]
+
+
+@register("c04d_ltv_forest")
+def c04d_forest(spark, sf):
+    """C4d random forest of 100 trees: hold-out MAE, RMSE, R2, offset MAPE."""
+    return M.train_ltv_forest(_ltv_table(spark, sf), LTV_COLS, "future_value")[1]
 
 
 def _ltv_pred(spark, sf):
-    model, _ = _ltv_model(spark, sf)
+    model = _model(spark, "ltv", sf, lambda: M.train_ltv(_ltv_table(spark, sf), LTV_COLS, "future_value"))
     return M.predict_ltv(model, C.ltv_features(D.transactions(spark, sf, dims=False), AS_OF, 365), LTV_COLS)
 
 
@@ -204,20 +245,19 @@ def _train_table(spark, sf):
 
 
 def _forecaster(spark, sf):
-    return M.train_forecaster(_train_table(spark, sf), FEATURE_COLS, "qty", max_iter=30)
+    return _model(spark, "demand", sf, lambda: M.train_forecaster(_train_table(spark, sf), FEATURE_COLS, "qty"))
 
 
 @register("f04_train_forecaster")
 def f04(spark, sf):
     """F4 boosted demand model with early stopping: train / validation metrics."""
-    return _forecaster(spark, sf)[1]
+    return M.train_forecaster(_train_table(spark, sf), FEATURE_COLS, "qty")[1]
 
 
 @register("f05_forecast")
 def f05(spark, sf):
     """F5 model predictions on the validation rows."""
-    model, _ = _forecaster(spark, sf)
-    return M.forecast(model, _train_table(spark, sf).where("split = 'test'")).select(
+    return M.forecast(_forecaster(spark, sf), _train_table(spark, sf).where("split = 'test'")).select(
         "category", "date", "qty", "prediction")
 
 
@@ -225,7 +265,7 @@ def f05(spark, sf):
 def f06(spark, sf):
     """F6 recursive 7-day rollout for every series (checkpointed per step)."""
     from .q_forecast import dense_daily
-    model, _ = _forecaster(spark, sf)
+    model = _forecaster(spark, sf)
 
     def feats(frame):
         return FC.forecast_features(frame, "qty", (1, 7, 14, 28), (7, 14, 28), "category")
@@ -235,15 +275,30 @@ def f06(spark, sf):
 @register("f08_feature_importance")
 def f08(spark, sf):
     """F8 top-10 features of the demand model."""
-    return M.feature_importance(_forecaster(spark, sf)[0], FEATURE_COLS, 10)
+    return M.feature_importance(_forecaster(spark, sf), 10)
 
 
 @register("f09_permutation_importance")
 def f09(spark, sf):
     """F9 permutation importance (MAE increase) of every feature."""
-    model, _ = _forecaster(spark, sf)
     t = _train_table(spark, sf).where("split = 'test'").withColumn("rid", F.col("row_index"))
-    return M.permutation_importance(model, t, FEATURE_COLS, "qty", "rid")
+    return M.permutation_importance(_forecaster(spark, sf), t, FEATURE_COLS, "qty", "rid")
+
+
+def _explained(spark, sf):
+    return E.shap_values(_forecaster(spark, sf), _train_table(spark, sf).where("split = 'test'"), ["category", "date", "qty"])
+
+
+@register("f09_shap_values")
+def f09_values(spark, sf):
+    """F9 tree SHAP of every validation row of the demand model."""
+    return _explained(spark, sf)
+
+
+@register("f09_shap_importance")
+def f09_shap(spark, sf):
+    """F9 mean absolute SHAP value of every feature over the validation rows."""
+    return E.shap_importance(_explained(spark, sf), FEATURE_COLS)
 
 
 def _folds(spark, sf):
@@ -251,10 +306,16 @@ def _folds(spark, sf):
     return W.time_series_folds(t, "date", "key", 3)
 
 
+def _trials(spark, sf):
+    def search(folder):
+        M.tune(FEATURE_COLS, "qty", _folds(spark, sf)).write.parquet(folder)
+    return spark.read.parquet(_place(spark, "search", sf, search))
+
+
 @register("f10_tune")
 def f10(spark, sf):
-    """F10 seeded random search of the whole space, scored by rolling-origin CV."""
-    return M.tune(FEATURE_COLS, "qty", _folds(spark, sf))
+    """F10 Parzen search of the whole space, 50 trials scored by rolling-origin CV."""
+    return _trials(spark, sf)
 
 
 @register("f11_cross_validate")
@@ -265,8 +326,25 @@ def f11(spark, sf):
 
 @register("f12_search_summary")
 def f12(spark, sf):
-    """F12 summary of the parameter search trials."""
-    return M.search_summary(f10(spark, sf))
+    """F12 summary of the parameter search's written trials."""
+    return M.search_summary(_trials(spark, sf))
+
+
+@register("f12_summary_of_given_trials", """
+WITH t AS (SELECT CAST(o_custkey % 50 AS INTEGER) AS trial, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS BIGINT) AS s FROM orders GROUP BY 1),
+first AS (SELECT s AS v FROM t WHERE trial = 0)
+SELECT count(*) AS n_trials, CAST(min(s) AS DOUBLE) AS best, CAST(max(s) AS DOUBLE) AS worst, round(avg(s), 3) AS mean, round(stddev_pop(s), 3) AS std,
+  arg_min('p' || trial, {'s': s, 't': trial}) AS best_params,
+  round(CASE WHEN max(v) > 0 THEN (max(v) - min(s)) / max(v) * 100.0 END, 6) AS improvement_pct
+FROM t, first""")
+def f12_given(spark, sf):
+    """F12 over a given trial table (order value by customer number modulo 50 as the score)."""
+    o = D.read(spark, sf, "orders")
+    t = o.groupBy((F.col("o_custkey") % 50).cast("int").alias("trial")).agg(
+        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("long").cast("double").alias("cv_rmse"))
+    s = M.search_summary(t.withColumn("params", F.concat(F.lit("p"), F.col("trial").cast("string"))))
+    return s.select("n_trials", "best", "worst", F.round("mean", 3).alias("mean"), F.round("std", 3).alias("std"), "best_params",
+                    F.round("improvement_pct", 6).alias("improvement_pct"))
 
 
 @register("b11_factorize")

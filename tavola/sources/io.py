@@ -11,10 +11,13 @@ import json
 import os
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.boosting import Booster
+
 # Stored analytic table schemas (FIXTURES.md §3).
 TRANSACTIONS_SCHEMA = ("transaction_id string, order_id string, customer_id string, item_id string, "
                        "item_name string, category string, quantity int, unit_price double, total_price double, "
@@ -150,19 +153,25 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] | None = N
 
 
 def save_model(model, path: str, metadata: dict | None = None) -> None:
-    """Persist a Spark ML model (PipelineModel) with a JSON metadata file."""
-    model.write().overwrite().save(path)
+    """Persist a boosted model or a Spark ML one (PipelineModel), with a JSON metadata file."""
+    spark = SparkSession.getActiveSession()
+    if isinstance(model, Booster):
+        model.save(spark, os.path.join(path, "booster"))
+    else:
+        model.write().overwrite().save(path)
     if metadata is not None:
-        spark = SparkSession.getActiveSession()
         spark.createDataFrame([(json.dumps(metadata, default=str),)], "metadata string") \
             .coalesce(1).write.mode("overwrite").text(os.path.join(path, "tavola_metadata"))
 
 
 def load_model(path: str):
-    """Load a saved PipelineModel and its metadata (or None)."""
-    from pyspark.ml import PipelineModel
-    model = PipelineModel.load(path)
+    """Load a saved model and its metadata (or None)."""
     spark = SparkSession.getActiveSession()
+    try:
+        model = Booster.load(spark, os.path.join(path, "booster"))
+    except AnalysisException:  # no such folder: a Spark ML model
+        from pyspark.ml import PipelineModel
+        model = PipelineModel.load(path)
     meta = None
     mpath = os.path.join(path, "tavola_metadata")
     try:

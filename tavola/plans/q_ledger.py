@@ -184,6 +184,79 @@ def l03s(spark, sf):
     return SL.stock_from_deltas(spark, D.inventory(spark, sf), f"{d}/state")
 
 
+def _event_stream(spark, sf):
+    import os
+
+    from ..streaming import ledgers as SL
+    return SL.read_event_stream(spark, os.path.join(sf, "events.parquet"))
+
+
+def _order_stream(spark, sf) -> str:
+    """L4 run over the event log; where its state lies."""
+    from ..streaming import order_status as OS
+    d = _stream_dir(spark)
+    ev = _event_stream(spark, sf).select(F.col("user_id").alias("order_id"), "event_id", "ts",
+                                         _map("event_type", EVENT_STATUS).alias("status"))
+    OS.start_order_stream(ev, f"{d}/state", f"{d}/ckpt").awaitTermination()
+    return f"{d}/state"
+
+
+@register("l04s_order_stream", None)
+def l04s(spark, sf):
+    """L4 as a Structured Streaming job with keyed state: order status."""
+    from ..streaming import order_status as OS
+    return OS.orders_now(spark, _order_stream(spark, sf))
+
+
+@register("l04s_illegal_stream", None)
+def l04si(spark, sf):
+    """L4 as a Structured Streaming job with keyed state: status changes that are not allowed."""
+    from ..streaming import order_status as OS
+    return OS.illegal_now(spark, _order_stream(spark, sf))
+
+
+def _payment_stream(spark, sf):
+    return _event_stream(spark, sf).where("event_type = 'purchase'").select(
+        F.col("event_id").alias("payment_id"), F.col("ts").alias("paid_at"), F.col("user_id").alias("order_id"), "user_id",
+        F.get_json_object("props", "$.k").cast("long").alias("k"), round_even("value", 2).alias("tip_amount"))
+
+
+@register("l05s_duplicate_payments_stream", None)
+def l05s(spark, sf):
+    """L5 as a Structured Streaming job: payments once each, counted by tab."""
+    from ..streaming import payments as P
+    d = _stream_dir(spark)
+    P.start_payment_counts(_payment_stream(spark, sf), ["user_id", "k"], f"{d}/state", f"{d}/ckpt").awaitTermination()
+    return P.duplicates_now(spark, f"{d}/state", ["user_id", "k"])
+
+
+@register("l06s_payments_stream", None)
+def l06s(spark, sf):
+    """L6 as a stream-stream join of orders and payments."""
+    import os
+
+    from ..streaming import payments as P
+    d = _stream_dir(spark)
+    path = os.path.join(sf, "orders.parquet")
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    stream = reader.option("pathGlobFilter", os.path.basename(path)).parquet(sf) if _is_file(spark, path) else reader.parquet(path)
+    placed = stream.select(F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").alias("ordered_at"))
+    P.start_payment_stream(placed, _payment_stream(spark, sf), f"{d}/state", f"{d}/ckpt").awaitTermination()
+    o = _totals(spark, sf).join(D.orders(spark, sf).select(F.col("id").alias("order_id"), "status"), "order_id")
+    out = P.orders_with_payments(spark, o, f"{d}/state")
+    return out.select("order_id", *[F.col(c).cast("double").alias(c) for c in
+                                    ("subtotal", "tax_amount", "discount_amount", "tip_amount", "total")], "status")
+
+
+def _is_file(spark, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
+
+
 # the streamed ledgers must equal the batch ledgers: same oracle SQL
 REGISTRY["l02s_loyalty_stream"].sql = REGISTRY["l02_loyalty_state"].sql
 REGISTRY["l03s_stock_stream"].sql = REGISTRY["l03_stock_state"].sql
+REGISTRY["l04s_order_stream"].sql = REGISTRY["l04_order_state"].sql
+REGISTRY["l04s_illegal_stream"].sql = REGISTRY["l04_illegal_transitions"].sql
+REGISTRY["l05s_duplicate_payments_stream"].sql = REGISTRY["l05_duplicate_payments"].sql
+REGISTRY["l06s_payments_stream"].sql = REGISTRY["l06_apply_payments"].sql

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import batches_from, rows_of, written
 from .packed import DDL, gathered, packing, part_names, parts_of, stretches
+from .passages import texts_with_shared_passages
 from .words import mix
 
 CONTEXT = 8
@@ -300,7 +301,10 @@ def _cut(length: int):
 
 
 def repeated_substrings(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``spans``.
+    """Per row: ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``spans``, ``repeats_passage``.
+
+    ``repeats_passage`` is 1 where the row holds a passage of words that another
+    row holds too (``passages.py``), however few its bytes; it removes nothing.
 
     ``spans`` are the maximal removed runs as little-endian int64 (start, end)
     pairs over the UTF-8 bytes.  Matches never cross rows and are judged on the
@@ -337,10 +341,13 @@ def repeated_substrings(docs: DataFrame, length: int = 400, id_col: str = "doc_i
     nothing = hashlib.sha256(b"").hexdigest()
     pair = F.expr("unhex(concat('0000000000000000', "
                   "array_join(transform(sequence(0, 7), k -> lpad(hex(shiftright(n_bytes, 8 * k) & 255L), 2, '0')), '')))")
-    answer = distinct.join(cuts, ["text_key", "sha"], "left").select(
+    passages = texts_with_shared_passages(rows).withColumn("repeats_passage", F.lit(1).cast("long"))
+    answer = distinct.join(cuts, ["text_key", "sha"], "left").join(passages, "text_key", "left").select(
         "text_key", "sha",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.lit(nothing)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-        F.when(whole, pair).otherwise(F.coalesce("spans", F.lit(b""))).alias("spans")).transform(written)
-    return read.join(answer, ["text_key", "sha"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
+        F.when(whole, pair).otherwise(F.coalesce("spans", F.lit(b""))).alias("spans"),
+        F.coalesce("repeats_passage", F.lit(0).cast("long")).alias("repeats_passage")).transform(written)
+    return read.join(answer, ["text_key", "sha"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans",
+                                                         "repeats_passage")

@@ -2,15 +2,20 @@
 
 import hashlib
 import random
+import re
 import struct
+from collections import Counter
 
 import numpy as np
 import pytest
 
+from tavola.llm import passages
 from tavola.llm.suffix_dedup import Parse, merged, repeated_substrings
 
 from .fixtures import ROWS, frame, key, sample
 
+LOWER = {k: k + 32 for k in range(65, 91)}
+
 
 def brute(rows, length):
     count = {}
@@ -63,7 +68,7 @@ def planted(length):
 @pytest.mark.parametrize("length", [400, 100])
 def test_against_all_strings(spark, length):
     rows = ROWS + planted(length) + (sample()[:60] if length == 400 else [])
-    got = repeated_substrings(frame(spark, rows), length).collect()
+    got = repeated_substrings(frame(spark, rows), length).drop("repeats_passage").collect()
     assert key(got) == key((d, n, r, s, h, bytearray(x)) for d, n, r, s, h, x in brute(rows, length))
 
 
@@ -88,3 +93,40 @@ def test_equal_strings_have_equal_phrases():
 
 def test_merged():
     assert merged(np.array([[5, 9], [0, 3], [3, 4], [8, 20], [30, 31]])).tolist() == [[0, 4], [5, 20], [30, 31]]
+
+
+def windows(text, size):
+    w = [x.translate(LOWER) for x in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    return {tuple(w[i:i + size]) for i in range(len(w) - size + 1)}
+
+
+def test_passages_of_other_rows(spark, monkeypatch):
+    rows = ROWS + sample() + [(5000, "u " * 30 + "same words " * 40), (5001, "Same WORDS\n" * 40 + "v " * 9)]
+    rng = random.Random(6)
+    prose = lambda n: " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(n))
+    for k, n in enumerate((39, 40, 50, 51, 52, 70, 51)):
+        p = prose(n)
+        rows += [(6000 + 2 * k, prose(20) + " " + p + " " + prose(k)), (6001 + 2 * k, prose(k) + "\n" + p + " " + prose(90))]
+    hot = prose(51)
+    rows += [(7000 + k, prose(rng.randrange(9)) + " " + hot + " " + prose(5)) for k in range(200)]  # a third of all rows
+    rows += [(8000, "only a b c " * 60), (8001, prose(300))]
+    for batch in (1 << 19, 40):  # compared in one task, and mostly after the shuffle
+        monkeypatch.setattr(passages, "BATCH", batch)
+        got = {(r.doc_id, r.n_bytes): r.repeats_passage for r in repeated_substrings(frame(spark, rows)).collect()}
+        for size, sure in ((51, 1), (40, 0)):
+            own = [windows(t, size) for _, t in rows]
+            count = Counter(w for s in own for w in s)
+            for (d, t), s in zip(rows, own):
+                if (max(map(count.__getitem__, s), default=0) > 1) == bool(sure):
+                    assert got[d, len((t or "").encode())] == sure, (d, size)
+
+
+def test_sampled_windows():
+    words = [f"w{k * k % 101}" for k in range(200)]
+    every = passages.sampled(" ".join(words), 40, 1)
+    assert len(every) == len({tuple(words[i:i + 40]) for i in range(161)})
+    some = passages.sampled(" ".join(words), 40, 12)
+    assert set(some) <= set(every) and 161 // 12 <= len(some) <= 60
+    for at in range(200 - 51):  # each run of 51 words holds one of them
+        assert set(passages.sampled(" ".join(words[at:at + 51]), 40, 12)) <= set(some)
+    assert len(passages.sampled("a b", 40, 12)) == 0 and len(passages.sampled("", 40, 12)) == 0

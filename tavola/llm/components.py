@@ -15,7 +15,12 @@ from .common import forget, written
 
 
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """``node``, ``component`` (its smallest node) for every node that has a link to another one."""
+    """``node``, ``component`` (its smallest node) for every node that has a link to another one.
+
+    Repeated links and links in both directions count once; a link of a node
+    with itself or with a null is none; no links give no rows; other columns
+    are ignored.
+    """
     edges = (links.where(F.col(a) != F.col(b))
              .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct().transform(written))
     state = None

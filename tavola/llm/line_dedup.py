@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .common import batches_from, partition_id, rows_of
+from .common import batches_from, partition_id, rows_of, unused
 
 LINE_DDL = "h1 long, h2 long, doc_id long, text_key long, pos int"
 LINE = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()),
@@ -182,16 +182,21 @@ def line_report(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", te
 
 
 def drop_lines(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input with its repeated lines dropped from ``text_col``; all columns, null texts stay null."""
-    maps = line_bitmaps(docs, min_chars, id_col, text_col).withColumnsRenamed(
-        {"doc_id": "_doc", "text_key": "_key", "keep": "_keep"})
+    """The input with its repeated lines dropped from ``text_col``; all columns, whatever their names.
+
+    Null and empty texts stay as they are; rows without an id keep their lines
+    and hold none for others; repeated rows of one id lose nothing to each
+    other; an empty table gives no rows.
+    """
+    doc, key, keep = unused(docs, "_doc", "_key", "_keep")
+    maps = line_bitmaps(docs, min_chars, id_col, text_col).withColumnsRenamed({"doc_id": doc, "text_key": key, "keep": keep})
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
     @F.pandas_udf("string")
     def kept(texts, keeps):
         return texts.combine(keeps, lambda t, k: t if k is None or t is None else cut(t, k)[0])
 
-    joined = docs.join(maps, (F.col(id_col).cast("long") == F.col("_doc")) & (F.xxhash64(text) == F.col("_key")), "left")
-    cuts = joined.withColumn(text_col, F.when(F.col("_keep").isNull(), F.col(text_col))
-                             .otherwise(kept(F.col(text_col).cast("string"), F.col("_keep"))))
+    joined = docs.join(maps, (F.col(id_col).cast("long") == F.col(doc)) & (F.xxhash64(text) == F.col(key)), "left")
+    cuts = joined.withColumn(text_col, F.when(F.col(keep).isNull(), F.col(text_col))
+                             .otherwise(kept(F.col(text_col).cast("string"), F.col(keep))))
     return cuts.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, rows_of, written
+from .common import release, rows_of, unused, written
 from .components import connected_components
 from .packed import DDL, gathered, packing, part_names, parts_of
 from .words import mix, shingles
@@ -442,18 +442,19 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5, hot: i
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input with one row of each component, the one of the smallest id; all columns.
+    """The input with one row of each component, the one of the smallest id; all columns, whatever their names.
 
     Rows of equal id and text count as one row.  Rows without an id, and texts
-    without words, stay.
+    without words (null, empty), stay; an empty table gives no rows.
     """
+    doc, key = unused(docs, "_doc", "_key")
     found = jaccard_components(docs, percent, size, id_col=id_col, text_col=text_col).where("doc_id IS NOT NULL")
     keep = (found.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("row"))
-            .select(F.col("row.doc_id").alias("_doc"), F.col("row.text_key").alias("_key"))
+            .select(F.col("row.doc_id").alias(doc), F.col("row.text_key").alias(key))
             .unionAll(found.where("group IS NULL").select("doc_id", "text_key").distinct()).transform(written))
     row_id = F.col(id_col).cast("long")
     text = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    chosen = (docs.where(row_id.isNotNull()).join(keep, (row_id == F.col("_doc")) & (text == F.col("_key")))
-              .dropDuplicates(["_doc", "_key"]))
+    chosen = (docs.where(row_id.isNotNull()).join(keep, (row_id == F.col(doc)) & (text == F.col(key)))
+              .dropDuplicates([doc, key]))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return chosen.select(*columns).unionAll(docs.where(row_id.isNull()).select(*columns))

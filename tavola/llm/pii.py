@@ -200,7 +200,11 @@ def pii_report(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
 
 
 def redact_documents(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The input with every span of ``text_col`` replaced; all columns, null texts stay null."""
+    """The input with every span of ``text_col`` replaced; all columns, whatever their names.
+
+    Null and empty texts stay as they are, ids are not read, repeated rows are
+    treated alike, an empty table gives no rows.
+    """
     @F.pandas_udf("string")
     def clean(texts):
         return texts.map(lambda t: t if t is None else redact(t, threshold))

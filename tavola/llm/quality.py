@@ -278,7 +278,11 @@ def line_labels(docs: DataFrame, model: LineCrf, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, model: LineCrf | None, min_share: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows that ``quality_report`` keeps, with all their columns."""
+    """The rows that ``quality_report`` keeps, with all their columns, whatever their names.
+
+    A null or empty text fails the base rules and goes; a null id does not
+    matter; repeated rows are judged alike; an empty table gives no rows.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches):

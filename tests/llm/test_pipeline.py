@@ -15,6 +15,7 @@ import corpus_pipeline
 from tavola.llm.pii import redact
 from tavola.llm.quality import fit_crf, judge, read_document, train_line_crf
 
+from .fixtures import ROWS
 from .test_line_dedup import brute as line_brute
 from .test_near_dup import brute as near_brute
 
@@ -50,6 +51,23 @@ def test_stages_keep_the_columns(spark):
         assert out.columns == docs.columns and [t for _, t in out.dtypes] == [t for _, t in docs.dtypes], name
 
 
+def test_stages_on_awkward_tables(spark, tmp_path):
+    """Null ids and texts, repeated rows, clashing column names, and no rows at all."""
+    rows = [(d, t, "en", "s", 1, "x", "y", "z", "k") for d, t in ROWS]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _doc string, _key string, _Keep string, keep string"
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    for name, given in (("some", rows), ("none", [])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(given, schema).write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage_name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, folder)
+            assert out.columns == docs.columns and out.count() <= len(given), stage_name
+        packed = corpus_pipeline.run(spark, folder).collect()
+        assert all(p.length > 0 for p in packed) and bool(packed) <= bool(given)
+
+
 def test_fit_is_repeatable():
     rows = duckdb.sql(f"""SELECT text, quality FROM '{SF}/documents.parquet' JOIN '{SF}/labels.parquet' USING (doc_id)
                           ORDER BY doc_id""").fetchall()
@@ -72,6 +90,6 @@ assert not any(n.startswith("op") or n == "pipeline" for n in e.queries()) and l
 def test_registry():
     import __spark_entry__ as e
     names = {n.split("_")[0] for n in e.queries() if n.startswith("op")}
-    assert names == {f"op{k}" for k in range(1, 11)} and "pipeline" in e.queries()
+    assert names == {f"op{k}" for k in range(1, 14)} and "pipeline" in e.queries()
     run = subprocess.run([sys.executable, "-c", PROBE], cwd=Path(__file__).resolve().parents[2], capture_output=True, text=True)
     assert run.returncode == 0, run.stderr

@@ -16,8 +16,6 @@ from dataclasses import replace
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.recommendation import ALS
@@ -29,7 +27,7 @@ from ..functions.bins import quantile_bins
 from ..functions.rounding import round_even
 from ..functions.scalars import scalar_struct
 from ..session import ensure_checkpoint_dir
-from . import boosting
+from . import boosting, kmeans
 from .boosting import Booster, Params
 from .forecast import classification_metrics, regression_metrics
 from .tuning import SEARCH_SPACE, Sampler
@@ -205,72 +203,44 @@ def predict_ltv(model: Booster, features: DataFrame, feature_cols: Sequence[str]
 
 
 # --------------------------------------------------------------------------- segmentation
-def standardize(df: DataFrame, cols: Sequence[str], out: str = "features") -> tuple[DataFrame, DataFrame]:
+def standardize(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Population-std scaling (scikit-learn's rule, M16) as expressions;
-    returns (scaled frame with a vector column, one-row stats frame)."""
+    returns (frame with the scaled values as the array ``_z``, one-row stats frame)."""
     stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols])
     s = scalar_struct(stats)
-    scaled = df
-    for c in cols:
-        sd = s[f"s_{c}"]
-        scaled = scaled.withColumn(f"_z_{c}", F.when(sd > 0, (F.col(c) - s[f"m_{c}"]) / sd).otherwise(0.0))
-    scaled = VectorAssembler(inputCols=[f"_z_{c}" for c in cols], outputCol=out).transform(scaled)
-    return scaled.drop(*[f"_z_{c}" for c in cols]), stats
+    z = [F.when(s[f"s_{c}"] > 0, (F.col(c) - s[f"m_{c}"]) / s[f"s_{c}"]).otherwise(0.0).cast("double") for c in cols]
+    return df.withColumn(kmeans.Z, F.array(*z)), stats
 
 
-def choose_k(scaled: DataFrame, k_min: int = 3, k_max: int = 8, seed: int = 42) -> DataFrame:
-    """Silhouette (Spark: squared Euclidean), inertia, Calinski-Harabasz
-    and Davies-Bouldin for k in range; ``chosen`` marks the best silhouette
-    (the smallest such k)."""
-    rows = []
-    ev = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
-    data = scaled.select("features").persist(StorageLevel.MEMORY_AND_DISK)  # reused by every k
-    try:
-        for k in range(k_min, k_max + 1):
-            km = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(data)
-            labelled = km.transform(data)
-            centres = [[float(x) for x in c] for c in km.clusterCenters()]
-            ch, db = _cluster_indices(labelled, centres, float(km.summary.trainingCost))
-            rows.append((k, float(ev.evaluate(labelled)), float(km.summary.trainingCost), ch, db))
-    finally:
-        data.unpersist()
-    best = max(rows, key=lambda r: (r[1], -r[0]))[0]
-    return scaled.sparkSession.createDataFrame(
-        [(*r, r[0] == best) for r in rows],
-        "k int, silhouette double, inertia double, calinski_harabasz double, davies_bouldin double, chosen boolean")
-
-
-def _cluster_indices(labelled: DataFrame, centres: list[list[float]], inertia: float) -> tuple[float | None, float | None]:
-    """Calinski-Harabasz and Davies-Bouldin from one aggregate with a row per cluster."""
-    at = F.array(*[F.array(*[F.lit(x) for x in c]) for c in centres])
-    gap = F.aggregate(F.zip_with(vector_to_array("features"), at[F.col("cluster")], lambda x, y: (x - y) * (x - y)),
-                      F.lit(0.0), lambda a, b: a + b)
-    rows = labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg(F.sqrt(gap)).alias("spread")).collect()
-    n, k, width = sum(r.n for r in rows), len(rows), range(len(centres[0]))
-    if k < 2 or n <= k or inertia <= 0:
-        return None, None
-    mean = [sum(r.n * centres[r.cluster][d] for r in rows) / n for d in width]
-    between = sum(r.n * sum((centres[r.cluster][d] - mean[d]) ** 2 for d in width) for r in rows)
-    away = lambda a, b: sum((x - y) ** 2 for x, y in zip(centres[a.cluster], centres[b.cluster])) ** 0.5
-    worst = [max((a.spread + b.spread) / away(a, b) for b in rows if b is not a) for a in rows]
-    return between / (k - 1) / (inertia / (n - k)), sum(worst) / k
-
-
-def best_k(scores: DataFrame) -> int:
-    """The chosen k of ``choose_k``."""
-    return scores.where("chosen").first()["k"]
-
-
-def fit_segments(features: DataFrame, cols: Sequence[str], k: int = 5, seed: int = 42):
-    """Scale, k-means; returns (clustered rows, centres in original units)."""
+def choose_k(features: DataFrame, cols: Sequence[str], k_min: int = 3, k_max: int = 8, seed: int = 42) -> DataFrame:
+    """Silhouette (squared Euclidean), inertia, Calinski-Harabasz and
+    Davies-Bouldin for k in range, all fitted together; ``chosen`` marks the
+    best silhouette (the smallest such k), ``centres`` are the scaled ones."""
+    scaled, _ = standardize(features.fillna(0, list(cols)), cols)
+    centres, rows = kmeans.fit_all(scaled, range(k_min, k_max + 1), seed)
+    best = max(rows, key=lambda r: (r[1], -r[0]))[0] if rows else None
+    return features.sparkSession.createDataFrame(
+        [(*r, r[0] == best, centres[r[0]].tolist()) for r in rows],
+        "k int, silhouette double, inertia double, calinski_harabasz double, davies_bouldin double, chosen boolean, "
+        "centres array<array<double>>")
+
+
+def best_centres(scores: DataFrame) -> list[list[float]]:
+    """The scaled centres of the chosen k."""
+    return scores.where("chosen").first()["centres"]
+
+
+def fit_segments(features: DataFrame, cols: Sequence[str], centres: Sequence[Sequence[float]] | None = None, k: int = 5,
+                 seed: int = 42):
+    """(clustered rows, centres in original units), for given scaled centres or fitted ones of ``k`` clusters."""
     scaled, stats = standardize(features.fillna(0, list(cols)), cols)
-    km = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(scaled)
-    clustered = km.transform(scaled).drop("features")
+    if centres is None:
+        centres = kmeans.fit_all(scaled, [k], seed)[0][k].tolist()
+    clustered = scaled.withColumn("cluster", kmeans.nearest(centres)).drop(kmeans.Z)
     st = stats.collect()[0]  # one row of per-column mean / std
-    centres = [(i, *[float(c[j]) * (st[f"s_{col}"] or 0.0) + st[f"m_{col}"] for j, col in enumerate(cols)])
-               for i, c in enumerate(km.clusterCenters())]
-    cen = features.sparkSession.createDataFrame(centres, ["cluster", *cols])
-    return clustered, cen
+    rows = [(i, *[float(c[j]) * (st[f"s_{col}"] or 0.0) + st[f"m_{col}"] for j, col in enumerate(cols)])
+            for i, c in enumerate(centres)]
+    return clustered, features.sparkSession.createDataFrame(rows, ["cluster", *cols])
 
 
 def segment_profiles(clustered: DataFrame) -> DataFrame:

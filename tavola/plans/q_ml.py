@@ -154,18 +154,20 @@ def _seg(spark, sf):
     return C.segment_features(D.transactions(spark, sf, dims=False), AS_OF)
 
 
+def _scores(spark, sf):
+    """C5b scores and centres, fitted once a session."""
+    return spark.read.parquet(_place(spark, "segments", sf, lambda folder: M.choose_k(_seg(spark, sf), SEG_COLS).write.parquet(folder)))
+
+
 def _chosen(spark, sf):
     """Clusters and centres for the k that C5b chooses."""
-    seg = _seg(spark, sf)
-    scaled, _ = M.standardize(seg.fillna(0, SEG_COLS), SEG_COLS)
-    return M.fit_segments(seg, SEG_COLS, M.best_k(M.choose_k(scaled, 3, 8)))
+    return M.fit_segments(_seg(spark, sf), SEG_COLS, M.best_centres(_scores(spark, sf)))
 
 
 @register("c05b_choose_k")
 def c05b(spark, sf):
     """C5b silhouette, inertia, Calinski-Harabasz, Davies-Bouldin for k = 3..8, and the chosen k."""
-    scaled, _ = M.standardize(_seg(spark, sf).fillna(0, SEG_COLS), SEG_COLS)
-    return M.choose_k(scaled, 3, 8)
+    return M.choose_k(_seg(spark, sf), SEG_COLS).drop("centres")
 
 
 @register("c05c_fit_segments")

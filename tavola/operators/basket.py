@@ -103,6 +103,24 @@ def cooccurrence(tx: DataFrame, min_count: int = MIN_PAIR_COUNT, basket: str = "
     return out
 
 
+def frequent_sets(tx: DataFrame, min_count: int = MIN_PAIR_COUNT, most: int = 3, basket: str = "order_id",
+                  item: str = "item_id") -> DataFrame:
+    """B1 beyond pairs: sets of up to ``most`` items bought together in ``min_count`` baskets or more.
+
+    Parallel FP-growth: each group of items gets the conditional transactions
+    that its trees need, so no set is counted that is not frequent.  ``items``
+    are sorted; a basket counts once; null baskets and items take no part."""
+    from pyspark.ml.fpm import FPGrowth
+    baskets = (tx.where(F.col(basket).isNotNull() & F.col(item).isNotNull()).groupBy(basket)
+               .agg(F.collect_set(F.col(item).cast("string")).alias("items")))
+    n = baskets.count()
+    if not n:
+        return tx.sparkSession.createDataFrame([], "items array<string>, n long")
+    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, max(0.0, (min_count - 0.5) / n))).fit(baskets).freqItemsets
+    return (sets.where((F.size("items") <= most) & (F.col("freq") >= min_count))
+            .select(F.array_sort("items").alias("items"), F.col("freq").alias("n")))
+
+
 def association_edges(pairs: DataFrame, min_support: float = MIN_SUPPORT,
                       min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """B2: kept pairs as directed edges both ways, weighted by lift."""

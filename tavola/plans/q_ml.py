@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions.rounding import round_even
@@ -17,6 +18,7 @@ from ..operators import customers as C
 from ..operators import explain as E
 from ..operators import forecast as FC
 from ..operators import ml as M
+from ..operators import svd as SVD
 from ..operators import windows as W
 from ..operators.boosting import Booster
 from ..session import ensure_checkpoint_dir
@@ -167,7 +169,7 @@ def _chosen(spark, sf):
 @register("c05b_choose_k")
 def c05b(spark, sf):
     """C5b silhouette, inertia, Calinski-Harabasz, Davies-Bouldin for k = 3..8, and the chosen k."""
-    return M.choose_k(_seg(spark, sf), SEG_COLS).drop("centres")
+    return _scores(spark, sf).drop("centres")
 
 
 @register("c05c_fit_segments")
@@ -333,7 +335,7 @@ def f12(spark, sf):
 
 
 @register("f12_summary_of_given_trials", """
-WITH t AS (SELECT CAST(o_custkey % 50 AS INTEGER) AS trial, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS BIGINT) AS s FROM orders GROUP BY 1),
+WITH t AS (SELECT CAST(o_custkey % 50 AS INTEGER) AS trial, CAST(floor(SUM(CAST(o_totalprice AS DECIMAL(18,2)))) AS BIGINT) AS s FROM orders GROUP BY 1),
 first AS (SELECT s AS v FROM t WHERE trial = 0)
 SELECT count(*) AS n_trials, CAST(min(s) AS DOUBLE) AS best, CAST(max(s) AS DOUBLE) AS worst, round(avg(s), 3) AS mean, round(stddev_pop(s), 3) AS std,
   arg_min('p' || trial, {'s': s, 't': trial}) AS best_params,
@@ -352,7 +354,25 @@ def f12_given(spark, sf):
 @register("b11_factorize")
 def b11(spark, sf):
     """B11 implicit ALS top-5 dishes per customer."""
-    return M.factorize(B.user_item(D.transactions(spark, sf), implicit=True, item="item_name"), rank=8, n=5)
+    return M.factorize(B.user_item(D.transactions(spark, sf), implicit=True, item="item_name"))
+
+
+def _matrix(spark, sf):
+    return B.user_item(D.transactions(spark, sf), item="item_name")
+
+
+@register("b11_svd_values")
+def b11_svd(spark, sf):
+    """B11 truncated SVD of customers x dishes: the five largest singular values."""
+    values = SVD.truncated_svd(_matrix(spark, sf)).values
+    return spark.createDataFrame([(k + 1, v) for k, v in enumerate(values)], "component int, singular_value double")
+
+
+@register("b11_svd_reconstruct")
+def b11_reconstruct(spark, sf):
+    """B11 quantities as five components give them, for every customer and dish bought."""
+    ui = _matrix(spark, sf)
+    return SVD.reconstruct(ui, SVD.truncated_svd(ui))
 
 
 @register("x11_encode_features")
@@ -363,3 +383,76 @@ def x11(spark, sf):
     return out.select("id", "category_idx", "subcategory_idx",
                       F.col("num_minmax").cast("string").alias("num_minmax"),
                       F.col("num_std").cast("string").alias("num_std"))
+
+
+# --------------------------------------------------------------------------- the steps behind a model, over given scores
+_GIVEN = """SELECT c_custkey AS customer_id, CAST((c_custkey * 37) % 101 AS DOUBLE) / 100.0 AS p,
+  greatest(CAST(c_acctbal AS DOUBLE), 0.0) AS predicted_ltv, c_mktsegment AS Segment FROM customer"""
+_RISK = """CASE WHEN p <= 0.25 THEN 'Low' WHEN p <= 0.5 THEN 'Medium' WHEN p <= 0.75 THEN 'High' ELSE 'Critical' END"""
+_BANDED = f"""SELECT customer_id, predicted_ltv, list_value({', '.join(repr(x) for x in M.LTV_LABELS)})
+  [1 + CAST(predicted_ltv > e[1] AS INT) + CAST(predicted_ltv > e[2] AS INT) + CAST(predicted_ltv > e[3] AS INT)
+   + CAST(predicted_ltv > e[4] AS INT)] AS ltv_segment
+FROM given, (SELECT quantile_cont(predicted_ltv, [0.2, 0.4, 0.6, 0.8]) AS e FROM given)"""
+_INSIGHTS = f"""SELECT g.customer_id, Segment, round(p, 6) AS churn_probability, p >= 0.5 AS will_churn, {_RISK} AS risk_level,
+  b.predicted_ltv, ltv_segment FROM given g JOIN banded b ON b.customer_id = g.customer_id"""
+_CTES = f"WITH given AS ({_GIVEN}), banded AS ({_BANDED}) "
+
+
+def _given(spark, sf):
+    return D.read(spark, sf, "customer").select(
+        F.col("c_custkey").alias("customer_id"), (((F.col("c_custkey") * 37) % 101).cast("double") / 100.0).alias("p"),
+        F.greatest(F.col("c_acctbal").cast("double"), F.lit(0.0)).alias("predicted_ltv"), F.col("c_mktsegment").alias("Segment"))
+
+
+def _given_insights(spark, sf):
+    g = _given(spark, sf)
+    return C.customer_insights(g.select("customer_id", "Segment"), M.churn_bands(g), M.ltv_bands(g.select("customer_id", "predicted_ltv")))
+
+
+@register("c03d_bands_of_given_scores", _CTES + f"""SELECT customer_id, round(p, 6) AS churn_probability, p >= 0.5 AS will_churn,
+  {_RISK} AS risk_level FROM given""")
+def c03d_given(spark, sf):
+    """C3d flag and risk band of given churn scores."""
+    return M.churn_bands(_given(spark, sf))
+
+
+@register("c03e_at_risk_of_given_scores", _CTES + f"""SELECT customer_id, round(p, 6) AS churn_probability, p >= 0.5 AS will_churn,
+  {_RISK} AS risk_level FROM given WHERE p >= 0.5""")
+def c03e_given(spark, sf):
+    """C3e customers at risk by given churn scores."""
+    return M.at_risk(M.churn_bands(_given(spark, sf)))
+
+
+@register("c04e_bands_of_given_values", _CTES + "SELECT * FROM banded")
+def c04e_given(spark, sf):
+    """C4e five value bands of given lifetime values."""
+    return M.ltv_bands(_given(spark, sf).select("customer_id", "predicted_ltv"))
+
+
+@register("j07_insights_of_given_inputs", _CTES + _INSIGHTS)
+def j07_given(spark, sf):
+    """J7 segment x churn risk x value band over given inputs."""
+    return _given_insights(spark, sf)
+
+
+@register("c06_priority_of_given_inputs", _CTES + f"""SELECT * FROM ({_INSIGHTS})
+WHERE ltv_segment IN ('High', 'Above Average') AND risk_level IN ('High', 'Critical')""")
+def c06_given(spark, sf):
+    """C6 priority customers over given inputs."""
+    return C.priority_customers(_given_insights(spark, sf))
+
+
+@register("x11_encoded_columns", """
+WITH c AS (SELECT p_type, CAST(row_number() OVER (ORDER BY count(*) DESC, p_type) - 1 AS DOUBLE) AS i FROM part GROUP BY 1),
+b AS (SELECT p_brand, CAST(row_number() OVER (ORDER BY count(*) DESC, p_brand) - 1 AS DOUBLE) AS i FROM part GROUP BY 1),
+s AS (SELECT min(p_size) AS lo, max(p_size) AS hi, avg(p_size) AS m, stddev_samp(p_size) AS sd FROM part)
+SELECT p_partkey AS id, c.i AS type_idx, b.i AS brand_idx, (SELECT count(*) FROM c) AS type_width,
+  round((p_size - lo) / CAST(hi - lo AS DOUBLE), 6) AS size_minmax, round((p_size - m) / sd, 6) AS size_std
+FROM part JOIN c ON c.p_type = part.p_type JOIN b ON b.p_brand = part.p_brand, s""")
+def x11_columns(spark, sf):
+    """X11 codes and scaled values of the parts as plain columns."""
+    out = M.encode_features(D.read(spark, sf, "part"), ["p_type", "p_brand"], ["p_size"])
+    at = lambda c: F.round(vector_to_array(c)[0], 6)
+    return out.select(F.col("p_partkey").alias("id"), F.col("p_type_idx").alias("type_idx"), F.col("p_brand_idx").alias("brand_idx"),
+                      F.size(vector_to_array("p_type_ohe")).cast("long").alias("type_width"), at("num_minmax").alias("size_minmax"),
+                      at("num_std").alias("size_std"))

@@ -243,3 +243,16 @@ _HEALTH_COLS = ["recency_days", "total_spent", "avg_order_value", "std_order_val
 def q11(spark, sf):
     """Q11 finite values and positive variance of segmentation features."""
     return Q.feature_health(C.segment_features(D.transactions(spark, sf), AS_OF), _HEALTH_COLS)
+
+
+@register("q11_health_of_given_columns", """
+SELECT 'p_size' AS "column", CAST(0 AS BIGINT) AS non_finite, round(var_samp(p_size), 3) AS variance, var_samp(p_size) > 0 AS healthy FROM part
+UNION ALL SELECT 'cents', CAST(0 AS BIGINT), round(var_samp(p_retailprice), 3), var_samp(p_retailprice) > 0 FROM part
+UNION ALL SELECT 'flat', CAST(0 AS BIGINT), 0.0, false
+UNION ALL SELECT 'broken', count(*) FILTER (p_size % 7 = 0), NULL, false FROM part""")
+def q11_given(spark, sf):
+    """Q11 over given columns: two sound ones, one without variance, one with infinite values."""
+    p = D.read(spark, sf, "part").select("p_size", F.col("p_retailprice").cast("double").alias("cents"), F.lit(1.0).alias("flat"),
+                                         F.when(F.col("p_size") % 7 == 0, float("inf")).otherwise(1.0).alias("broken"))
+    h = Q.feature_health(p, ["p_size", "cents", "flat", "broken"])
+    return h.select("column", "non_finite", F.when(~F.isnan("variance"), F.round("variance", 3)).alias("variance"), "healthy")

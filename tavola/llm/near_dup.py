@@ -67,19 +67,24 @@ def _facts(size: int):
         counters, seen = np.zeros(CELLS, np.int32), 0
         pending: list[np.ndarray] = []
         held = []
+
+        def count(cells: list[np.ndarray]) -> None:
+            met, n = np.unique(np.concatenate(cells), return_counts=True)
+            counters[met] += n.astype(np.int32)
+
         for doc_id, key, text in rows_of(batches, "doc_id", "text_key", "text"):
             s = shingles(text, size)
             counts = np.minimum(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), FULL)
             held.append((0, doc_id, key, len(s), _set_id(s), counts.astype(np.uint8).tobytes()))
             pending.append((s >> np.uint64(42)).astype(np.int64))
             seen += len(s)
-            if len(held) >= 2048:
+            if len(held) >= 1024:
                 yield pa.RecordBatch.from_pylist([dict(zip(FACT.names, x)) for x in held], schema=FACT)
-                counters += np.bincount(np.concatenate(pending), minlength=CELLS).astype(np.int32)
+                count(pending)
                 held, pending = [], []
         if held:
             yield pa.RecordBatch.from_pylist([dict(zip(FACT.names, x)) for x in held], schema=FACT)
-            counters += np.bincount(np.concatenate(pending), minlength=CELLS).astype(np.int32)
+            count(pending)
         high = np.flatnonzero(counters >= 4 + 4 * (seen // CELLS))
         for at in range(0, len(high), 1 << 16):
             part = high[at:at + (1 << 16)]
@@ -94,8 +99,8 @@ def _levels(facts: DataFrame) -> np.ndarray:
     """Frequency level of every counter (at most ``CELLS`` rows reach the driver)."""
     high = (facts.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).where(F.col("n") >= 2 * FLOOR)
             .selectExpr("doc_id AS cell", "least(15, int(floor(log2(n / 32)))) AS level").toPandas())
-    levels = np.zeros(CELLS, np.uint64)
-    levels[high["cell"].to_numpy(np.int64)] = high["level"].to_numpy(np.uint64)
+    levels = np.zeros(CELLS, np.uint8)  # 4 MB for every worker
+    levels[high["cell"].to_numpy(np.int64)] = high["level"].to_numpy(np.uint8)
     return levels
 
 
@@ -105,7 +110,7 @@ def _set_id(s: np.ndarray) -> int:
 
 def _ordered(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """The set in global order: the frequency level in the top four bits, the hash below."""
-    return np.sort((s & np.uint64((1 << 60) - 1)) | (levels[(s >> np.uint64(42)).astype(np.int64)] << np.uint64(60)))
+    return np.sort((s & np.uint64((1 << 60) - 1)) | (levels[(s >> np.uint64(42)).astype(np.int64)].astype(np.uint64) << np.uint64(60)))
 
 
 def prefix_length(n: int, percent: int) -> int:

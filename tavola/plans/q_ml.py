@@ -322,6 +322,12 @@ def f10(spark, sf):
     return _trials(spark, sf)
 
 
+@register("f10_best_model")
+def f10_best(spark, sf):
+    """F10 the demand model refitted with the best trial's parameters: train / validation metrics."""
+    return M.train_forecaster(_train_table(spark, sf), FEATURE_COLS, "qty", M.best_params(_trials(spark, sf)))[1]
+
+
 @register("f11_cross_validate")
 def f11(spark, sf):
     """F11 rolling-origin CV (3 folds): mean and population std of metrics."""

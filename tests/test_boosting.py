@@ -147,6 +147,14 @@ def test_sampler_beats_chance_and_stays_inside():
     assert again[0] == again[1]
 
 
+def test_best_trial_gives_the_parameters(spark):
+    from tavola.operators import ml
+    trials = spark.createDataFrame([(0, '{"leaves": 20, "rate": 0.1}', 5.0), (1, '{"leaves": 33, "rate": 0.02}', 4.0),
+                                    (2, '{"leaves": 40, "rate": 0.03}', 4.0)], "trial int, params string, cv_rmse double")
+    p = ml.best_params(trials)
+    assert (p.leaves, p.rate, p.rounds) == (33, 0.02, 500)
+
+
 # --------------------------------------------------------------------------- SHAP
 def worth(tree: Tree, bins, known, at=0):
     """Expected value of the tree for one row when only the features in ``known`` are seen."""

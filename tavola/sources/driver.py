@@ -26,6 +26,9 @@ REORDER_LEVEL = 20
 # Menu flags derived from part attributes (size and type).
 GLUTEN_FREE_TYPES = ("SMALL", "ECONOMY")
 ACTIVE_MAX_SIZE = 47
+# Sales lines of a task; tables of more than SALES_TASKS such tasks are dealt out by order.
+SALES_ROWS = 1 << 18
+SALES_TASKS = 32
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,12 +42,22 @@ def _map(col, mapping: dict, default=None):
     return expr.otherwise(F.lit(default))
 
 
+def _dealt(li: DataFrame) -> DataFrame:
+    """Large line tables in parts of about ``SALES_ROWS`` lines by order.
+
+    The lines compress to a few bytes in a shuffle, so parts merged by their
+    bytes hold millions of them, and a task sorts and aggregates all it has; a
+    number of parts that grows with the rows keeps its memory the same."""
+    parts = -(-li.count() // SALES_ROWS)  # answered from the file footers
+    return li.repartition(parts, "l_orderkey") if parts > SALES_TASKS else li
+
+
 def transactions(spark: SparkSession, sf_dir: str, dims: bool = True) -> DataFrame:
     """Line-level sales: lineitem joined to orders, and to part for the item's
     name, category and subcategory unless ``dims`` is False (an inner join
     cannot be pruned by the planner, so reports that read no dimension leave
     it out)."""
-    li = read(spark, sf_dir, "lineitem")
+    li = _dealt(read(spark, sf_dir, "lineitem"))
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
     sales = li.join(o, li.l_orderkey == o.o_orderkey)
     named = []

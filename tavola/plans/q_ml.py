@@ -48,14 +48,6 @@ _MEANS = ", ".join(f"round_even({c}, 6) AS {c}" for c in _MEAN_COLS)
 _PROFILES = ", ".join("(" + ", ".join(f"'{x}'" for x in (k, *v)) + ")" for k, v in M.SEGMENT_PROFILES.items())
 
 
-def _churn_data(spark, sf):
-    tx = D.transactions(spark, sf, dims=False)
-    f = C.churn_features(tx, AS_OF, D.customers(spark, sf))
-    f = f.withColumn("tier_code", F.array_position(F.array(*map(F.lit, TIERS)), F.col("loyalty_tier")).cast("double"))
-    lab = C.churn_labels(tx, AS_OF, 60).select("customer_id", "is_churned")
-    return f.join(lab, "customer_id")
-
-
 #: (application, name, folder of the tables) -> where the model or table lies, so that it is made once a session
 _MADE: dict[tuple[str, str, str], str] = {}
 
@@ -70,6 +62,24 @@ def _place(spark, name, sf, make) -> str:
     return _MADE[key]
 
 
+def _table(spark, name, sf, make):
+    """A feature table, written once a session: splits, edges, fits and scores read it several times, and each
+    reading would join and aggregate the sales again."""
+    return spark.read.parquet(_place(spark, name, sf, lambda folder: make().write.parquet(folder)))
+
+
+def _churn_data(spark, sf):
+    return _table(spark, "churn-data", sf, lambda: _churn_features(spark, sf))
+
+
+def _churn_features(spark, sf):
+    tx = D.transactions(spark, sf, dims=False)
+    f = C.churn_features(tx, AS_OF, D.customers(spark, sf))
+    f = f.withColumn("tier_code", F.array_position(F.array(*map(F.lit, TIERS)), F.col("loyalty_tier")).cast("double"))
+    lab = C.churn_labels(tx, AS_OF, 60).select("customer_id", "is_churned")
+    return f.join(lab, "customer_id")
+
+
 def _model(spark, name, sf, train) -> Booster:
     """Fitted and saved once, loaded by every query that scores with it."""
     return load_model(_place(spark, name, sf, lambda folder: save_model(train()[0], folder)))[0]
@@ -126,7 +136,7 @@ def c04d_cv(spark, sf):
 
 
 def _ltv_table(spark, sf):
-    return C.ltv_training(D.transactions(spark, sf, dims=False), 90, 365)
+    return _table(spark, "ltv-data", sf, lambda: C.ltv_training(D.transactions(spark, sf, dims=False), 90, 365))
 
 
 @register("c04d_train_ltv")
@@ -143,7 +153,8 @@ def c04d_forest(spark, sf):
 
 def _ltv_pred(spark, sf):
     model = _model(spark, "ltv", sf, lambda: M.train_ltv(_ltv_table(spark, sf), LTV_COLS, "future_value"))
-    return M.predict_ltv(model, C.ltv_features(D.transactions(spark, sf, dims=False), AS_OF, 365), LTV_COLS)
+    now = _table(spark, "ltv-now", sf, lambda: C.ltv_features(D.transactions(spark, sf, dims=False), AS_OF, 365))
+    return M.predict_ltv(model, now, LTV_COLS)
 
 
 @register("c04e_predict_ltv")
@@ -153,7 +164,7 @@ def c04e(spark, sf):
 
 
 def _seg(spark, sf):
-    return C.segment_features(D.transactions(spark, sf, dims=False), AS_OF)
+    return _table(spark, "segment-data", sf, lambda: C.segment_features(D.transactions(spark, sf, dims=False), AS_OF))
 
 
 def _scores(spark, sf):
@@ -244,8 +255,12 @@ def c06(spark, sf):
     return C.priority_customers(_insights(spark, sf))
 
 
+def _features(spark, sf):
+    return _table(spark, "demand-features", sf, lambda: features(spark, sf))
+
+
 def _train_table(spark, sf):
-    return FC.forecast_training(features(spark, sf), FEATURE_COLS, "date", "category", 0.2)
+    return _table(spark, "demand-data", sf, lambda: FC.forecast_training(_features(spark, sf), FEATURE_COLS, "date", "category", 0.2))
 
 
 def _forecaster(spark, sf):
@@ -306,7 +321,7 @@ def f09_shap(spark, sf):
 
 
 def _folds(spark, sf):
-    t = features(spark, sf).na.drop(subset=FEATURE_COLS).withColumn("key", F.concat_ws("|", "category", F.col("date").cast("string")))
+    t = _features(spark, sf).na.drop(subset=FEATURE_COLS).withColumn("key", F.concat_ws("|", "category", F.col("date").cast("string")))
     return W.time_series_folds(t, "date", "key", 3)
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rounding import round_even
@@ -50,6 +51,8 @@ _PROFILES = ", ".join("(" + ", ".join(f"'{x}'" for x in (k, *v)) + ")" for k, v
 
 #: (application, name, folder of the tables) -> where the model or table lies, so that it is made once a session
 _MADE: dict[tuple[str, str, str], str] = {}
+#: the same -> a feature table
+_KEPT: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def _place(spark, name, sf, make) -> str:
@@ -62,10 +65,14 @@ def _place(spark, name, sf, make) -> str:
     return _MADE[key]
 
 
-def _table(spark, name, sf, make):
-    """A feature table, written once a session: splits, edges, fits and scores read it several times, and each
-    reading would join and aggregate the sales again."""
-    return spark.read.parquet(_place(spark, name, sf, lambda folder: make().write.parquet(folder)))
+def _table(spark, name, sf, make) -> DataFrame:
+    """A feature table, checkpointed once a session: splits, edges, fits and scores read it several times, and each
+    reading would join and aggregate the sales again.  A checkpoint keeps the parts and their order."""
+    key = (spark.sparkContext.applicationId, name, sf)
+    if key not in _KEPT:
+        ensure_checkpoint_dir(spark)
+        _KEPT[key] = make().checkpoint()
+    return _KEPT[key]
 
 
 def _churn_data(spark, sf):

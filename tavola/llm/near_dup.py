@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -258,7 +259,7 @@ def _tested(levels, size: int, percent: int):
 def _overlap_bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """At most so many shingles are in both sets."""
     both = np.minimum(x, y)
-    return np.where((both == FULL).any(axis=1), 1 << 40, both.sum(axis=1, dtype=np.int64))
+    return np.where(both.max(axis=1, initial=0) == FULL, 1 << 40, both.sum(axis=1, dtype=np.uint16).astype(np.int64))
 
 
 def _counts_of(column: pa.Array) -> np.ndarray:
@@ -288,34 +289,55 @@ def _group_cell(percent: int, best: int | None):
     of them only.  With ``best`` just that many of the likeliest for each set.
     """
     def run(table: pa.Table) -> pa.Table:
-        here = table.column("gid")[0].as_py() if table.num_rows else 0
-        outside = table.column("outside").to_numpy(zero_copy_only=False)
-        sid, n, component, other = (table.column(c).to_numpy() for c in ("sid", "n", "component", "other"))
-        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).reshape(-1, GROUPS)
-        lists = [(np.array([g["gid"] for g in x], np.int64), [g["shared"] for g in x]) for x in table.column("groups").to_pylist()]
+        outside = table.column("outside").to_numpy(zero_copy_only=False).astype(bool)
         member = np.flatnonzero(~outside)
-        holders: dict[int, list[int]] = {}
-        for at, k in enumerate(member.tolist()):
-            for g in lists[k][0].tolist():
-                holders.setdefault(g, []).append(at)
-        held = {g: np.array(x) for g, x in holders.items()}
+        if not outside.any() or not len(member):
+            return LINK.empty_table()
+        here = table.column("gid")[0].as_py()
+        sid, n, component, other = (table.column(c).to_numpy() for c in ("sid", "n", "component", "other"))
+        counts = _counts_of(table.column("counts").combine_chunks())
+        lists = table.column("groups").combine_chunks()
+        gid, weight = (x.to_numpy() for x in lists.flatten().flatten())
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+        row = np.repeat(np.arange(len(n)), np.diff(ends, prepend=0))
+        # members by group: ``holder[first[c]:first[c] + size[c]]`` are those of groups[c]
+        inside = np.flatnonzero(~outside[row])
+        inside = inside[np.argsort(gid[inside], kind="stable")]
+        holder = (np.cumsum(~outside) - 1)[row[inside]]
+        groups, first, size = np.unique(gid[inside], return_index=True, return_counts=True)
+        column = np.minimum(np.searchsorted(groups, gid), len(groups) - 1)
+        known = groups[column] == gid
+
+        def holders(entries: np.ndarray) -> np.ndarray:
+            c = column[entries]
+            at = np.repeat(first[c] - np.cumsum(size[c]) + size[c], size[c])
+            return holder[at + np.arange(len(at))]
+
+        m_n, m_other, m_component = n[member], other[member], component[member]
         rest = -(-percent * n // 100) - 1  # tokens beyond the prefix
-        pairs = []
-        for k in np.flatnonzero(outside).tolist() if len(member) else []:
-            shared, first = np.zeros(len(member), np.int64), np.full(len(member), np.iinfo(np.int64).max)
-            for g, w in zip(lists[k][0].tolist(), lists[k][1]):
-                if g in held:
-                    shared[held[g]] += w
-                    first[held[g]] = np.minimum(first[held[g]], g)
-            most = shared + np.minimum(other[member], other[k]) + np.maximum(rest[member], rest[k])
-            able = np.flatnonzero((first == here) & (component[member] != component[k])
-                                  & ((100 + percent) * most >= percent * (n[member] + n[k])))
-            reach = (100 + percent) * _overlap_bound(counts[member[able]], counts[k:k + 1]) - percent * (n[member[able]] + n[k])
+        m_rest = rest[member]
+        pairs = [np.zeros((2, 0), np.int64)]
+        for k in np.flatnonzero(outside).tolist():
+            able = (m_component != component[k]) & (100 * np.minimum(m_n, n[k]) >= percent * np.maximum(m_n, n[k]))
+            if not able.any():
+                continue
+            entries = np.arange(ends[k - 1] if k else 0, ends[k])
+            entries = entries[known[entries]]
+            earlier = gid[entries] < here
+            able[holders(entries[earlier])] = False
+            able = np.flatnonzero(able)
+            if not len(able):
+                continue
+            entries = entries[~earlier]
+            shared = np.bincount(holders(entries), np.repeat(weight[entries], size[column[entries]]), len(member))[able].astype(np.int64)
+            most = shared + np.minimum(m_other[able], other[k]) + np.maximum(m_rest[able], rest[k])
+            able = able[(100 + percent) * most >= percent * (m_n[able] + n[k])]
+            reach = (100 + percent) * _overlap_bound(counts[member[able]], counts[k:k + 1]) - percent * (m_n[able] + n[k])
             able, reach = able[reach >= 0], reach[reach >= 0]
             if best:
-                able = able[np.argsort(-reach / (n[member[able]] + n[k]), kind="stable")[:best]]
+                able = able[np.argsort(-reach / (m_n[able] + n[k]), kind="stable")[:best]]
             pairs.append(np.stack([np.full(len(able), sid[k]), sid[member[able]]]))
-        a, b = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+        a, b = np.concatenate(pairs, axis=1)
         return pa.table([a, b], schema=LINK)
     return run
 

@@ -2,13 +2,15 @@
 
 import random
 import re
+import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tavola.llm import near_dup
 from tavola.llm.components import connected_components
-from tavola.llm.near_dup import PrefixTree, jaccard_components, one_of_each
+from tavola.llm.near_dup import PrefixTree, jaccard_components, one_of_each, prefix_length
 from tavola.llm.words import shingles, word_hashes
 
 from .fixtures import ROWS, frame, key, sample
@@ -131,6 +133,32 @@ def test_components_of_documents(spark, monkeypatch, setting):
     assert key(got) == key(want)
 
 
+def test_group_cell_takes_group_lists_whole():
+    """Pairs of a cell against a plain rule; the calls made do not grow with the groups that its sets share."""
+    rng, here, gids = np.random.default_rng(5), 902, np.arange(900, 1300)
+    n, counts = rng.integers(90, 180, 200), rng.integers(0, 3, (200, 256)).astype(np.uint8)
+    groups = [np.unique(np.append(rng.choice(gids[k % 2 * 100:], 200, replace=False), here)) for k in range(200)]
+    base = [{"gid": here, "sid": k, "n": int(n[k]), "component": k % 7, "other": 1, "counts": counts[k].tobytes(),
+             "groups": [{"gid": int(g), "shared": 1} for g in groups[k]]} for k in range(200)]
+    rows = [{**r, "outside": False} for r in base] + [{**r, "outside": True} for r in base[:4]]
+    cell = pa.Table.from_pylist(rows)
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(event))
+    got = near_dup._group_cell(80, None)(cell)
+    sys.setprofile(None)
+    assert len(calls) < sum(map(len, groups)) / 10
+    want = set()
+    for k in range(4):
+        for m in range(200):
+            both = np.intersect1d(groups[k], groups[m])
+            most = min(len(both) + 1 + max(n[x] - prefix_length(int(n[x]), 80) for x in (k, m)), int(np.minimum(counts[k], counts[m]).sum()))
+            size = 100 * min(n[k], n[m]) >= 80 * max(n[k], n[m])
+            if both[0] == here and k % 7 != m % 7 and size and 180 * most >= 80 * (n[k] + n[m]):
+                want.add((k, m))
+    assert set(zip(*(c.to_pylist() for c in got.columns))) == want and want
+    assert near_dup._group_cell(80, None)(cell.slice(0, 200)).num_rows == 0  # none outside the main component
+
+
 def test_empty_table(spark):
     assert jaccard_components(frame(spark, [])).count() == 0
     assert jaccard_components(frame(spark, [(1, None), (None, "a")])).count() == 2

@@ -29,6 +29,8 @@ from ..functions.scalars import scalar_struct, scalar_value
 HYBRID_WEIGHTS = (0.6, 0.4)
 # Distinct items of a basket that meet in one place; larger baskets are split.
 HOT_ITEMS = 2048
+# Basket rows of a task of the hybrid recommender.
+DEALT_ROWS = 1 << 18
 MIN_PAIR_COUNT = 5
 MIN_SUPPORT = 0.001
 MIN_CONFIDENCE = 0.1
@@ -164,26 +166,39 @@ def recommend_hybrid(baskets: DataFrame, edges: DataFrame, similar: DataFrame, n
     neighbours (max over basket items); each divided by its per-basket max;
     ``wc*cooc + wt*content`` (4 dp); top-n.  ``similar`` is (item, other, score)."""
     wc, wt = weights
-    cooc = recommend_cooccurrence(baskets, edges, 2 * n, exclude).select("basket", "item", F.col("score").alias("cooc"))
-    # content candidates: each basket item's top-n neighbours once basket and
-    # excluded items are removed.  That top-n lies within the item's first
-    # n + e neighbours (e = number of removed items of the basket), so only
-    # those ranks are joined: exact, and bounded per basket item.
-    ex = baskets.select("basket", "item")
+    # baskets (and excluded rows) are dealt by basket once; what follows keeps each
+    # basket's rows where they are: candidates come from one table per item,
+    # a marker of every removed item takes its candidates out by a window
+    rows = baskets.select("basket", "item", F.lit(True).alias("_in"))
     if exclude is not None:
-        ex = ex.unionByName(exclude.select("basket", "item")).distinct()
-    e = ex.groupBy("basket").agg(F.count(F.lit(1)).alias("_e"))
-    wr = Window.partitionBy("item").orderBy(F.desc("score"), F.asc("other"))
-    ranked = similar.select("item", "other", "score").withColumn("_nr", F.row_number().over(wr))
-    neigh = ranked.select(F.col("item").alias("src"), F.col("other").alias("item"), "score", "_nr")
-    bi = baskets.select("basket", F.col("item").alias("src")).join(e, "basket")
-    cont = (bi.join(neigh, "src").where(F.col("_nr") <= F.col("_e") + n)
-            .join(ex, ["basket", "item"], "left_anti"))
-    w = Window.partitionBy("basket", "src").orderBy(F.desc("score"), F.asc("item"))
-    cont = (cont.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
-            .groupBy("basket", "item").agg(F.max("score").alias("content")))
-    merged = cooc.join(cont, ["basket", "item"], "full").fillna(0.0, ["cooc", "content"])
+        rows = rows.unionByName(exclude.select("basket", "item", F.lit(False).alias("_in")))
+    parts = max(1, -(-rows.count() // DEALT_ROWS))
     wb = Window.partitionBy("basket")
+    rows = rows.repartition(parts, "basket").withColumn("_e", F.count(F.lit(1)).over(wb).cast("int"))
+    to = edges.groupBy(F.col("src").alias("item")).agg(F.collect_list(F.struct("dst", "lift")).alias("_to"))
+    near = similar.groupBy("item").agg(
+        F.sort_array(F.collect_list(F.struct(F.negative("score").alias("low"), "other"))).alias("_near"))
+    item_type = baskets.schema["item"].dataType.simpleString()
+    cand = f"array<struct<item:{item_type},lift:double,src:{item_type},score:double,own:boolean>>"
+    # a content candidate is among an item's first n + e neighbours (e: removed items of the basket)
+    found = F.concat(
+        F.array(F.struct("item", F.lit(None), F.lit(None), F.lit(None), F.lit(True))).cast(cand),
+        F.when(F.col("_in") & F.col("_to").isNotNull(), F.transform("_to", lambda x: F.struct(
+            x["dst"], x["lift"], F.lit(None), F.lit(None), F.lit(False))).cast(cand)).otherwise(F.array().cast(cand)),
+        F.when(F.col("_in") & F.col("_near").isNotNull() & F.col("basket").isNotNull(),
+               F.transform(F.slice("_near", 1, F.col("_e") + n), lambda x: F.struct(
+                   x["other"], F.lit(None), F.col("item"), F.negative(x["low"]), F.lit(False))).cast(cand))
+        .otherwise(F.array().cast(cand)))
+    rows = (rows.join(to, "item", "left").join(near, "item", "left").select("basket", F.explode(found).alias("_c"))
+            .select("basket", "_c.*"))
+    own = F.max("own").over(Window.partitionBy("basket", "item"))
+    rows = rows.withColumn("_own", own).where(~F.col("own") & (~F.col("_own") | F.col("basket").isNull()))
+    w = Window.partitionBy("basket", "src").orderBy(F.desc("score"), F.asc("item"))
+    rows = (rows.withColumn("_r", F.row_number().over(w)).where(F.col("src").isNull() | (F.col("_r") <= n))
+            .groupBy("basket", "item").agg(round_even(F.sum("lift"), 4).alias("cooc"), F.max("score").alias("content")))
+    first = F.row_number().over(wb.orderBy(F.col("cooc").desc_nulls_last(), F.asc("item")))
+    merged = (rows.withColumn("cooc", F.when(first <= 2 * n, F.col("cooc")))
+              .where(F.col("cooc").isNotNull() | F.col("content").isNotNull()).fillna(0.0, ["cooc", "content"]))
     mc, mt = F.max("cooc").over(wb), F.max("content").over(wb)
     score = (F.lit(wc) * F.when(mc > 0, F.col("cooc") / mc).otherwise(0.0)
              + F.lit(wt) * F.when(mt > 0, F.col("content") / mt).otherwise(0.0))

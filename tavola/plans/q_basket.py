@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rounding import round_even
 from ..functions.text import sql_filtered_tokens, sql_terms_from
+from ..llm.common import written
 from ..operators import basket as B
 from ..operators import text as X
 from ..session import ensure_checkpoint_dir
@@ -201,7 +202,9 @@ def _all_similar(spark, sf):
                                              extra={**_BASKET_CTES, **_DISH_TFIDF, "sim": _SIM_ALL}))
 def b07(spark, sf):
     """B7 hybrid (0.6 co-occurrence + 0.4 content) top 5 for every order basket."""
-    return B.recommend_hybrid(_kept(_order_baskets(spark, sf)), _kept(_edges(spark, sf)), _kept(_all_similar(spark, sf)), 5)
+    baskets = _kept(_order_baskets(spark, sf))
+    edges = B.association_edges(B.cooccurrence(baskets, 5, "basket", "item", name=None))
+    return B.recommend_hybrid(baskets, written(edges), written(_all_similar(spark, sf)), 5)
 
 
 _CUST_CTES = {
@@ -226,7 +229,7 @@ def b08(spark, sf):
     everything bought excluded), popular dishes for customers without history."""
     tx = _tx(spark, sf)
     tx = _kept(tx.select("customer_id", "item_name", "ts"))
-    return B.recommend_for_customers(tx, _kept(_edges(spark, sf)), _kept(_all_similar(spark, sf)), D.customers(spark, sf),
+    return B.recommend_for_customers(tx, written(_edges(spark, sf)), written(_all_similar(spark, sf)), D.customers(spark, sf),
                                      5, 10, item="item_name")
 
 

@@ -371,11 +371,10 @@ def _large_pairs(rest: DataFrame, sets: DataFrame, percent: int, best: int | Non
     rows = (large.withColumnRenamed("small", "other").join(groups, "sid").join(sets.select("sid", "counts"), "sid")
             .join(main, "gid").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
             .withColumn("block", F.expr("int(pmod(xxhash64(sid), blocks))")))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    columns = ["gid", "i", "j", "sid", "n", "component", "other", "groups", "counts", "outside"]
-    cells = (rows.withColumn("i", every).withColumn("j", F.col("block")).withColumn("outside", F.lit(False)).select(*columns)
-             .unionAll(rows.where("component <> main").withColumn("j", every).withColumn("i", F.col("block"))
-                       .withColumn("outside", F.lit(True)).select(*columns)))
+    every = "transform(sequence(0, blocks - 1), k -> struct({} AS i, {} AS j, {} AS outside))".format
+    places = F.expr(f"concat({every('k', 'block', 'false')}, if(component <> main, {every('block', 'k', 'true')}, array()))")
+    cells = (rows.withColumn("place", F.explode(places))
+             .select("gid", "place.i", "place.j", "sid", "n", "component", "other", "groups", "counts", "place.outside"))
     return cells.groupBy("gid", "i", "j").applyInArrow(_group_cell(percent, best), "a long, b long")
 
 
@@ -405,7 +404,8 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5, hot: i
                .groupBy("gid", "sid", "n").agg(F.sum("shared").alias("shared")).transform(written))
 
     release(spark)
-    wanted = members.select("sid").distinct().join(sets.select("sid", "doc_id", "text_key"), "sid")
+    weight = members.groupBy("sid", "n").agg((F.sum("shared") / (F.col("n") + 5)).alias("weight")).drop("n").transform(written)
+    wanted = weight.select("sid").join(sets.select("sid", "doc_id", "text_key"), "sid")
     body = (texts.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["sid", "doc_id", "text_key"]).select("sid", "text")
             .transform(written))
     release(spark)
@@ -419,20 +419,19 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5, hot: i
         return found
 
     # 1. one hub for each set
-    weight = members.groupBy("sid", "n").agg((F.sum("shared") / (F.col("n") + 5)).alias("weight")).drop("n").transform(written)
     span = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).alias("span")
     weighed = members.join(weight, "sid").withColumn("span", span).transform(written)
     hubs = weighed.groupBy("gid", "span").agg(F.max_by("sid", F.struct("weight", "sid")).alias("hub")).transform(written)
     first = (weighed.join(hubs, ["gid", "span"]).where("hub <> sid").groupBy("hub", "sid")
              .agg(F.sum("shared").alias("shared")).groupBy("sid")
              .agg(F.max_by("hub", F.struct("shared", "hub")).alias("a")).select("a", F.col("sid").alias("b")).transform(written))
-    links = tested(first)
+    component = connected_components(tested(first), "a", "b")
 
     # 2. groups that still lie in several components: first the likeliest pairs, then all that remain
+    rest = members
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for best in (LIKELY, None):
-        component = connected_components(links, "a", "b").transform(written)
-        placed = (members.join(component.withColumnRenamed("node", "sid"), "sid", "left")
+        placed = (rest.select("gid", "sid", "n", "shared").join(component.withColumnRenamed("node", "sid"), "sid", "left")
                   .select("gid", "sid", "n", "shared", F.coalesce("component", "sid").alias("component")).transform(written))
         mixed = (placed.groupBy("gid").agg(F.count("*").alias("members"), F.min("component").alias("low"),
                                            F.max("component").alias("high")).where("low <> high")
@@ -442,21 +441,23 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5, hot: i
         held = rest.groupBy("sid").agg(F.sum(F.when(often, F.col("shared")).otherwise(0)).alias("large"),
                                        F.sum(F.when(often, 0).otherwise(F.col("shared"))).alias("small"))
         rest = rest.join(held, "sid").transform(written)
-        found = []
+        wide, found = not rest.where(often).isEmpty(), []
         if best:  # all pairs of the small groups, once: those still apart in the second round were among them
             found.append(_small_pairs(rest, sets, percent))
-        if not rest.where(often).isEmpty():
+        if wide:
             found.append(_large_pairs(rest, sets, percent, best))
         if not found:
             break
         pairs = (functools.reduce(DataFrame.unionAll, found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
                  .join(done, ["a", "b"], "left_anti").transform(written))
-        if pairs.isEmpty():
+        if not pairs.isEmpty():  # else the likeliest were tested as hubs; the others may still link
+            done = done.unionAll(pairs)
+            stars = component.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            component = connected_components(stars.unionAll(tested(pairs)), "a", "b")
+        if not wide:
             break
-        links, done = links.unionAll(tested(pairs)), done.unionAll(pairs)
 
-    component = connected_components(links, "a", "b").withColumnRenamed("node", "sid").transform(written)
-    grouped = (sets.select("sid", "doc_id").join(component, "sid", "left")
+    grouped = (sets.select("sid", "doc_id").join(component.withColumnRenamed("node", "sid"), "sid", "left")
                .select("sid", "doc_id", F.coalesce("component", "sid").alias("group")).transform(written))
     low = grouped.groupBy("group").agg(F.min("doc_id").alias("component_id")).transform(written)
     names = grouped.join(low, "group").select("sid", "group", "component_id").transform(written)

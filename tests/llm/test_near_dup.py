@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tavola.llm import near_dup
+from tavola.llm import components, near_dup
+from tavola.llm.common import written
 from tavola.llm.components import connected_components
 from tavola.llm.near_dup import PrefixTree, jaccard_components, one_of_each, prefix_length
 from tavola.llm.words import shingles, word_hashes
@@ -121,6 +122,55 @@ def test_components(spark):
     assert sorted(map(tuple, got)) == sorted((x, root(x)) for x in linked)
 
 
+def chains(rng, first, n_chains, size, n_words):
+    """Texts that differ from the one before in a word: only near ones of a chain link."""
+    rows = []
+    for c in range(n_chains):
+        w = [f"c{rng.randrange(10**6)}" for _ in range(n_words)]
+        for k in range(size):
+            w[rng.randrange(n_words)] = f"e{rng.randrange(10**6)}"
+            rows.append((first + 100 * c + k, " ".join(w)))
+    return rows
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    links = [(100 * c, 100 * c + k) for c in range(1, 5) for k in range(1, 9)]
+    tables = []
+    monkeypatch.setattr(components, "written", lambda df: tables.append(df) or written(df))
+    got = connected_components(spark.createDataFrame(links * 2, "a long, b long"), "a", "b").collect()
+    assert sorted(map(tuple, got)) == sorted({(x, a) for a, b in links for x in (a, b)})
+    assert len(tables) == 2  # the links, the smallest neighbours
+
+
+def test_later_components_start_from_stars(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "SMALL", 4)
+    rows = chains(random.Random(3), 60_000, 3, 30, 80)
+    calls = []
+
+    def counted(links, a, b):
+        found = connected_components(links, a, b)
+        calls.append((links.where("a <> b").count(), found.count()))
+        return found
+
+    tested = []
+    monkeypatch.setattr(near_dup, "connected_components", counted)
+    monkeypatch.setattr(near_dup, "_tested", lambda *a, f=near_dup._tested: tested.append(a) or f(*a))
+    got = jaccard_components(frame(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()
+    assert key(got) == key(brute(rows)[0])
+    assert len(calls) == len(tested) > 1  # once after each round of tests, not again at the end
+
+
+def test_no_likely_pairs_leave_the_others(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "SMALL", 4)
+    cell = near_dup._group_cell
+    none = lambda table: table.select(["sid", "n"]).slice(0, 0).rename_columns(["a", "b"]).cast(pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+    monkeypatch.setattr(near_dup, "_group_cell", lambda percent, best: none if best else cell(percent, best))
+    monkeypatch.setattr(near_dup, "_small_pairs", lambda rest, sets, percent: rest.selectExpr("sid AS a", "sid AS b").limit(0))
+    rows = chains(random.Random(3), 60_000, 3, 30, 80)
+    got = jaccard_components(frame(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()
+    assert key(got) == key(brute(rows)[0])
+
+
 @pytest.mark.parametrize("setting", ["production", "hot cells", "small blocks"])
 def test_components_of_documents(spark, monkeypatch, setting):
     rows = ROWS + [(None, ROWS[7][1])] + families() + sample()

@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import gc
-import uuid
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import written  # noqa: F401 (the operators take it from here)
 
 
 def partition_id() -> int:
@@ -50,19 +49,6 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The table, written once to the shared folder and read back.
-
-    Cuts the lineage like ``checkpoint()``, survives lost executors, and the
-    planner sees the true size of the files (a checkpoint keeps the estimate of
-    the plan behind it, which iterations multiply without bound).
-    """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tavola-tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores in front until no column of the table is called so (case aside)."""
     taken, out = {c.lower() for c in df.columns}, []

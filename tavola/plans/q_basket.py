@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.rounding import round_even
 from ..functions.text import sql_filtered_tokens, sql_terms_from
-from ..llm.common import written
 from ..operators import basket as B
 from ..operators import text as X
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, written
 from ..sources import driver as D
 from .registry import register
 from .sqlviews import with_views

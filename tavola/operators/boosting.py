@@ -6,12 +6,13 @@ of leaves, with L1 / L2 penalties, row and column shares per tree and early
 stopping on held-out rows.
 
 The binned table is made once and written to the checkpoint folder.  A table of
-at most ``task_rows`` rows is fitted by one task.  A larger one stays spread:
-for each growth step Spark sums the partitions' histograms of the leaves that
-may be split next, and only those sums (leaves x features x bins) reach the
-driver; sampled rows, splits and leaf values are chosen by the same code either
-way.  Many fits on the same folds (cross validation, search) run as one task
-each, on a bounded, documented sample of the fold's rows.
+at most ``task_rows`` rows is fitted by one task.  A larger one stays spread, a
+block of columns a part: for each tree the parts keep the drawn rows' bins and
+gradients, for each growth step they sum the histograms of the leaves that may
+be split next, and only those sums (leaves x features x bins) reach the driver;
+drawn rows, splits and leaf values are chosen by the same code either way.  Many
+fits on the same folds (cross validation, search) run as one task each, or
+spread where a fold is large; either way on all rows of the fold.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ import heapq
 import json
 import math
 from collections.abc import Callable, Sequence
-from dataclasses import asdict, dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,9 @@ from ..session import ensure_checkpoint_dir
 
 BINS = 255  # of a feature, the one for missing values (0) included
 TASK_ROWS = 1 << 20  # a table of at most so many rows is fitted by one task
+FOLD_ROWS = 1 << 18  # the same of a fold, since many are fitted side by side
+BLOCK_ROWS = 1 << 20  # rows of a part of a spread fit, about
+MERGED_PARTS = 16  # the histograms of more parts are summed before they reach the driver
 BINNED = "bins binary, y double, w double, u long, valid boolean"
 
 
@@ -74,6 +80,39 @@ class Tree:
             at = np.where(f >= 0, goes, at)
         return at
 
+    def values(self, cols: np.ndarray) -> np.ndarray:
+        """The leaf value of every row of features x rows bins.
+
+        Leaves are bits from left to right.  A split that sends a row right rules out the leaves on its left;
+        the row's leaf is the first that no split on its features rules out, so each feature is looked up once."""
+        if self.depth == 0:
+            return np.full(cols.shape[1], self.value[0])
+        if (self.feature < 0).sum() > 64:
+            return self.value[self.leaf_of(np.ascontiguousarray(cols.T))]
+        leaves, lookup = self._lookup()
+        out = np.empty(cols.shape[1])
+        for at in range(0, cols.shape[1], 1 << 16):
+            left = np.uint64(0xFFFFFFFFFFFFFFFF)
+            for f, masks in lookup:
+                left = left & masks[cols[f, at:at + (1 << 16)]]
+            out[at:at + (1 << 16)] = leaves[np.bitwise_count((left & (~left + np.uint64(1))) - np.uint64(1))]
+        return out
+
+    def _lookup(self) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+        """Leaf values from left to right and, for each feature, the leaves that each of its bins leaves."""
+        leaves, masks, waiting, first = [], {}, [(0, False)], {}
+        while waiting:  # a node's second visit lies between its left and its right part
+            k, back = waiting.pop()
+            if self.feature[k] < 0:
+                leaves.append(self.value[k])
+            elif not back:
+                first[k] = len(leaves)
+                waiting += [(int(self.right[k]), False), (k, True), (int(self.left[k]), False)]
+            else:
+                out = ((1 << len(leaves)) - (1 << first[k])) ^ 0xFFFFFFFFFFFFFFFF
+                masks.setdefault(int(self.feature[k]), np.full(256, 0xFFFFFFFFFFFFFFFF, np.uint64))[self.cut[k] + 1:] &= np.uint64(out)
+        return np.array(leaves), list(masks.items())
+
     def told(self) -> list:
         return [x.tolist() for x in (self.feature, self.cut, self.left, self.right, self.value, self.rows, self.gain)] + [self.depth]
 
@@ -99,8 +138,9 @@ class Booster:
 
     def raw(self, bins: np.ndarray) -> np.ndarray:
         out = np.full(len(bins), self.base)
+        cols = np.ascontiguousarray(bins.T)
         for t in self.trees:
-            out += t.value[t.leaf_of(bins)]
+            out += t.values(cols)
         return out
 
     def finish(self, raw: np.ndarray) -> np.ndarray:
@@ -200,7 +240,7 @@ class Rows:
     @classmethod
     def of(cls, batches: Sequence[pa.RecordBatch], n: int, ordered: bool = True) -> Rows:
         t = pa.Table.from_batches(batches)
-        bins = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(-1, n)
+        bins = np.concatenate([np.zeros(0, np.uint8), *(_data(c) for c in t.column("bins").chunks)]).reshape(-1, n)
         y, w, u = (t.column(c).to_numpy() for c in ("y", "w", "u"))
         valid = t.column("valid").to_numpy().astype(bool)
         if ordered:  # sums in one order, however the rows arrived
@@ -209,6 +249,14 @@ class Rows:
         return cls(bins, y, w, u, valid)
 
 
+def _data(a: pa.Array) -> np.ndarray:
+    """The bytes of all values of a binary array, one after the other."""
+    if not len(a):
+        return np.zeros(0, np.uint8)
+    at = np.frombuffer(a.buffers()[1], np.int32)[a.offset:a.offset + len(a) + 1]
+    return np.frombuffer(a.buffers()[2] or b"", np.uint8)[at[0]:at[-1]]
+
+
 def picked(u: np.ndarray, round_: int, p: Params) -> np.ndarray:
     """Which rows the round's tree is fitted on: a hash of row and round, the same in every task."""
     x = u.view(np.uint64) ^ np.uint64((p.seed * 1_000_003 + round_ * 0x9E3779B97F4A7C15) % (1 << 64))
@@ -234,10 +282,22 @@ def loss(raw: np.ndarray, y: np.ndarray, objective: str) -> np.ndarray:
 
 def histogram(bins: np.ndarray, g: np.ndarray, h: np.ndarray, width: int = BINS) -> np.ndarray:
     """Sums of gradient, second derivative and rows for each feature and bin (3 x features x bins)."""
-    n = bins.shape[1]
-    at = (bins + np.arange(n) * width).ravel()
-    return np.stack([np.bincount(at, np.repeat(g, n), n * width), np.bincount(at, np.repeat(h, n), n * width),
-                     np.bincount(at, minlength=n * width).astype(float)]).reshape(3, n, width)
+    return column_sums(bins.T, np.arange(bins.shape[1]), None, g, h, width)
+
+
+def column_sums(cols: np.ndarray, columns: np.ndarray, at: np.ndarray | None, g: np.ndarray, h: np.ndarray | None,
+                width: int = BINS) -> np.ndarray:
+    """``histogram`` of the rows ``at`` (None: all) of features x rows bins, for some of the features.
+    Second derivatives that are all one (None) sum to the rows."""
+    if at is not None:
+        g, h = g[at], None if h is None else h[at]
+    out = np.empty((3, len(columns), width))
+    for j, f in enumerate(columns):
+        b = (cols[f] if at is None else cols[f][at]).astype(np.intp)
+        out[0, j] = np.bincount(b, g, width)
+        out[2, j] = np.bincount(b, minlength=width)
+        out[1, j] = out[2, j] if h is None else np.bincount(b, h, width)
+    return out
 
 
 # --------------------------------------------------------------------------- growing a tree
@@ -363,26 +423,28 @@ def fit_rows(rows: Rows, features: list[str], edges: list[np.ndarray], objective
         return out
     out.base = base_value(float(np.average(rows.y[train], weights=rows.w[train])), objective)
     raw = np.full(len(rows.y), out.base)
+    cols = np.ascontiguousarray(rows.bins.T)
+    even = objective != "logistic" and bool((rows.w == 1).all())
     stop = Stopping(p.stop_after) if rows.valid.any() else None
     for t in range(p.rounds):
         columns = round_columns(len(features), t, p)
         some = train[picked(rows.u[train], t, p)]
         if not len(some):
             some = train
-        sub = rows.bins[:, columns].astype(np.int32) if len(columns) < len(features) else rows.bins.astype(np.int32)
         g, h = gradients(raw, rows.y, rows.w, objective)
+        h = None if even else h
         held = {0: some}
 
         def opened(asked):
             for k, f, cut, left, right, which in asked:
                 at = held.pop(k)
-                low = rows.bins[at, f] <= cut
+                low = cols[f][at] <= cut
                 held[left], held[right] = at[low], at[~low]
                 small = held[(left, right)[which]] if which >= 0 else None
-                yield None if small is None else histogram(sub[small], g[small], h[small])
-        tree = grow(histogram(sub[some], g[some], h[some]), opened, columns, p, ahead=False)
+                yield None if small is None else column_sums(cols, columns, small, g, h)
+        tree = grow(column_sums(cols, columns, some, g, h), opened, columns, p, ahead=False)
         out.trees.append(tree)
-        raw += tree.value[tree.leaf_of(rows.bins)]
+        raw += tree.values(cols)
         if stop and stop.over(float(loss(raw[rows.valid], rows.y[rows.valid], objective).mean())):
             break
         if not tree.depth and t > 2 * p.stop_after:
@@ -401,6 +463,11 @@ def fit(data: DataFrame, features: Sequence[str], label: str, p: Params, objecti
     held_out = valid if valid is not None else F.lit(False)
     edges = quantile_edges(data.where(~held_out & F.col(label).isNotNull()), features)
     table = binned(data, features, edges, label, weight, valid).checkpoint()
+    return _fit(table, task_rows, features, edges, objective, p)
+
+
+def _fit(table: DataFrame, task_rows: int, features: list[str], edges: list[np.ndarray], objective: str, p: Params) -> Booster:
+    """A model of a ``BINNED`` table."""
     train = F.col("valid") == F.lit(False)
     n, wsum, ysum, n_valid = table.agg(F.count(F.lit(1)), F.sum(F.when(train, F.col("w"))), F.sum(F.when(train, F.col("w") * F.col("y"))),
                                        F.count_if("valid")).first()
@@ -411,92 +478,136 @@ def fit(data: DataFrame, features: Sequence[str], label: str, p: Params, objecti
             rows = Rows.of(list(batches), len(features))
             yield pa.RecordBatch.from_arrays([pa.array([fit_rows(rows, features, edges, objective, p).text()])], ["model"])
         return Booster.of(table.repartition(1).mapInArrow(run, "model string").first()["model"])
-    return _fit_spread(table, features, edges, objective, p, base_value(ysum / wsum, objective), n_valid)
+    return _fit_spread(table, n, features, edges, objective, p, base_value(ysum / wsum, objective), n_valid)
+
 
+@dataclass
+class Block:
+    """The rows of a part: bins by feature, and the value so far."""
 
-def _fit_spread(table: DataFrame, features: list[str], edges: list[np.ndarray], objective: str, p: Params, base: float,
-                n_valid: int, renew: int = 16) -> Booster:
-    """The same fit with the rows left where they are.  The trees since the last renewal are applied in every
-    pass; every ``renew`` rounds the rows are written with their value so far."""
+    cols: np.ndarray
+    y: np.ndarray
+    w: np.ndarray
+    u: np.ndarray
+    valid: np.ndarray
+    raw: np.ndarray
+
+    def later(self, trees: Sequence[Tree]) -> Block:
+        raw = self.raw.copy()
+        for t in trees:
+            raw += t.values(self.cols)
+        return replace(self, raw=raw)
+
+
+def _blocks(table: DataFrame, count: int, n: int, base: float) -> RDD:
+    """The rows in parts of about ``BLOCK_ROWS``, one block each."""
+    def pack(batches):
+        held = [b for b in batches if b.num_rows]
+        if held:
+            rows = Rows.of(held, n, ordered=False)
+            told = [np.ascontiguousarray(rows.bins.T), rows.y, rows.w, rows.u, rows.valid]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in told], ["bins", "y", "w", "u", "valid"])
+
+    def unpacked(r):
+        y, w, u, valid = (np.frombuffer(x, kind) for x, kind in zip(r[1:], (float, float, np.int64, bool)))
+        return Block(np.frombuffer(r[0], np.uint8).reshape(n, -1), y, w, u, valid, np.full(len(y), base))
+    cores = max(1, table.sparkSession.sparkContext.defaultParallelism)
+    parts = cores * -(-count // (cores * min(BLOCK_ROWS, max(1, (1 << 28) // n))))
+    return table.repartition(parts).mapInArrow(pack, "bins binary, y binary, w binary, u binary, valid binary").rdd.map(unpacked)
+
+
+def _fit_spread(table: DataFrame, count: int, features: list[str], edges: list[np.ndarray], objective: str, p: Params, base: float,
+                n_valid: int, renew: int = 4) -> Booster:
+    """The same fit with the rows left where they are.  For each tree the parts apply the trees since the last
+    renewal, draw the rows and keep their bins and gradients; the passes of its growth read only those.  Every
+    ``renew`` rounds the rows are kept with their value so far.  A pass is a job of a few milliseconds' work for
+    each block, so the blocks are an RDD, which needs no planning."""
     n = len(features)
     out = Booster(features, edges, objective, base)
-    table = table.withColumn("raw", F.lit(base))
+    blocks = _blocks(table, count, n, base).persist(StorageLevel.MEMORY_AND_DISK_DESER)
     recent: list[Tree] = []
     stop = Stopping(p.stop_after) if n_valid else None
 
-    def values(b, trees):
-        rows = Rows.of([b.select(["bins", "y", "w", "u", "valid"])], n, ordered=False)
-        raw = b.column("raw").to_numpy().copy()
-        for t in trees:
-            raw += t.value[t.leaf_of(rows.bins)]
-        return rows, raw
-
-    def sums(round_: int, columns: np.ndarray, splits: list, wanted: list[int], trees: list[Tree]) -> tuple[np.ndarray, float]:
-        """Histograms of the wanted nodes over all rows, and the held-out loss."""
-        slots = len(wanted) * 3 * len(columns) * BINS
-
-        def run(batches):
-            total, lost = np.zeros(slots), 0.0
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                rows, raw = values(b, trees)
-                lost += float(loss(raw[rows.valid], rows.y[rows.valid], objective).sum())
-                keep = ~rows.valid & picked(rows.u, round_, p)
-                bins, g_h = rows.bins[keep], gradients(raw[keep], rows.y[keep], rows.w[keep], objective)
-                node = np.zeros(len(bins), np.int64)
-                for k, f, cut, left, right, _ in splits:
-                    here = node == k
-                    node[here] = np.where(bins[here, f] <= cut, left, right)
-                sub = bins[:, columns].astype(np.int32)
-                for at, k in enumerate(wanted):
-                    here = node == k
-                    size = 3 * len(columns) * BINS
-                    total[at * size:(at + 1) * size] += histogram(sub[here], g_h[0][here], g_h[1][here]).ravel()
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], lost))], ["slot", "x"])
-        merged = table.mapInArrow(run, "slot long, x double").groupBy("slot").agg(F.sum("x").alias("x")).toPandas()
-        there = merged[merged["slot"] >= 0]
-        total = np.zeros(slots)
-        total[there["slot"].to_numpy()] = there["x"].to_numpy()
-        return total.reshape(len(wanted), 3, len(columns), BINS), float(merged.loc[merged["slot"] < 0, "x"].sum())
-
-    for t in range(p.rounds + 1):
-        columns = round_columns(n, t, p)
-        splits: list = []
-        root, lost = sums(t, columns, [], [0], recent)
-        if stop and t and stop.over(lost / n_valid) or t == p.rounds:
-            break
-
-        def opened(asked):
-            splits.extend(asked)
-            wanted = [(left, right)[which] for _, _, _, left, right, which in asked]
-            return list(sums(t, columns, splits, wanted, recent)[0])
-        tree = grow(root[0], opened, columns, p, ahead=True)
-        out.trees.append(tree)
-        recent = [*recent, tree]
-        if len(recent) >= renew:
-            trees = recent
-
-            def renewed(batches):
-                for b in batches:
-                    if b.num_rows:
-                        _, raw = values(b, trees)
-                        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(raw)], b.schema.names)
-            table = table.mapInArrow(renewed, table.schema).checkpoint()
-            recent = []
+    def begun(round_: int, columns: np.ndarray, trees: list[Tree]) -> RDD:
+        """The drawn rows of each block (bins, gradients), their sums and the held-out loss."""
+        def run(block):
+            block = block.later(trees)
+            lost = float(loss(block.raw[block.valid], block.y[block.valid], objective).sum())
+            at = np.flatnonzero(~block.valid & picked(block.u, round_, p))
+            g, h = gradients(block.raw[at], block.y[at], block.w[at], objective)
+            if objective != "logistic" and (h == 1).all():
+                h = None
+            sub = np.stack([block.cols[f][at] for f in columns])
+            return sub, g, h, column_sums(sub, np.arange(len(columns)), None, g, h), lost
+        return blocks.map(run)
+
+    def sums(drawn: RDD, columns: np.ndarray, splits: list, wanted: list[int]) -> list[np.ndarray]:
+        """Histograms of the wanted nodes over all blocks."""
+        where = {int(f): j for j, f in enumerate(columns)}
+        every = np.arange(len(columns))
+
+        def run(block):
+            sub, g, h, _, _ = block
+            held = {0: np.arange(len(g))}
+            for node, f, cut, left, right, _ in splits:
+                at = held.pop(node)
+                low = sub[where[f]][at] <= cut
+                held[left], held[right] = at[low], at[~low]
+            for slot, node in enumerate(wanted):
+                if len(held[node]):
+                    yield slot, column_sums(sub, every, held[node], g, h)
+        return _summed(drawn.flatMap(run), len(wanted), len(columns))
+
+    try:
+        for t in range(p.rounds + 1):
+            columns = round_columns(n, t, p)
+            drawn = begun(t, columns, recent).persist(StorageLevel.MEMORY_AND_DISK_DESER)
+            try:
+                if stop and t and stop.over(drawn.map(lambda block: block[4]).sum() / n_valid) or t == p.rounds:
+                    break
+                splits: list = []
+
+                def opened(asked):
+                    splits.extend(asked)
+                    return sums(drawn, columns, splits, [(left, right)[which] for _, _, _, left, right, which in asked])
+                root = _summed(drawn.map(lambda block: (0, block[3])), 1, len(columns))
+                tree = grow(root[0], opened, columns, p, ahead=True)
+            finally:
+                drawn.unpersist()
+            out.trees.append(tree)
+            recent = [*recent, tree]
+            if len(recent) >= renew:
+                later = blocks.map(lambda block, trees=recent: block.later(trees)).persist(StorageLevel.MEMORY_AND_DISK_DESER)
+                later.foreach(lambda block: None)
+                blocks.unpersist()
+                blocks, recent = later, []
+    finally:
+        blocks.unpersist()
     if stop:
         out.trees, out.curve = out.trees[:stop.at], stop.curve
     return out
 
 
+def _summed(each: RDD, slots: int, width: int) -> list[np.ndarray]:
+    """Sums of the blocks' histograms, a slot each; those of many blocks are summed by tasks first."""
+    parts = each.getNumPartitions()
+    if parts > MERGED_PARTS:
+        each = each.reduceByKey(lambda a, b: a + b, min(slots, parts))
+    total = np.zeros((slots, 3, width, BINS))
+    for slot, x in each.collect():  # slots x features x bins, of at most MERGED_PARTS parts
+        total[slot] += x
+    return list(total)
+
+
 # --------------------------------------------------------------------------- many fits on the same folds
 @dataclass
 class Folds:
-    """Folds binned once: all rows (``table``) and each fold's bounded sample, packed in one row (``packed``)."""
+    """Folds binned once: all rows (``table``), the rows of each fold that one task fits, packed in one row
+    (``packed``), and the rows of each larger one (``large``)."""
 
     table: DataFrame
     packed: DataFrame
+    large: list[int]
     features: list[str]
     edges: list[np.ndarray]
     count: int
@@ -504,9 +615,9 @@ class Folds:
 
 
 def binned_folds(folds: DataFrame, features: Sequence[str], label: str, valid: Column, objective: str = "squared",
-                 weight: str | None = None, fold: str = "fold", fold_rows: int = 1 << 18) -> Folds:
-    """Bin the rows of all folds once.  A fit takes at most about ``fold_rows`` rows a fold (by a hash of the row,
-    all if there are no more); scores are taken over all held-out rows."""
+                 weight: str | None = None, fold: str = "fold", fold_rows: int | None = None, task_rows: int = FOLD_ROWS) -> Folds:
+    """Bin the rows of all folds once.  A fit takes all rows of its fold, in one task if there are at most ``task_rows``.
+    Only who asks for ``fold_rows`` gets fits on about so many rows a fold (by a hash of the row); no query does."""
     features = list(features)
     ensure_checkpoint_dir(folds.sparkSession)
     edges = quantile_edges(folds, features)
@@ -521,19 +632,22 @@ def binned_folds(folds: DataFrame, features: Sequence[str], label: str, valid: C
             out.write_table(t.select(names))
         return pa.table({"_fold": pa.array([t.column("_fold")[0].as_py()], pa.int32()),
                          "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
-    share = F.lit(None)
-    for k, n in sizes.items():
-        share = F.when(F.col("_fold") == k, min(1.0, fold_rows / n)).otherwise(share)
-    u = F.pmod(F.xxhash64("u", F.lit(77)), F.lit(1_000_003)) / 1_000_003.0
-    packed = table.where(u < share).groupBy("_fold").applyInArrow(pack, "_fold int, rows binary").checkpoint()
-    return Folds(table, packed, features, edges, len(sizes), objective)
+    fitted = table
+    if fold_rows is not None:
+        share = F.lit(None)
+        for k, n in sizes.items():
+            share = F.when(F.col("_fold") == k, min(1.0, fold_rows / n)).otherwise(share)
+        fitted = table.where(F.pmod(F.xxhash64("u", F.lit(77)), F.lit(1_000_003)) / 1_000_003.0 < share)
+    large = sorted(k for k, n in sizes.items() if fold_rows is None and n > task_rows)
+    packed = fitted.where(~F.col("_fold").isin(large)).groupBy("_fold").applyInArrow(pack, "_fold int, rows binary").checkpoint()
+    return Folds(table, packed, large, features, edges, len(sizes), objective)
 
 
 def fit_folds(folds: Folds, trials: Sequence[tuple[int, Params]]) -> list[tuple[int, int, Booster]]:
-    """A model for each trial and fold, one task each: (trial, fold, model)."""
+    """A model for each trial and fold, one task each (the rows of a large fold spread): (trial, fold, model)."""
     spark = folds.table.sparkSession
     jobs = spark.createDataFrame([(t, json.dumps(asdict(p))) for t, p in trials], "trial int, params string")
-    each = jobs.crossJoin(folds.packed)  # trials x folds rows, each a bounded sample
+    each = jobs.crossJoin(folds.packed)  # trials x folds rows, each a fold of bounded size
     features, edges, objective = folds.features, folds.edges, folds.objective
 
     def run(batches):
@@ -544,7 +658,15 @@ def fit_folds(folds: Folds, trials: Sequence[tuple[int, Params]]) -> list[tuple[
                 yield pa.RecordBatch.from_arrays([pa.array([trial], pa.int32()), pa.array([fold], pa.int32()),
                                                   pa.array([model.text()])], ["trial", "fold", "model"])
     done = each.coalesce(1).repartition(len(trials) * max(1, folds.count)).mapInArrow(run, "trial int, fold int, model string")
-    return sorted(((r.trial, r.fold, Booster.of(r.model)) for r in done.collect()), key=lambda r: r[:2])  # rounds x leaves nodes each
+    models = [(r.trial, r.fold, Booster.of(r.model)) for r in done.collect()]  # rounds x leaves nodes each
+
+    def spread(job):
+        (trial, p), fold = job
+        rows = folds.table.where(F.col("_fold") == fold).select("bins", "y", "w", "u", "valid")
+        return trial, fold, _fit(rows, 0, features, edges, objective, p)
+    with ThreadPoolExecutor(4) as pool:  # the passes of one fit run while the driver grows the tree of another
+        models += pool.map(spread, [(t, k) for t in trials for k in folds.large])
+    return sorted(models, key=lambda r: r[:2])
 
 
 def scores(folds: Folds, models: Sequence[tuple[int, int, Booster]]) -> DataFrame:

@@ -120,6 +120,33 @@ def test_folds_side_by_side(spark):
     assert all(m.trees[0].rows[0] < 200 for _, _, m in sampled) and {r.n for r in B.scores(small, sampled).collect()} == {450}
 
 
+def test_large_folds_are_fitted_on_all_their_rows(spark):
+    rows = spark.range(600_000).select((F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 7 % 2).cast("double").alias("y"),
+                                       (F.col("id") % 2).cast("int").alias("fold"), F.lit(False).alias("held"))
+    p = Params(rounds=1, row_share=1.0, column_share=1.0)
+    for _, _, m in B.fit_folds(B.binned_folds(rows, ["a"], "y", F.col("held")), [(0, p)]):
+        assert m.trees[0].rows[0] == 300_000
+    x, y = data(900)
+    df = table(spark, x, y).withColumn("fold", F.explode(F.array(F.lit(0), F.lit(1))))
+    inside = B.binned_folds(df, ["a", "b", "c"], "y", (F.col("id") % 2) == F.col("fold"))
+    spread = B.binned_folds(df, ["a", "b", "c"], "y", (F.col("id") % 2) == F.col("fold"), task_rows=100)
+    for (_, k, one), (_, j, other) in zip(B.fit_folds(inside, [(0, SMALL)]), B.fit_folds(spread, [(0, SMALL)])):
+        assert k == j and len(one.trees) == len(other.trees) and one.trees[0].rows[0] == 450
+        for s, t in zip(one.trees, other.trees):
+            assert (s.feature == t.feature).all() and (s.cut == t.cut).all() and s.value == pytest.approx(t.value)
+
+
+def test_values_are_those_of_the_leaves():
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(3000, 4)), rng.normal(size=3000)
+    edges = [np.quantile(x[:, f], np.linspace(0.01, 0.99, 90)) for f in range(4)]
+    rows = Rows(B.to_bins(x, edges), y, np.ones(3000), np.arange(3000), np.zeros(3000, bool))
+    for leaves in (1, 2, 31, 64, 65, 127):
+        t = B.fit_rows(rows, list("abcd"), edges, "squared", Params(rounds=1, leaves=leaves, max_depth=30, min_rows=2, l1=0.0)).trees[0]
+        assert (t.feature < 0).sum() == leaves
+        assert (t.values(np.ascontiguousarray(rows.bins.T)) == t.value[t.leaf_of(rows.bins)]).all()
+
+
 # --------------------------------------------------------------------------- search
 def test_parzen_density_is_one():
     p = Parzen([0.1, 0.2, 0.9], 0.0, 1.0)

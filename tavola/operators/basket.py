@@ -18,12 +18,14 @@ plans it as a WindowGroupLimit), never a driver loop.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rounding import round_even
 from ..functions.scalars import scalar_struct, scalar_value
+from ..session import written
 
 # Hybrid weights (co-occurrence, content) and thresholds.
 HYBRID_WEIGHTS = (0.6, 0.4)
@@ -109,18 +111,27 @@ def frequent_sets(tx: DataFrame, min_count: int = MIN_PAIR_COUNT, most: int = 3,
                   item: str = "item_id") -> DataFrame:
     """B1 beyond pairs: sets of up to ``most`` items bought together in ``min_count`` baskets or more.
 
-    Parallel FP-growth: each group of items gets the conditional transactions
-    that its trees need, so no set is counted that is not frequent.  ``items``
-    are sorted; a basket counts once; null baskets and items take no part."""
-    from pyspark.ml.fpm import FPGrowth
-    baskets = (tx.where(F.col(basket).isNotNull() & F.col(item).isNotNull()).groupBy(basket)
-               .agg(F.collect_set(F.col(item).cast("string")).alias("items")))
-    n = baskets.count()
-    if not n:
-        return tx.sparkSession.createDataFrame([], "items array<string>, n long")
-    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, max(0.0, (min_count - 0.5) / n))).fit(baskets).freqItemsets
-    return (sets.where((F.size("items") <= most) & (F.col("freq") >= min_count))
-            .select(F.array_sort("items").alias("items"), F.col("freq").alias("n")))
+    Parallel FP-growth, no deeper than ``most``: the conditional transactions of a set
+    are, in each basket that has it, the items that sort before its first one.  They
+    give the sets with one item more; only those of frequent sets are grown, so a set
+    is counted only if its last items are frequent.  A pass holds one basket's
+    transactions at a time, and counts are partially aggregated before their shuffle.
+    ``items`` are sorted; a basket counts once; null baskets and items take no part."""
+    baskets = written(tx.where(F.col(basket).isNotNull() & F.col(item).isNotNull()).groupBy(basket)
+                      .agg(F.array_sort(F.collect_set(F.col(item).cast("string"))).alias("_before")).select("_before"))
+    grown, found, names = baskets, [], []
+    for size in range(1, most + 1):
+        if names:
+            # an array without items has no transactions, so it is left out before the join
+            grown = grown.where(F.size("_before") > 0).join(found[-1].select(*names), names, "left_semi")
+        new = f"_{size}"
+        grown = grown.select(*names, "_before", F.posexplode("_before").alias("_at", new)).select(
+            new, *names, F.slice("_before", 1, F.col("_at")).alias("_before"))
+        names = [new, *names]
+        sets = grown.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
+        found.append(written(sets) if size < most else sets)
+    return reduce(DataFrame.unionAll, [
+        sets.select(F.array(*[f"_{k}" for k in range(size, 0, -1)]).alias("items"), "n") for size, sets in enumerate(found, 1)])
 
 
 def association_edges(pairs: DataFrame, min_support: float = MIN_SUPPORT,

@@ -83,7 +83,7 @@ SELECT x.item AS item_1, y.item AS item_2, z.item AS item_3, COUNT(*) AS n
 FROM bi x JOIN bi y ON x.basket = y.basket AND x.item < y.item JOIN bi z ON y.basket = z.basket AND y.item < z.item
 GROUP BY 1, 2, 3 HAVING COUNT(*) >= 3""", "tx", extra={"bi": _BI}))
 def b01_triples(spark, sf):
-    """B1 beyond pairs: three dishes together in 3 orders or more, by parallel FP-growth."""
+    """B1 beyond pairs: three dishes together in 3 orders or more, by parallel FP-growth three items deep."""
     sets = B.frequent_sets(_tx(spark, sf), 3, 3, "order_id", "item_name").where(F.size("items") == 3)
     return sets.select(*[F.col("items")[k].alias(f"item_{k + 1}") for k in range(3)], "n")
 

@@ -55,3 +55,13 @@ def test_frequent_sets(spark):
     got = {tuple(r["items"]): r.n for r in B.frequent_sets(df, min_count=12, most=3).collect()}
     assert got == {k: n for k, n in want.items() if n >= 12} and any(len(k) == 3 for k in got)
     assert B.frequent_sets(df.limit(0), 2).count() == 0
+
+
+def test_frequent_sets_grow_no_deeper_than_asked(spark):
+    """24 items always bought together are in 16 million sets; three items deep there are 2,324."""
+    rows = [(o, f"d{k:02d}") for o in range(3) for k in range(24)] + [(9, "d00"), (9, "x"), (9, "y")]
+    df = spark.createDataFrame(rows, "order_id long, item_id string")
+    got = {tuple(r["items"]): r.n for r in B.frequent_sets(df, min_count=3, most=3).collect()}
+    names = [f"d{k:02d}" for k in range(24)]
+    assert got == {c: 4 if c == ("d00",) else 3 for size in (1, 2, 3) for c in itertools.combinations(names, size)}
+    assert {tuple(r["items"]) for r in B.frequent_sets(df, 3, 1).collect()} == {(n,) for n in names}

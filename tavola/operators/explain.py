@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from .boosting import Booster, Tree, feature_array
 
+AT_ONCE = 1 << 16  # rows explained together, about: the agreements that occur are worked out once for all of them
+
 
 def paths(tree: Tree) -> list[tuple[float, list[tuple[int, float, list[tuple[int, bool]]]]]]:
     """For each leaf: its value and, for each feature on the way, the share of rows that goes on
@@ -62,33 +64,47 @@ def shapley(agrees: np.ndarray, shares: np.ndarray) -> np.ndarray:
     return (weight @ before) * (agrees - shares)
 
 
-def tree_values(tree: Tree, bins: np.ndarray, out: np.ndarray) -> None:
-    """Adds the tree's Shapley values to ``out`` (rows x features)."""
-    inner = np.flatnonzero(tree.feature >= 0)
-    goes_left = {int(k): bins[:, tree.feature[k]] <= tree.cut[k] for k in inner}
+def agreement(cols: np.ndarray, tree: Tree, met: list[tuple[int, float, list[tuple[int, bool]]]]) -> np.ndarray:
+    """For each row of features x rows bins a number whose bits tell which of the path's features it agrees with.
+    The turns on a feature leave an interval of its bins."""
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(met) <= 8 * k().itemsize)
+    code = np.zeros(cols.shape[1], kind)
+    for j, (f, _, turns) in enumerate(met):
+        first = max((int(tree.cut[node]) + 1 for node, left in turns if not left), default=0)
+        last = min((int(tree.cut[node]) for node, left in turns if left), default=255)
+        code |= (cols[f] - np.uint8(first) <= np.uint8(last - first)).astype(kind) << kind(j)
+    return code
+
+
+def tree_values(tree: Tree, cols: np.ndarray, out: np.ndarray) -> None:
+    """Adds the tree's Shapley values of features x rows bins to ``out`` (features x rows)."""
     for value, met in paths(tree):
         if not met:
             continue
-        code = np.zeros(len(bins), np.int64)
-        for j, (_, _, turns) in enumerate(met):
-            ok = np.ones(len(bins), bool)
-            for node, left in turns:
-                ok &= goes_left[node] if left else ~goes_left[node]
-            code |= ok.astype(np.int64) << j
-        seen, back = np.unique(code, return_inverse=True)
-        agrees = (seen[:, None] >> np.arange(len(met)) & 1).astype(float)
-        table = shapley(agrees, np.array([share for _, share, _ in met])) * value
+        code = agreement(cols, tree, met)
+        if len(met) <= 16:
+            at = code.astype(np.intp)
+            seen = np.flatnonzero(np.bincount(at, minlength=1 << len(met)))
+            back = at
+        else:
+            seen, back = np.unique(code, return_inverse=True)
+        bits = np.arange(len(met)).astype(seen.dtype)
+        told = shapley((seen[:, None] >> bits & seen.dtype.type(1)).astype(float), np.array([share for _, share, _ in met])) * value
+        table = told.T
+        if len(met) <= 16:
+            table = np.zeros((len(met), 1 << len(met)))
+            table[:, seen] = told.T
         for j, (f, _, _) in enumerate(met):
-            out[:, f] += table[back, j]
+            out[f] += np.ascontiguousarray(table[j])[back]
 
 
 def row_values(model: Booster, x: np.ndarray) -> np.ndarray:
     """Shapley values of each row (of the raw value: log odds for a probability)."""
-    bins = model.bins(x)
-    out = np.zeros(x.shape)
+    cols = np.ascontiguousarray(model.bins(x).T)
+    out = np.zeros(cols.shape)
     for tree in model.trees:
-        tree_values(tree, bins, out)
-    return out
+        tree_values(tree, cols, out)
+    return out.T
 
 
 def mean_value(model: Booster) -> float:
@@ -103,16 +119,26 @@ def shap_values(model: Booster, df: DataFrame, keys: list[str]) -> DataFrame:
     names = [f"shap_{c}" for c in model.features]
     start, width = mean_value(model), len(model.features)
 
+    def told(held):
+        rows = pa.Table.from_batches(held).combine_chunks()
+        for at in range(0, rows.num_rows, AT_ONCE):
+            part = rows.slice(at, AT_ONCE)
+            x = part.column("_x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            values = row_values(handle.value, x)
+            raw = handle.value.raw(handle.value.bins(x))
+            out = pa.table([*(part.column(k) for k in keys), pa.array(np.full(len(x), start)), pa.array(raw),
+                            *(pa.array(values[:, j].copy()) for j in range(width))], [*keys, "expected", "raw", *names])
+            yield from out.combine_chunks().to_batches()
+
     def run(batches):
+        held = []
         for b in batches:
-            for at in range(0, b.num_rows, 16384):
-                part = b.slice(at, 16384)
-                x = part.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-                values = row_values(handle.value, x)
-                raw = handle.value.raw(handle.value.bins(x))
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(k) for k in keys), pa.array(np.full(len(x), start)), pa.array(raw),
-                     *(pa.array(values[:, j].copy()) for j in range(width))], [*keys, "expected", "raw", *names])
+            held.append(b)
+            if sum(x.num_rows for x in held) >= AT_ONCE:
+                yield from told(held)
+                held = []
+        if held:
+            yield from told(held)
     kept = df.select(*keys, feature_array(model.features).alias("_x"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in keys]
     return kept.mapInArrow(run, ", ".join([*kinds, "expected double", "raw double", *[f"`{n}` double" for n in names]]))

@@ -4,6 +4,7 @@ import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,6 +214,31 @@ def test_tree_values_equal_the_sum_over_all_subsets():
     assert got.sum(axis=1) + E.mean_value(model) == pytest.approx(model.raw(rows.bins[:20]))
 
 
+def test_agreements_are_worked_out_once_for_many_rows(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 2, (500, 20)).astype(float)
+    edges = [np.array([0.5])] * 20
+    for deep in (7, 12, 18):  # the path to the deepest leaf has so many features, one code of a byte or two or four a row
+        k = np.arange(deep)
+        feature = np.concatenate([k, np.full(deep + 1, -1)])
+        left, right = np.where(feature >= 0, deep + np.arange(2 * deep + 1), -1), np.where(feature >= 0, np.arange(2 * deep + 1) + 1, -1)
+        right[deep - 1], left[:deep] = 2 * deep, deep + k
+        rows = np.concatenate([2.0 ** (deep - k), 2.0 ** (deep - 1 - k), [1.0]])
+        value = np.concatenate([np.zeros(deep), rng.normal(size=deep + 1)])
+        tree = Tree(feature, np.where(feature >= 0, 1, -1), left, right, value, rows, np.zeros(2 * deep + 1), deep)
+        model = Booster([f"f{j}" for j in range(20)], edges, "squared", 0.0, [tree])
+        got = E.row_values(model, x)
+        assert got.sum(axis=1) + E.mean_value(model) == pytest.approx(model.raw(model.bins(x)))
+        assert (got[:, deep:] == 0).all()
+    batches, worked = [], []
+    monkeypatch.setattr(E, "row_values", lambda m, part: worked.append(len(part)) or np.zeros(part.shape))
+    df = spark.createDataFrame([(0, *[0.0] * 20)], ["id", *model.features])
+    monkeypatch.setattr(type(df), "mapInArrow", lambda df, run, schema: batches.append(run) or df)
+    E.shap_values(model, df, ["id"])
+    part = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array([[0.0] * 20] * 100)], ["id", "_x"])
+    assert sum(b.num_rows for b in batches[0](iter([part] * 7))) == 700 and worked == [700]
+
+
 def test_shap_over_a_table(spark):
     x, y = data(400)
     df = table(spark, x, y)

@@ -152,7 +152,7 @@ class Booster:
 
     def column(self) -> Column:
         """The prediction for a row that has the feature columns."""
-        handle = SparkSession.getActiveSession().sparkContext.broadcast(self)  # rounds x leaves nodes
+        handle = SparkSession.active().sparkContext.broadcast(self)  # rounds x leaves nodes
 
         @F.pandas_udf("double")
         def predicted(batch: pd.Series) -> pd.Series:

@@ -8,11 +8,14 @@ every task before the shuffle.  Money moments are exact decimals
 (``functions/stats.py``) so results do not depend on row order.
 
 ``as_of`` may be a literal (string / datetime) or a Column (for data-derived
-cut dates such as the LTV hold-out).
+cut dates such as the LTV hold-out).  ``base`` gives the table that
+``customer_base`` makes of the lines, for callers that have it already.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,12 +104,15 @@ def customer_base(tx: DataFrame, cid: str = "customer_id", with_calendar: bool =
 
 
 # --------------------------------------------------------------------------- RFM
-def rfm_metrics(tx: DataFrame, as_of) -> DataFrame:
+def rfm_metrics(tx: DataFrame, as_of, base: Callable[[], DataFrame] | None = None) -> DataFrame:
     """Recency (floored days), frequency (rows), monetary (exact sum)."""
-    base = (tx.where(F.col("customer_id").isNotNull()).groupBy("customer_id")
-            .agg(F.max("ts").alias("_last"), F.count(F.lit(1)).alias("frequency"),
-                 s1("total_price").alias("_m")))
-    return base.select("customer_id", floor_days(_asof(as_of), "_last").alias("recency"),
+    if base is None:
+        b = (tx.where(F.col("customer_id").isNotNull()).groupBy("customer_id")
+             .agg(F.max("ts").alias("_last"), F.count(F.lit(1)).alias("frequency"),
+                  s1("total_price").alias("_m")))
+    else:
+        b = base().select("customer_id", F.col("last_ts").alias("_last"), F.col("n_rows").alias("frequency"), F.col("_s1").alias("_m"))
+    return b.select("customer_id", floor_days(_asof(as_of), "_last").alias("recency"),
                        "frequency", F.col("_m").cast("double").alias("monetary"))
 
 
@@ -252,11 +258,12 @@ def churn_labels(tx: DataFrame, as_of, days: int = 60) -> DataFrame:
             .withColumn("is_churned", (F.col("days_since_last_purchase") > days).cast("int")))
 
 
-def churn_features(tx: DataFrame, as_of, customers: DataFrame | None = None) -> DataFrame:
+def churn_features(tx: DataFrame, as_of, customers: DataFrame | None = None,
+                   base: Callable[[], DataFrame] | None = None) -> DataFrame:
     """Base aggregates, tenure, span, rates, 7 weekday and 5 part-of-day
     counts (conditional counts in the same aggregate: no pivot shuffle)."""
     now = _asof(as_of)
-    b = customer_base(tx, with_calendar=True)
+    b = base() if base else customer_base(tx, with_calendar=True)
     n = F.col("n_rows")
     out = b.select(
         "customer_id",
@@ -291,10 +298,10 @@ def churn_by_value_band(rfm: DataFrame, q: int = 3, days: int = 60) -> DataFrame
 
 
 # --------------------------------------------------------------------------- LTV
-def ltv_features(tx: DataFrame, as_of, horizon: int = 365) -> DataFrame:
+def ltv_features(tx: DataFrame, as_of, horizon: int = 365, base: Callable[[], DataFrame] | None = None) -> DataFrame:
     """C4: 12 aggregates and 9 guarded ratios per customer."""
     now = _asof(as_of)
-    b = customer_base(tx)
+    b = base() if base else customer_base(tx)
     n = F.col("n_rows")
     f = b.select(
         "customer_id",
@@ -327,10 +334,12 @@ def ltv_features(tx: DataFrame, as_of, horizon: int = 365) -> DataFrame:
     return f
 
 
-def ltv_target(tx: DataFrame, cut) -> DataFrame:
-    """Spend after ``cut`` for every customer seen up to ``cut`` (0 if none)."""
+def ltv_target(tx: DataFrame, cut, seen: DataFrame | None = None) -> DataFrame:
+    """Spend after ``cut`` for every customer seen up to ``cut`` (0 if none);
+    ``seen`` are those customers, if they are known."""
     c = _asof(cut)
-    hist = tx.where((F.col("ts") <= c) & F.col("customer_id").isNotNull()).select("customer_id").distinct()
+    hist = (tx.where((F.col("ts") <= c) & F.col("customer_id").isNotNull()).select("customer_id").distinct() if seen is None else
+            seen.select("customer_id"))
     fut = (tx.where(F.col("ts") > c).groupBy("customer_id").agg(s1("total_price").alias("_f")))
     return (hist.join(fut, "customer_id", "left")
             .select("customer_id", F.coalesce(F.col("_f").cast("double"), F.lit(0.0)).alias("future_value")))
@@ -345,11 +354,14 @@ def ltv_training(tx: DataFrame, holdout: int = 90, horizon: int = 365) -> DataFr
     """Features on history up to the cut joined to the hold-out target.
 
     The cut is a data-derived scalar; it is collected once (a single value),
-    then used as a literal so the scans below keep their pushed filters."""
+    then used as a literal so the scans below keep their pushed filters.  The
+    history's aggregates are kept, since they name the target's customers too."""
     cut = ltv_cut(tx, holdout).collect()[0]["_cut"]
     hist = tx.where(F.col("ts") <= ts_lit(cut))
-    feats = ltv_features(hist, cut, horizon)
-    return feats.join(ltv_target(tx, cut), "customer_id")
+    ensure_checkpoint_dir(tx.sparkSession)
+    base = customer_base(hist).checkpoint()
+    feats = ltv_features(hist, cut, horizon, lambda: base)
+    return feats.join(ltv_target(tx, cut, base), "customer_id")
 
 
 def simple_ltv(tx: DataFrame, months: int = 24) -> DataFrame:

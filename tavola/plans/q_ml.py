@@ -8,6 +8,8 @@ against constant predictors.
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -22,7 +24,7 @@ from ..operators import ml as M
 from ..operators import svd as SVD
 from ..operators import windows as W
 from ..operators.boosting import Booster
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, written
 from ..sources import driver as D
 from ..sources.io import load_model, save_model
 from .q_customers import SEGMENT_SQL, customer_base
@@ -65,25 +67,36 @@ def _place(spark, name, sf, make) -> str:
     return _MADE[key]
 
 
-def _table(spark, name, sf, make) -> DataFrame:
+def _table(spark, name, sf, make, keep=lambda table: table.checkpoint()) -> DataFrame:
     """A feature table, checkpointed once a session: splits, edges, fits and scores read it several times, and each
     reading would join and aggregate the sales again.  A checkpoint keeps the parts and their order."""
     key = (spark.sparkContext.applicationId, name, sf)
     if key not in _KEPT:
         ensure_checkpoint_dir(spark)
-        _KEPT[key] = make().checkpoint()
+        _KEPT[key] = keep(make())
     return _KEPT[key]
 
 
+def _sales(spark, sf):
+    """The sales' columns that customer features read, joined to their orders and written once a session."""
+    return _table(spark, "sales", sf, lambda: D.transactions(spark, sf, dims=False).select(
+        "customer_id", "order_id", "item_id", "quantity", "total_price", "ts"), written)
+
+
+def _base(spark, sf):
+    """The aggregates of every customer that the churn, value and RFM features of today share."""
+    return _table(spark, "customer-base", sf, lambda: C.customer_base(_sales(spark, sf), with_calendar=True))
+
+
 def _churn_data(spark, sf):
     return _table(spark, "churn-data", sf, lambda: _churn_features(spark, sf))
 
 
 def _churn_features(spark, sf):
-    tx = D.transactions(spark, sf, dims=False)
-    f = C.churn_features(tx, AS_OF, D.customers(spark, sf))
+    f = C.churn_features(_sales(spark, sf), AS_OF, D.customers(spark, sf), partial(_base, spark, sf))
     f = f.withColumn("tier_code", F.array_position(F.array(*map(F.lit, TIERS)), F.col("loyalty_tier")).cast("double"))
-    lab = C.churn_labels(tx, AS_OF, 60).select("customer_id", "is_churned")
+    last = _base(spark, sf).select("customer_id", F.col("last_ts").alias("ts"))  # a customer's last line stands for all of them
+    lab = C.churn_labels(last, AS_OF, 60).select("customer_id", "is_churned")
     return f.join(lab, "customer_id")
 
 
@@ -143,7 +156,7 @@ def c04d_cv(spark, sf):
 
 
 def _ltv_table(spark, sf):
-    return _table(spark, "ltv-data", sf, lambda: C.ltv_training(D.transactions(spark, sf, dims=False), 90, 365))
+    return _table(spark, "ltv-data", sf, lambda: C.ltv_training(_sales(spark, sf), 90, 365))
 
 
 @register("c04d_train_ltv")
@@ -158,9 +171,13 @@ def c04d_forest(spark, sf):
     return M.train_ltv_forest(_ltv_table(spark, sf), LTV_COLS, "future_value")[1]
 
 
+def _ltv_model(spark, sf):
+    return _model(spark, "ltv", sf, lambda: M.train_ltv(_ltv_table(spark, sf), LTV_COLS, "future_value"))
+
+
 def _ltv_pred(spark, sf):
-    model = _model(spark, "ltv", sf, lambda: M.train_ltv(_ltv_table(spark, sf), LTV_COLS, "future_value"))
-    return M.predict_ltv(model, C.ltv_features(D.transactions(spark, sf, dims=False), AS_OF, 365), LTV_COLS)
+    model = _ltv_model(spark, sf)
+    return M.predict_ltv(model, C.ltv_features(_sales(spark, sf), AS_OF, 365, partial(_base, spark, sf)), LTV_COLS)
 
 
 @register("c04e_predict_ltv")
@@ -244,8 +261,11 @@ def c05f(spark, sf):
 
 
 def _insights(spark, sf):
-    tx = D.transactions(spark, sf, dims=False)
-    rfm = C.rfm_segment(C.rfm_scores(C.rfm_metrics(tx, AS_OF), 5)).select("customer_id", "Segment", "RFM_Score")
+    rfm = C.rfm_metrics(_sales(spark, sf), AS_OF, partial(_base, spark, sf))
+    rfm = C.rfm_segment(C.rfm_scores(rfm, 5)).select("customer_id", "Segment", "RFM_Score")
+    with ThreadPoolExecutor(2) as pool:  # a fit waits for its driver most of the time, so both go on together
+        for made in [pool.submit(model, spark, sf) for model in (_churn_model, _ltv_model)]:
+            made.result()
     return C.customer_insights(rfm, _churn_scores(spark, sf), _ltv_pred(spark, sf))
 
 

@@ -154,7 +154,7 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] | None = N
 
 def save_model(model, path: str, metadata: dict | None = None) -> None:
     """Persist a boosted model or a Spark ML one (PipelineModel), with a JSON metadata file."""
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.active()
     if isinstance(model, Booster):
         model.save(spark, os.path.join(path, "booster"))
     else:
@@ -166,7 +166,7 @@ def save_model(model, path: str, metadata: dict | None = None) -> None:
 
 def load_model(path: str):
     """Load a saved model and its metadata (or None)."""
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.active()
     try:
         model = Booster.load(spark, os.path.join(path, "booster"))
     except AnalysisException:  # no such folder: a Spark ML model

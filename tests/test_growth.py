@@ -4,6 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from tavola.operators import customers as C
 from tavola.plans import q_ml
 from tavola.sources import driver as D
 
@@ -41,3 +42,24 @@ def test_feature_tables_are_made_once_a_session(spark, tmp_path):
         first, again = made(spark, sf), made(spark, sf)
         assert "lineitem" not in str(first.inputFiles()) and sorted(first.inputFiles()) == sorted(again.inputFiles())
         assert first.count() > 0
+
+
+def test_sales_are_joined_once_for_all_customer_models(spark, tmp_path, monkeypatch):
+    sf = _tables(spark, tmp_path / "t")
+    read, whole = [], D.transactions
+    monkeypatch.setattr(q_ml.D, "transactions", lambda *a, **k: read.append(a) or whole(*a, **k))
+    for made in (q_ml.c03c, q_ml.c03d, q_ml.c04d, q_ml.c04e, q_ml.j07, q_ml.c06):
+        made(spark, sf).collect()
+    assert len(read) == 1
+
+
+def test_customer_features_of_a_given_base(spark, tmp_path):
+    sf = _tables(spark, tmp_path / "t")
+    tx = D.transactions(spark, sf, dims=False)
+    tx = tx.unionByName(tx.limit(5).withColumn("customer_id", F.lit(None).cast("long")))
+    as_of, base = "2001-08-02", C.customer_base(tx, with_calendar=True)
+    for f in (C.rfm_metrics, C.ltv_features):
+        assert sorted(map(repr, f(tx, as_of).collect())) == sorted(map(repr, f(tx, as_of, base=lambda: base).collect()))
+    assert C.churn_features(tx, as_of).exceptAll(C.churn_features(tx, as_of, base=lambda: base)).count() == 0
+    last = base.select("customer_id", F.col("last_ts").alias("ts"))
+    assert sorted(map(repr, C.churn_labels(tx, as_of).collect())) == sorted(map(repr, C.churn_labels(last, as_of).collect()))

@@ -35,7 +35,6 @@ from ..session import ensure_checkpoint_dir
 
 BINS = 255  # of a feature, the one for missing values (0) included
 TASK_ROWS = 1 << 20  # a table of at most so many rows is fitted by one task
-FOLD_ROWS = 1 << 18  # the same of a fold, since many are fitted side by side
 BLOCK_ROWS = 1 << 20  # rows of a part of a spread fit, about
 MERGED_PARTS = 16  # the histograms of more parts are summed before they reach the driver
 BINNED = "bins binary, y double, w double, u long, valid boolean"
@@ -615,7 +614,7 @@ class Folds:
 
 
 def binned_folds(folds: DataFrame, features: Sequence[str], label: str, valid: Column, objective: str = "squared",
-                 weight: str | None = None, fold: str = "fold", fold_rows: int | None = None, task_rows: int = FOLD_ROWS) -> Folds:
+                 weight: str | None = None, fold: str = "fold", fold_rows: int | None = None, task_rows: int = TASK_ROWS) -> Folds:
     """Bin the rows of all folds once.  A fit takes all rows of its fold, in one task if there are at most ``task_rows``.
     Only who asks for ``fold_rows`` gets fits on about so many rows a fold (by a hash of the row); no query does."""
     features = list(features)
